@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, packing, sharding
+from sparkloom.llm import mixing, packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_shards": sharding.op3_rendezvous_shards,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_risk_controlled_rules": quality_rules.op9_risk_controlled_rules,
     "op10_pack_documents": packing.op10_pack_documents,
 }
 
-ORACLES: dict[str, str] = {"op3_rendezvous_shards": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op3_rendezvous_shards": sharding.ORACLE, "op9_risk_controlled_rules": quality_rules.ORACLE}
