@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, packing, quality_rules, sharding, warc
+from sparkloom.llm import mixing, packing, quality_rules, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_shards": sharding.op3_rendezvous_shards,
+    "op4_impact_ordered_topk": topk.op4_impact_ordered_topk,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_dictionary_warc": warc.op8_dictionary_warc,
     "op9_risk_controlled_rules": quality_rules.op9_risk_controlled_rules,
     "op10_pack_documents": packing.op10_pack_documents,
 }
 
-ORACLES: dict[str, str] = {"op3_rendezvous_shards": sharding.ORACLE, "op8_dictionary_warc": warc.ORACLE, "op9_risk_controlled_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_rendezvous_shards": sharding.ORACLE, "op4_impact_ordered_topk": topk.ORACLE, "op8_dictionary_warc": warc.ORACLE, "op9_risk_controlled_rules": quality_rules.ORACLE}
