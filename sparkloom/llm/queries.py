@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_crf, mixing, packing, quality_rules, sharding, topk, warc
+from sparkloom.llm import licenses, line_crf, mixing, packing, quality_rules, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_shards": sharding.op3_rendezvous_shards,
     "op4_impact_ordered_topk": topk.op4_impact_ordered_topk,
+    "op5_license_paragraphs": licenses.op5_license_paragraphs,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_line_crf_quality": line_crf.op7_line_crf_quality,
     "op8_dictionary_warc": warc.op8_dictionary_warc,
