@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import licenses, line_crf, mixing, packing, quality_rules, sharding, surrogates, topk, warc
+from sparkloom.llm import licenses, line_crf, mixing, near_dup, packing, quality_rules, sharding, surrogates, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dup": near_dup.op1_minhash_near_dup,
     "op2_surrogate_pii": surrogates.op2_surrogate_pii,
     "op3_rendezvous_shards": sharding.op3_rendezvous_shards,
     "op4_impact_ordered_topk": topk.op4_impact_ordered_topk,
