@@ -8,8 +8,12 @@ partition of pieces or GROUP_ITEMS underfull bins.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import kernels
 from sparkloom.llm.common import Workspace, table
 
 CAPACITY = 4096
@@ -29,54 +34,91 @@ FAN_IN = 8
 #: The id that ends every document.
 END = 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+
+#: A stop or comma after a letter, at the end of a word.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
 
 class WordIds:
-    """Token ids by white-space separated words.
+    """Token ids by words, each met word encoded once and then looked up.
 
-    The vocabulary's pre-tokenizer never joins text over white space, so the ids of a text are
-    those of its words one after another; a word met before costs a look-up.
+    The vocabulary's pre-tokenizer never joins text over white space, nor a letter with the stop or
+    comma that ends a word, and it lowers case; so the ids of a text are those of its lowered words
+    and such stops one after another.  Words are kept for the life of the worker, CACHE_WORDS of
+    them at most; later ones are encoded anew in every batch.
     """
 
+    _of: dict[str, WordIds] = {}
+
+    @classmethod
+    def load(cls, path: str) -> WordIds:
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts: list[int] = [0]
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(ids, how many each word has, the words in that order)."""
+        text = [w.decode() for w in words]
+        whole = [w.isascii() and w.isalpha() or w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w) for w in text]
+        order = [w for w, y in zip(words, whole, strict=True) if y] + [w for w, y in zip(words, whole, strict=True) if not y]
+        letters = [w for w, y in zip(text, whole, strict=True) if y]
+        found, counts = [], []
+        if letters:  # one pre-token each, so one closing token each: they can go as one text
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(letters):
+                found, counts = [ids], [np.diff(ends, prepend=0)]
+            else:
+                order = words
+        rest = text if not found else [w for w, y in zip(text, whole, strict=True) if not y]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        counts.append(np.array([len(x) for x in each], np.int64))
+        found.append(np.fromiter(chain.from_iterable(each), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(found), np.concatenate(counts), order
 
     def _learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, at = e.ids, self.starts[-1]
-                if at + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-                self.flat[at : at + len(ids)] = ids
-                self.known[word] = len(self.starts) - 1
-                self.starts.append(at + len(ids))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        known = self.known
-        new = list(dict.fromkeys(w for w in words if w not in known))
+        ids, counts, words = self._encode(new)
+        end = int(self.bounds[-1])
+        while end + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[end : end + len(ids)] = ids
+        self.known.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words)), strict=True))
+        self.bounds = np.concatenate((self.bounds, end + np.cumsum(counts)))
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of each text its ids and END."""
+        split = [_STOP.sub(rb" \1", t.lower()).split() if b"<|" not in t else t.split() for t in texts]
+        known, before = self.known, len(self.bounds)
+        new = list({w for words in split for w in words if w not in known})
         if new:
             self._learn(new)
-        if not words:
-            return np.zeros(0, np.uint32)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        starts = np.asarray(self.starts, np.int64) if new or getattr(self, "_seen", None) is None else self._seen
-        self._seen = starts
-        lengths = starts[at + 1] - starts[at]
-        shift = np.cumsum(lengths) - lengths
-        return self.flat[np.arange(int(lengths.sum())) - np.repeat(shift - starts[at], lengths)]
+        out = []
+        for words in split:
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            starts = self.bounds[at]
+            lengths = self.bounds[at + 1] - starts
+            total = int(lengths.sum())
+            ids = np.full(total + 1, END, "<u4")
+            ids[:total] = self.flat[np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+            out.append(ids)
+        if len(known) > CACHE_WORDS:
+            for w in new:
+                del known[w]
+            self.bounds = self.bounds[:before]
+        return out
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -86,14 +128,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids with END after them, cut into pieces of ``capacity`` where it is longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = WordIds.load(path)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(END)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
+            ids_of = batch.column(0).to_pylist()
+            for row, _, data, offsets in kernels.pieces(batch.column(1)):
+                raw = data.tobytes()
+                for k, ids in enumerate(encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), row):
+                    for n, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        rows.append((ids_of[k], n, at, len(part), zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
