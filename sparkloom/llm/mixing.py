@@ -188,3 +188,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
 
+
+
+def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows are told apart by doc_id and a fingerprint of the text; rows equal in both share their copies.
+    """
+    marked = docs.withColumn("__print", F.xxhash64("text"))
+    mixed = mix_documents(spark, marked.select("doc_id", "source", "text", "__print"), keep=["__print"])
+    taken = Workspace(spark, "mixing-copies").save(mixed.groupBy("doc_id", "__print").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).toDF("__id", "__p", "__n", "__rows"), "copies")
+    if not taken.filter("__rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", "__print"])
+    rows = marked.join(taken.filter("__n > 0"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)

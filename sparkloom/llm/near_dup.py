@@ -322,6 +322,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction =
     return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without an id are in no component and stay.
+    """
+    found = near_duplicates(spark, docs)
+    stay = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = Workspace(spark, "near-dup-kept").save(stay, "kept")
+    out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:

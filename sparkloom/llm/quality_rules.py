@@ -56,17 +56,21 @@ def _covered(hashes: Column) -> Column:
     return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), spans)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``stratum`` (lang) and the counts of each document; null and blank texts count nothing."""
+def counts(docs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """``doc_id``, ``stratum`` (lang) and the counts of each document; null and blank texts count nothing.
+
+    ``keep`` is carried along as a column ``row``.
+    """
+    own = ["doc_id", "stratum", "row"] if keep is not None else ["doc_id", "stratum"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", F.col("lang").alias("stratum"), text.alias("text"), words(F.col("text")).alias("w"))
+    split = docs.select("doc_id", F.col("lang").alias("stratum"), *([keep.alias("row")] if keep is not None else []), text.alias("text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    hashed = split.select("doc_id", "stratum", "text", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), lines.alias("l"))
+    hashed = split.select(*own, "text", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), lines.alias("l"))
     window = lambda i: F.xxhash64(*[F.col("h")[i + k] for k in range(WINDOW)])
     no = F.array().cast("array<bigint>")
     windows = F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window)).otherwise(no)
     viewed = hashed.select(
-        "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        *own, F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count("text", F.lit("!")).cast("long").alias("n_bangs"),
         F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("v"),
     )
@@ -138,15 +142,30 @@ def cutoffs(spark: SparkSession, counted: DataFrame, labels: DataFrame, risk: fl
     return out
 
 
-def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, base_failed and kept of every document."""
-    counted = Workspace(spark, "quality-counts").save(counts(docs), "counts")
-    cuts = cutoffs(spark, counted, labels).withColumnRenamed("stratum", "s")
-    joined = counted.join(F.broadcast(cuts), F.col("stratum").eqNullSafe(F.col("s")), "left")
+def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``counted`` with ``kept``; a stratum without cutoffs loses its base failures only."""
+    joined = counted.join(F.broadcast(cuts.withColumnRenamed("stratum", "s")), F.col("stratum").eqNullSafe(F.col("s")), "left")
     rejected = F.lit(False)
     for r, level in RULES.items():
         rejected = rejected | F.coalesce(F.expr(level) > F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("s", *[f"cut_{r}" for r in RULES])
+    # one expression over both sides: a conjunction would be split and pushed into the counting, to be worked out anew for each use
+    return joined.withColumn("kept", F.when(F.col("base_failed") | rejected, False).otherwise(True)).drop("s", *[f"cut_{r}" for r in RULES])
+
+
+def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts, base_failed and kept of every document."""
+    counted = Workspace(spark, "quality-counts").save(counts(docs), "counts")
+    return judged(counted, cutoffs(spark, counted, labels))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept.  Cutoffs take one pass, the filter another; texts never move."""
+    work = Workspace(spark, "quality-counts")
+    counted = work.save(counts(docs), "counts")
+    cuts = cutoffs(spark, counted, labels)
+    work.drop(counted)
+    kept = judged(counts(docs, F.struct(*docs.columns)), cuts).filter("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
