@@ -9,7 +9,6 @@ partition of pieces or GROUP_ITEMS underfull bins.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,10 +33,9 @@ FAN_IN = 8
 #: The id that ends every document.
 END = 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
-
-#: A stop or comma after a letter, at the end of a word.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+CACHE_WORDS = 2_000_000
+TABLE = 1 << 22
+_SLOT = np.uint64(TABLE - 1)
 
 
 class WordIds:
@@ -45,8 +43,8 @@ class WordIds:
 
     The vocabulary's pre-tokenizer never joins text over white space, nor a letter with the stop or
     comma that ends a word, and it lowers case; so the ids of a text are those of its lowered words
-    and such stops one after another.  Words are kept for the life of the worker, CACHE_WORDS of
-    them at most; later ones are encoded anew in every batch.
+    and such stops one after another.  Words are known by 64-bit hashes in an open table that lives
+    as long as the worker; when CACHE_WORDS are in it, later ones are encoded anew in every batch.
     """
 
     _of: dict[str, WordIds] = {}
@@ -65,60 +63,95 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, int] = {}
+        self.keys = np.zeros(TABLE, np.uint64)  # 0: free
+        self.entries = np.zeros(TABLE, np.int32)
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
-
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(ids, how many each word has, the words in that order)."""
-        text = [w.decode() for w in words]
-        whole = [w.isascii() and w.isalpha() or w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w) for w in text]
-        order = [w for w, y in zip(words, whole, strict=True) if y] + [w for w, y in zip(words, whole, strict=True) if not y]
-        letters = [w for w, y in zip(text, whole, strict=True) if y]
-        found, counts = [], []
-        if letters:  # one pre-token each, so one closing token each: they can go as one text
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+        self.flat[0] = END
+        self.bounds = np.array([0, 1], np.int64)  # entry 0 is END
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each word has, the places of the words in that order)."""
+        whole = np.fromiter((w.isalpha() and (w.isascii() or w.lower() == w and unicodedata.is_normalized("NFC", w)) for w in words), bool, len(words))
+        one, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
+        ids = ends = np.zeros(0, np.int64)
+        if len(one):  # one pre-token each, so one closing token each: they can go as one text
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in one])], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(letters):
-                found, counts = [ids], [np.diff(ends, prepend=0)]
-            else:
-                order = words
-        rest = text if not found else [w for w, y in zip(text, whole, strict=True) if not y]
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
-        counts.append(np.array([len(x) for x in each], np.int64))
-        found.append(np.fromiter(chain.from_iterable(each), np.uint32, int(counts[-1].sum())))
-        return np.concatenate(found), np.concatenate(counts), order
-
-    def _learn(self, new: list[bytes]) -> None:
-        ids, counts, words = self._encode(new)
+            if len(ends) != len(one):
+                one, rest, ids, ends = one[:0], np.arange(len(words)), ids[:0], ends[:0]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)] if len(rest) else []
+        counts = np.concatenate((np.diff(ends, prepend=0), np.array([len(x) for x in each], np.int64)))
+        return np.concatenate((ids, np.fromiter(chain.from_iterable(each), np.int64))).astype(np.uint32), counts, np.concatenate((one, rest))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, slot = np.arange(len(hashes)), (hashes & _SLOT).astype(np.int64)
+        while len(left):
+            key = self.keys[slot]
+            hit = key == hashes[left]
+            out[left[hit]] = self.entries[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & (TABLE - 1)
+        return out
+
+    def _store(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        slot = (hashes & _SLOT).astype(np.int64)
+        while len(hashes):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[put]], self.entries[slot[put]] = hashes[put], entries[put]
+            on = np.ones(len(hashes), bool)
+            on[put] = False
+            hashes, entries, slot = hashes[on], entries[on], (slot[on] + 1) & (TABLE - 1)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """New entries for words, in their order."""
+        ids, counts, order = self._encode(words)
         end = int(self.bounds[-1])
         while end + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[end : end + len(ids)] = ids
-        self.known.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words)), strict=True))
+        entries = np.zeros(len(words), np.int64)
+        entries[order] = np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(words))
         self.bounds = np.concatenate((self.bounds, end + np.cumsum(counts)))
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Of each text its ids and END."""
-        split = [_STOP.sub(rb" \1", t.lower()).split() if b"<|" not in t else t.split() for t in texts]
-        known, before = self.known, len(self.bounds)
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            self._learn(new)
-        out = []
-        for words in split:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            starts = self.bounds[at]
-            lengths = self.bounds[at + 1] - starts
-            total = int(lengths.sum())
-            ids = np.full(total + 1, END, "<u4")
-            ids[:total] = self.flat[np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
-            out.append(ids)
-        if len(known) > CACHE_WORDS:
-            for w in new:
-                del known[w]
-            self.bounds = self.bounds[:before]
-        return out
+        return entries
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed with END; offsets of the texts in them)."""
+        lowered = kernels.LOWER[data]
+        if b"<|" in (raw := data.tobytes()):  # special tokens are told from text by case
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if b"<|" in raw[a:b]:
+                    lowered[a:b] = data[a:b]
+        starts, ends, _ = kernels.words(lowered, offsets)
+        last = lowered[ends - 1] if len(ends) else lowered[:0]
+        stop = np.flatnonzero((ends - starts > 1) & ((last == 46) | (last == 44)) & (np.abs(lowered[ends - 2].astype(np.int16) * 2 - 219) <= 25)) if len(ends) else np.zeros(0, np.int64)
+        starts = np.insert(starts, stop + 1, ends[stop] - 1)
+        ends = np.insert(ends, stop, ends[stop] - 1)
+        hashes = kernels.span_hashes(lowered, starts, ends) | np.uint64(1)
+        entry = self._find(hashes)
+        known, keep = len(self.bounds), True
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            unique, first, again = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw = lowered.tobytes()
+            learned = self._learn([raw[starts[i] : ends[i]].decode() for i in new[first]])
+            entry[new] = learned[again]
+            if keep := known + len(unique) <= CACHE_WORDS:
+                self._store(unique, learned)
+        text_at = np.searchsorted(starts, offsets)  # words before each text
+        entry = np.insert(entry, text_at[1:], 0)
+        begin = self.bounds[entry]
+        lengths = self.bounds[entry + 1] - begin
+        shift = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        ids = self.flat[np.arange(total) + np.repeat(begin - shift, lengths)].astype("<u4")
+        text_at = text_at + np.arange(len(text_at))
+        out = np.append(shift, total)[text_at]
+        if not keep:
+            self.bounds = self.bounds[:known]
+        return ids, out
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -133,11 +166,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             rows: list[tuple[int | None, int, int, int, int]] = []
             ids_of = batch.column(0).to_pylist()
             for row, _, data, offsets in kernels.pieces(batch.column(1)):
-                raw = data.tobytes()
-                for k, ids in enumerate(encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), row):
-                    for n, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        rows.append((ids_of[k], n, at, len(part), zlib.crc32(part)))
+                ids, bounds = encode(data, offsets)
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), row):
+                    for n, at in enumerate(range(a, b, capacity)):
+                        part = ids[at : min(b, at + capacity)]
+                        rows.append((ids_of[k], n, at - a, len(part), zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
