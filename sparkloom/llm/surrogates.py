@@ -28,7 +28,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame|Mme)"
 #: Entity patterns in the order in which they are tried at a place of a text.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "secret": r"(?<![A-Za-z])(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_=.~-]{8,256}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
@@ -38,6 +38,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])",
     "name": rf"(?<!\p{{L}}){_TITLE}\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,40}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,40}})?",
 }
+#: Every entity has a part of this; texts without one are not searched.
+MAYBE = rf"[0-9@:=]|AKIA|ghp_|sk-|{_TITLE}\.?\x20\p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
@@ -174,7 +176,7 @@ def surrogate(e: Column, type_: Column, key: str, attempt: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def retries(spark: SparkSession, docs: DataFrame, key: str, text: str = "text") -> dict[str, int]:
