@@ -4,12 +4,14 @@ A document is the set of its two-word shingles; documents link when their sets o
 threshold.  Equal sets are one to begin with.  Then independent trees branch the sets: a node's
 children are the values of minwise tokens (coordinates of a MinHash signature) that the node
 itself chooses, 1 / threshold of them on average, so a linked pair is expected to stay together in
-one child of every node however deep the tree goes.  Small nodes are compared exhaustively; large
-ones compare all members with two pivots and branch on.  Every link is confirmed on whole sets.
-
-Components prune the search: a node all of whose members are known to be connected is done.  So a
-third of the corpus in one group of near copies costs a few comparisons for each copy and not
-pairs among them, and yet no pair of documents in different components is skipped.
+one child of every node however deep the tree goes.  Small nodes are compared exhaustively by
+sketches; large ones compare all members with two pivots and branch on.
+
+Pairs whose sketches are near enough join their documents into families, outside which there can
+be no link.  Families prune the search (a node inside one family is done), so a third of the corpus
+in one group of near copies costs a few comparisons for each copy.  At the end each family is
+compared on whole sets, which alone decide the links; a large family first finds its main component
+and then compares only what is outside it with all members, in blocks.  Texts move once.
 """
 
 from __future__ import annotations
@@ -28,20 +30,22 @@ from sparkloom.llm.common import Workspace, table
 
 THRESHOLD = Fraction(80, 100)
 COORDINATES = 128
-SKETCH = 64
 #: Trees; the first few run before the others, so that these meet the groups already merged.
 TREES, FIRST_TREES = 24, 4
 #: Levels of a tree that every document passes; deeper ones only where nodes are large.
 DEPTH = 3
 MOST_DEPTH = 24
-SMALL = 48
+#: Members of a node that is compared exhaustively, and members outside a large node's main
+#: component that are compared with all its members.
+SMALL = 512
+BLOCK = 128
 #: Of every four nodes one chooses two coordinates: 1.25 on average, for the threshold of 0.8.
 TWO_IN = 4
-#: A pair is confirmed if its estimate is no lower than the threshold by five standard deviations.
-SKETCH_LEAST = 35
-SIGNATURE_LEAST = 0.62
-#: Sketches so alike count as linked when a first round looks for a spanning set of pairs.
-PRESUMED = 60
+#: Sketches are a byte for each coordinate.  Sets at the threshold agree in 102 of 128 on average, with a
+#: standard deviation of 4.5; so many must agree for a pair to count, four deviations fewer.
+LEAST = 84
+#: Members of a family that is compared as a whole; larger ones go by blocks.
+FAMILY = 512
 
 _generator = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _generator.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,103 +122,153 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _spanning(alike: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs by falling likeness, without those whose ends surely linked pairs join already."""
-    up = list(range(len(alike)))
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coordinates in which each sketch of ``x`` agrees with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.int16)
+    for i in range(0, len(x), 64):
+        out[i : i + 64] = (x[i : i + 64, None, :] == y[None, :, :]).sum(2)
+    return out
+
+
+class _Sets:
+    """Disjoint sets of places; a class with a label is one set from the start."""
 
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+    def __init__(self, labels: np.ndarray) -> None:
+        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[back].tolist()
+
+    def top(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
         return x
 
-    i, j = np.nonzero(np.triu(alike >= SKETCH_LEAST, 1) & (comp[:, None] != comp[None, :]))
-    out = []
-    for n in np.argsort(-alike[i, j], kind="stable").tolist():
-        x, y = top(int(i[n])), top(int(j[n]))
-        if x != y:
-            out.append((int(i[n]), int(j[n])))
-            if alike[i[n], j[n]] >= PRESUMED:
-                up[x] = y
-    return out
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
-def _compare_small(spanning: bool):
-    """Exhaustive comparison inside nodes; rows come sorted by node."""
-
-    def nodes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
-        sketch = _matrix(rows["sketch"].combine_chunks(), "u1", SKETCH)
-        node = rows["node"].to_numpy()
-        cuts = np.flatnonzero(np.diff(node)) + 1
-        first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(node)]))
-        two = first[last - first == 2]
-        hit = two[((sketch[two] == sketch[two + 1]).sum(1) >= SKETCH_LEAST) & (comp[two] != comp[two + 1])]
-        left, right = [ids[hit]], [ids[hit + 1]]
-        for s, e in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
-            part = sketch[s:e]
-            alike = (part[:, None, :] == part[None, :, :]).sum(2)
-            if spanning:
-                found = _spanning(alike, comp[s:e])
-                i, j = np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64)
-            else:
-                i, j = np.nonzero(np.triu(alike >= SKETCH_LEAST, 1) & (comp[s:e][:, None] != comp[s:e][None, :]))
-            left.append(ids[s:e][i])
-            right.append(ids[s:e][j])
-        return np.concatenate(left), np.concatenate(right)
+def _spanning(alike: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the near pairs between different labels."""
+    i, j = np.nonzero(np.triu((alike >= LEAST) & (labels[:, None] != labels[None, :]), 1))
+    sets = _Sets(labels)
+    keep = [sets.join(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    return i[keep], j[keep]
+
+
+def _by_group(key: str, make):
+    """``make`` over each group's rows; rows come sorted by ``key`` and groups are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            at = rows[key].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            yield from make(rows, cuts)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            if held is not None:
-                rows = pa.concat_tables([held, rows])
-            node = rows["node"].to_numpy()
-            whole = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on
-            held = rows.slice(whole)
-            if whole:
-                yield _pairs(*nodes(rows.slice(0, whole)))
-        if held is not None:
-            yield _pairs(*nodes(held))
+            at = rows[key].to_numpy()
+            start = int(np.searchsorted(at, at[-1], "left"))  # the last group may go on
+            if start or (held and held[0][key][0].as_py() != at[-1]):
+                yield from done(pa.concat_tables([*held, rows.slice(0, start)]))
+                held = [rows.slice(start)]
+            else:
+                held.append(rows)
+        if held:
+            yield from done(pa.concat_tables(held))
 
     return run
 
 
+def _compare_small(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Exhaustive comparison inside nodes."""
+    ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
+    sketch = _matrix(rows["sketch"].combine_chunks(), "u1", COORDINATES)
+    first, last = np.array(cuts[:-1]), np.array(cuts[1:])
+    two = first[last - first == 2]
+    hit = two[((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (comp[two] != comp[two + 1])]
+    left, right = [ids[hit]], [ids[hit + 1]]
+    for s, e in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
+        i, j = _spanning(_alike(sketch[s:e], sketch[s:e]), comp[s:e])
+        left.append(ids[s:e][i])
+        right.append(ids[s:e][j])
+    yield _pairs(np.concatenate(left), np.concatenate(right))
+
+
 def _compare_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, own = batch.column("id").to_numpy(), _matrix(batch.column("sketch"), "u1", SKETCH)
+        ids, own = batch.column("id").to_numpy(), _matrix(batch.column("sketch"), "u1", COORDINATES)
         for p, q in (("p1", "s1"), ("p2", "s2")):
             pivot = batch.column(p).to_numpy()
-            near = ((own == _matrix(batch.column(q), "u1", SKETCH)).sum(1) >= SKETCH_LEAST) & (ids != pivot)
+            near = ((own == _matrix(batch.column(q), "u1", COORDINATES)).sum(1) >= LEAST) & (ids != pivot)
             yield _pairs(ids[near], pivot[near])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The few members outside a node's main family against a block of its members."""
     for batch in batches:
-        if batch.num_rows:
-            x, y = _matrix(batch.column("ma"), "<u2", COORDINATES), _matrix(batch.column("mb"), "<u2", COORDINATES)
-            near = pa.array((x == y).mean(1) >= SIGNATURE_LEAST)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
+        for few, block in zip(batch.column("few"), batch.column("block"), strict=True):
+            ids, comp = (np.concatenate([x.values.field(k).to_numpy() for x in (few, block)]) for k in (0, 1))
+            sketch = np.concatenate([_matrix(x.values.field(2), "u1", COORDINATES) for x in (few, block)])
+            n = len(few.values)
+            alike = np.zeros((len(ids), len(ids)), np.int16)
+            alike[:n] = _alike(sketch[:n], sketch)
+            i, j = _spanning(alike, comp)
+            yield _pairs(ids[i], ids[j])
+
+
+def _links(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, threshold: Fraction, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between different labels, on whole sets; of the first ``rows`` with all if given."""
+    sets: list[np.ndarray] = []
+    for _, _, data, offsets in kernels.pieces(texts):
+        sets += kernels.shingles(data, offsets)
+    sketch = signatures(sets).astype(np.uint8)
+    n = len(ids) if rows is None else rows
+    size = np.array([len(x) for x in sets])
+    near = np.zeros((len(ids), len(ids)), np.int16)
+    near[:n] = _alike(sketch[:n], sketch)
+    small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    i, j = np.nonzero(np.triu((near >= LEAST) & (labels[:, None] != labels[None, :]) & (small * threshold.denominator >= large * threshold.numerator), 1))
+    order = np.argsort(-near[i, j], kind="stable")
+    found, out = _Sets(labels), []
+    for k in order.tolist():
+        a, b = int(i[k]), int(j[k])
+        if found.top(a) != found.top(b):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * threshold.denominator >= threshold.numerator * (len(x) + len(y) - both):
+                found.join(a, b)
+                out.append((ids[a], ids[b]))
+    return np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
+
+
+def _whole_families(threshold: Fraction):
+    def run(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            part = rows.slice(s, e - s)
+            ids = part["id"].to_numpy()
+            yield _pairs(*_links(ids, ids, part["text"].combine_chunks(), threshold))
+
+    return run
+
 
+def _blocks(threshold: Fraction):
+    """The links of the members ``few`` (null: none) and ``block``; without ``few`` all inside the block."""
 
-def _confirm(threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked: list[bool] = []
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = {}
-                for c in ("ta", "tb"):
-                    for _, _, data, offsets in kernels.pieces(part.column(c)):
-                        texts.setdefault(c, []).extend(kernels.shingles(data, offsets))
-                for x, y in zip(texts["ta"], texts["tb"], strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(both * threshold.denominator >= threshold.numerator * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for few, block in zip(batch.column("few"), batch.column("block"), strict=True):
+                parts = [x.values for x in (few, block) if x.is_valid]
+                ids, labels = (np.concatenate([x.field(k).to_numpy() for x in parts]) for k in (0, 1))
+                texts = pa.concat_arrays([x.field(2).cast(pa.large_string()) for x in parts])
+                yield _pairs(*_links(ids, labels, texts, threshold, len(few.values) if few.is_valid else None))
 
     return run
 
@@ -249,6 +303,105 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _labelled(rows: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """(node, id, comp): an id that is in no pair yet is its own family."""
+    if merged is None:
+        return rows.select("node", "id", F.col("id").alias("comp"))
+    return rows.join(merged, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+
+
+def _undecided(labelled: DataFrame) -> DataFrame:
+    """Rows of the nodes that have members of two families or more, with the node's size."""
+    stats = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
+    return labelled.join(stats, "node")
+
+
+def _few_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    member = F.struct("id", "comp", "sketch")
+    rows = large.filter("few").join(sketches, "id")
+    few = rows.filter("comp <> main").groupBy("node").agg(F.collect_list(member).alias("few"))
+    blocks = rows.groupBy("node", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")).agg(F.collect_list(member).alias("block"))
+    return blocks.join(few, "node").select("few", "block").mapInArrow(_compare_few, PAIRS)
+
+
+def _pivot_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of a large node against two of them, from two families."""
+    ends = F.struct("comp", "id")
+    rows = large.filter("NOT few")
+    pivots = rows.groupBy("node").agg(F.min(ends)["id"].alias("p1"), F.max(ends)["id"].alias("p2"))
+    pivots = pivots.join(sketches.toDF("p1", "s1"), "p1").join(sketches.toDF("p2", "s2"), "p2")
+    return rows.join(sketches, "id").join(pivots, "node").select("id", "sketch", "p1", "s1", "p2", "s2").mapInArrow(_compare_pivots, PAIRS)
+
+
+def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame:
+    """(id, comp) of the sets (id, sketch, mins) that are near others: the trees' walk."""
+    roots = lambda trees: reps.select("id", "mins").mapInArrow(_root_paths(trees), "node bigint, id bigint")
+    sketches, mins = reps.select("id", "sketch"), reps.select("id", "mins")
+    merged: DataFrame | None = None
+    rows = work.save(roots(range(FIRST_TREES)), "nodes")
+    depth = 0
+    while True:
+        members = work.save(_labelled(rows, merged).transform(_undecided), "members")
+        work.drop(rows)
+        small = members.filter(F.col("n") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch").repartition("node").sortWithinPartitions("node")
+        pairs = small.mapInArrow(_by_group("node", _compare_small), PAIRS)
+        large = members.filter(F.col("n") > SMALL).select("node", "id", "comp", "n")
+        deep = not large.isEmpty()
+        if deep:
+            sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("main"))
+            large = work.save(large.join(sizes.select("node", F.col("main.k").alias("k"), F.col("main.comp").alias("main")), "node").withColumn("few", F.col("n") - F.col("k") <= SMALL), "large")
+            pairs = pairs.union(_few_pairs(large, sketches)).union(_pivot_pairs(large, sketches))
+        if merged is not None:
+            pairs = pairs.union(merged.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        merged = components(work, pairs)
+        below = roots(range(FIRST_TREES, TREES)) if depth == 0 else None
+        if deep:
+            open_ = _undecided(_labelled(large.filter("NOT few").select("node", "id"), merged))
+            children = open_.join(mins, "id").select("node", "id", "mins").mapInArrow(_branch, "node bigint, id bigint")
+            below = children if below is None else below.union(children)
+        if below is not None:
+            rows = work.save(below, "nodes")
+        work.drop(members, *([large] if deep else []))
+        _freed(spark)
+        depth += 1
+        if below is None or rows.isEmpty():
+            return merged
+        if depth > MOST_DEPTH:
+            raise RuntimeError("the trees don't end")
+
+
+def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataFrame, threshold: Fraction) -> DataFrame:
+    """(id, comp) of the documents that are linked with others, by the whole sets of every family."""
+    members = near.unionByName(near.select(F.col("comp").alias("id"), "comp").distinct())
+    sizes = near.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("n"))
+    members = members.join(sizes, "comp").select("id", F.col("comp").alias("family"), "n")
+    pool = work.save(docs.toDF("id", "text").join(members.hint("merge"), "id").select("family", "n", "id", "text"), "pool")
+    small = pool.filter(F.col("n") <= FAMILY).select("family", "id", "text").repartition("family").sortWithinPartitions("family")
+    links = work.save(small.mapInArrow(_by_group("family", _whole_families(threshold)), PAIRS), "links")
+    large = pool.filter(F.col("n") > FAMILY)
+    if large.isEmpty():
+        linked = components(work, links)
+    else:
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")
+        inside = large.groupBy("family", part).agg(F.collect_list(F.struct("id", F.col("id").alias("comp"), "text")).alias("block"))
+        pivot = large.filter("id = family").groupBy("family").agg(F.first("text").alias("p"))
+        led = inside.join(pivot, "family").select(F.lit(None).cast("array<struct<id:bigint,comp:bigint,text:string>>").alias("few"), F.array_append("block", F.struct(F.col("family").alias("id"), F.col("family").alias("comp"), F.col("p").alias("text"))).alias("block"))
+        led = work.save(led.mapInArrow(_blocks(threshold), PAIRS), "links")
+        linked = components(work, led)
+        known = large.join(linked, "id", "left").select("family", "n", "id", F.coalesce("comp", "id").alias("comp"), "text")
+        main = known.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
+        known = work.save(known.join(main, "family"), "known")
+        member = F.struct("id", "comp", "text")
+        blocks = known.groupBy("family", part).agg(F.collect_list(member).alias("block"))
+        outside = known.filter("comp <> main").groupBy("family", part.alias("few_part")).agg(F.collect_list(member).alias("few"))
+        rest = outside.join(blocks, "family").select("few", "block").mapInArrow(_blocks(threshold), PAIRS)
+        linked = components(work, links.union(led).union(work.save(rest, "links")))
+        work.drop(known)
+    work.drop(pool)
+    _freed(spark)
+    return linked
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -263,62 +416,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction =
     signed = work.save(docs.mapInArrow(_sign, SIGNED), "signed")
     found = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins"))
     reps = work.save(found.withColumn("sketch", F.lit(None).cast("binary")).mapInArrow(_with_sketch, "n_shingles bigint, h1 bigint, h2 bigint, id bigint, mins binary, sketch binary"), "reps")
-    roots = lambda trees: reps.select("id", "mins").mapInArrow(_root_paths(trees), "node bigint, id bigint")
-    pool: DataFrame | None = None
-    merged: DataFrame | None = None
-    links: DataFrame | None = None
-    refused: DataFrame | None = None
-    rows = work.save(roots(range(FIRST_TREES)), "nodes")
-    depth = 0
-    while True:
-        labelled = rows.withColumn("comp", F.col("id")) if merged is None else rows.join(merged, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
-        stats = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
-        members = work.save(labelled.join(stats, "node"), "members")
-        work.drop(rows)
-        sketches = reps.select("id", "sketch")
-        small = members.filter(F.col("n") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch").repartition("node").sortWithinPartitions("node")
-        pairs = small.mapInArrow(_compare_small(depth == 0), PAIRS)
-        large = members.filter(F.col("n") > SMALL).select("node", "id", "comp")
-        ends = F.struct("comp", "id")
-        pivots = large.groupBy("node").agg(F.min(ends)["id"].alias("p1"), F.max(ends)["id"].alias("p2"))
-        pivots = pivots.join(sketches.toDF("p1", "s1"), "p1").join(sketches.toDF("p2", "s2"), "p2")
-        starred = large.join(sketches, "id").join(pivots, "node").select("id", "sketch", "p1", "s1", "p2", "s2")
-        pairs = pairs.union(starred.mapInArrow(_compare_pivots, PAIRS)).distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        if merged is not None:
-            of = lambda c: merged.toDF(c, f"c{c}")
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        mins = reps.select("id", "mins")
-        close = pairs.join(mins.toDF("a", "ma"), "a").join(mins.toDF("b", "mb"), "b").mapInArrow(_estimate, PAIRS)
-        close = work.save(close, "close")
-        needed = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        texts = needed.join(docs, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
-        pool = work.save(texts, "pool")
-        side = lambda c: pool.toDF(c, f"t{c}")
-        judged = close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold), "a bigint, b bigint, linked boolean")
-        judged = work.save(judged, "judged")
-        work.drop(pool, close)
-        new = judged.filter("linked").select("a", "b")
-        no = judged.filter("NOT linked").select("a", "b")
-        refused = no if refused is None else refused.union(no)
-        links = new if links is None else new.union(merged.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        merged = components(work, links)
-        children = large.join(merged, "id", "left").select("node", "id", F.coalesce(merged["comp"], large["comp"]).alias("comp"))
-        still = children.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
-        below = children.join(still, "node").select("node", "id").join(mins, "id").select("node", "id", "mins").mapInArrow(_branch, "node bigint, id bigint")
-        if depth == 0:
-            below = below.union(roots(range(FIRST_TREES, TREES)))
-        rows = work.save(below, "nodes")
-        work.drop(members)
-        _freed(spark)
-        depth += 1
-        if rows.isEmpty():
-            break
-        if depth > MOST_DEPTH:
-            raise RuntimeError("the trees don't end")
+    linked = confirmed(spark, work, docs, families(spark, work, reps), threshold)
     keyed = signed.join(reps.select("n_shingles", "h1", "h2", "id"), ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "id")
-    placed = keyed.join(merged, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id", "doc_id").alias("component_id"))
+    placed = keyed.join(linked, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id", "doc_id").alias("component_id"))
     return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -330,7 +430,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = near_duplicates(spark, docs)
     stay = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = Workspace(spark, "near-dup-kept").save(stay, "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
+    out = docs.join(kept.select(F.col("doc_id").alias("__id")).hint("merge"), docs["doc_id"] == F.col("__id"), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter(F.col("doc_id").isNull()))
@@ -339,7 +439,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            sketch = _matrix(batch.column("mins"), "<u2", COORDINATES)[:, :SKETCH].astype(np.uint8)
+            sketch = _matrix(batch.column("mins"), "<u2", COORDINATES).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([s.tobytes() for s in sketch], pa.binary())], names=batch.schema.names)
 
 
