@@ -200,5 +200,5 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     taken = Workspace(spark, "mixing-copies").save(mixed.groupBy("doc_id", "__print").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).toDF("__id", "__p", "__n", "__rows"), "copies")
     if not taken.filter("__rows > 1").isEmpty():
         marked = marked.dropDuplicates(["doc_id", "__print"])
-    rows = marked.join(taken.filter("__n > 0"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")))
+    rows = marked.join(taken.filter("__n > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__p")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
