@@ -28,6 +28,8 @@ TRAIN_BYTES = 1 << 20
 TRAIN_RECORD = 16 << 10
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
+#: Tasks that read archives, at most; each reads its archives one after another.
+READERS = 2000
 #: A record's date is a field of the format; runs must agree, so it is a parameter.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,7 +100,7 @@ def _write(folder: str, date: str):
                 dictionary = train([r for _, r in rows])
                 compress = _tools(dictionary)[0]
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(path)
+                out = store.open_output_stream(path, compression=None)  # else the name's ending would choose one
                 out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                 at = 8 + len(dictionary)
             for page_id, raw in rows:
@@ -174,7 +176,7 @@ def _read(payloads: bool):
                 store, plain = _filesystem(path)
                 kept: list[tuple] = []
                 size = 0
-                with store.open_input_stream(plain, buffer_size=1 << 20) as source:
+                with store.open_input_stream(plain, compression=None, buffer_size=1 << 20) as source:
                     magic, n = struct.unpack("<II", source.read(8))
                     if magic != SKIPPABLE:
                         raise ValueError(f"{path}: no dictionary frame")
@@ -222,7 +224,9 @@ def _frames(source, expand: zstandard.ZstdDecompressor) -> Iterator[bytes]:
 
 def read(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the archives that a manifest names, digests checked."""
-    return manifest.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path").mapInArrow(_read(payloads), READ)
+    paths = manifest.select("path").distinct()
+    tasks = max(1, min(READERS, paths.count()))  # a path is a few bytes: by size all would be one task
+    return paths.repartition(tasks, "path").mapInArrow(_read(payloads), READ)
 
 
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

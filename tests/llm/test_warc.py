@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import struct
+from pathlib import Path
+
+import pytest
+import zstandard
+
+from sparkloom.llm import warc
+
+PAGE = "page_id bigint, url string, html string"
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame(list(rows), PAGE)
+
+
+def test_round_trip(spark, tmp_path):
+    rows = [(i, f"http://e.org/{i}", f"<p>page {i % 90} é</p>" * (i % 7)) for i in range(300)] + [(300, None, None), (301, "a\r\nb", "x" * 3_000_000)]
+    manifest = warc.write(spark, pages(spark, *rows).repartition(3), f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in warc.read(spark, manifest).collect()}
+    assert set(got) == {r[0] for r in rows}
+    first: dict[str, int] = {}
+    for i, _, html in sorted(rows):
+        first.setdefault(html or "", i)
+    for i, url, html in rows:
+        r, payload = got[i], (html or "").encode()
+        assert r.payload_bytes == len(payload) and r.payload_digest == warc.digest(payload)
+        home = first[html or ""]
+        assert (r.record_type, r.refers_to) == (("response", None) if home == i else ("revisit", home))
+        assert r.payload == (payload if home == i else b"")
+
+
+def test_archives_stand_alone(spark, tmp_path):
+    manifest = warc.write(spark, pages(spark, *[(i, "u", f"<html>{i} words words words</html>" * 20) for i in range(200)]).coalesce(1), f"file://{tmp_path}/w").collect()
+    for path in {r.path for r in manifest}:
+        raw = Path(path).read_bytes()
+        magic, n = struct.unpack("<II", raw[:8])
+        assert magic == 0x184D2A5D and n > 0
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n]))
+        for r in manifest:
+            if r.path == path:  # any record can be read alone
+                fields, _ = warc.parse(expand.decompressobj().decompress(raw[r.start : r.start + r.length]))
+                assert fields["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+
+
+def test_small_payloads_are_never_revisits(spark, tmp_path):
+    manifest = warc.write(spark, pages(spark, (1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")), f"file://{tmp_path}/w", least=3)
+    assert sorted((r.page_id, r.record_type) for r in warc.read(spark, manifest).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
+
+
+def test_repeated_rows_null_ids_and_no_rows(spark, tmp_path):
+    manifest = warc.write(spark, pages(spark, (1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x")), f"file://{tmp_path}/w")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read(spark, manifest).collect()) == [(0, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+    none = warc.write(spark, pages(spark, (1, "u", "x")).filter("false"), f"file://{tmp_path}/n")
+    assert warc.read(spark, none).count() == 0
+
+
+def test_damage_is_found(spark, tmp_path):
+    manifest = warc.write(spark, pages(spark, *[(i, "u", f"text {i}") for i in range(50)]).coalesce(1), f"file://{tmp_path}/w")
+    path = Path(manifest.first().path)
+    path.write_bytes(path.read_bytes()[:-5])
+    with pytest.raises(Exception, match="ends inside an?|ends inside|zstd|Zstd"):
+        warc.read(spark, manifest).collect()
