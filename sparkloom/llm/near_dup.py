@@ -46,6 +46,8 @@ TWO_IN = 4
 LEAST = 84
 #: Members of a family that is compared as a whole; larger ones go by blocks.
 FAMILY = 512
+#: Edges that one task joins, at most (16 bytes each).
+ONE_TASK = 1_000_000
 
 _generator = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _generator.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -273,14 +275,34 @@ def _blocks(threshold: Fraction):
     return run
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a partition's edges as stars around their smallest ids."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    sets = _Sets(np.arange(len(ids)))
+    for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        sets.join(x, y)
+    root = np.array([sets.top(i) for i in range(len(ids))], np.int64)
+    leaf = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], names=["u", "v"])
+
+
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(id, comp) of every end of an edge (a, b): the smallest id connected with it.
 
-    Alternating large-star and small-star steps until nothing changes.  A star's centre may have any
-    number of edges: minima combine before the shuffle, and the join with them may split a hot key.
+    Every partition first makes stars of its own edges.  If no more than ONE_TASK of these are left,
+    one task joins them; beyond that, alternating large-star and small-star steps go on until nothing
+    changes.  There a star's centre may have any number of edges: minima combine before the shuffle,
+    and the join with them may split a hot key.
     """
-    flat = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    now = work.save(flat, "stars")
+    now = work.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").mapInArrow(_forest, "u bigint, v bigint"), "stars")
+    if now.count() <= ONE_TASK:
+        after = work.save(now.coalesce(1).mapInArrow(_forest, "u bigint, v bigint"), "stars")
+        work.drop(now)
+        return after.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     seen = None
     while True:
         sign = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
