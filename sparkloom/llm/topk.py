@@ -63,10 +63,13 @@ def build(matrix: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 def search(segments: list[tuple[int, int, np.ndarray, np.ndarray]], matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query row, member, score) of the k best of each query, and the levels that were read.
 
-    Members with the query's own id are left out; ties go to the smaller id.
+    Members with the query's own id are left out; ties go to the smaller id.  Vectors so large that a
+    score may not fit 64 bits raise.
     """
     n = len(matrix)
-    own = np.abs(queries).sum(1, initial=0).max(initial=0) * max(1, np.abs(matrix).max(initial=0))
+    own = float(np.abs(queries.astype(np.float64)).sum(1, initial=0).max(initial=0)) * max(1.0, float(np.abs(matrix.astype(np.float64)).max(initial=0)))
+    if own >= 2**63:
+        raise OverflowError("a score may not fit 64 bits")
     kind = np.float32 if own < EXACT32 else np.float64 if own < EXACT64 else np.longdouble
     q = queries.astype(kind)
     norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
