@@ -23,6 +23,8 @@ from sparkloom.llm.common import WORD, Workspace, table
 MAX_CONSTRAINTS = 50_000
 #: Documents of one rounding block, about.
 BLOCK_ROWS = 512
+#: Documents of a block whose copies are chosen by exact sums.
+TAIL = 32
 
 Target = Mapping[str | None, float]
 
@@ -106,7 +108,12 @@ def balance(spark: SparkSession, cells: DataFrame, margins: Mapping[str, Target]
 
 
 def round_block(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
-    """Copies, 0 to ``most``, whose running tokens follow the rates' in the given order."""
+    """Copies, 0 to ``most``, whose tokens meet the rates' sum as nearly as single changes can.
+
+    Sizes fall.  Copies first follow the running sum; near ``most`` that may end behind, so single
+    copies, and exchanges of one document's copy for another's, are added or taken while they help.
+    Last, the smallest documents' copies are chosen anew among all sums that they can make.
+    """
     copies = np.zeros(len(sizes), np.int64)
     behind = 0.0
     for i, (n, r) in enumerate(zip(sizes.tolist(), rates.tolist(), strict=True)):
@@ -117,6 +124,47 @@ def round_block(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
             behind -= c * n
         else:
             copies[i] = min(most, round(r))
+    full = sizes > 0
+    for _ in range(64):
+        sign = 1 if behind > 0 else -1
+        can = np.flatnonzero(full & ((copies < most) if sign > 0 else (copies > 0)))
+        back = np.flatnonzero(full & ((copies > 0) if sign > 0 else (copies < most)))
+        if abs(behind) <= 1 or not len(can):
+            break
+        one = can[np.argmin(np.abs(sizes[can] - abs(behind)))]
+        best, change = abs(abs(behind) - sizes[one]), [(one, sign)]
+        if len(back):  # one document more, another less: sizes fall, so partners are found by bisection
+            wanted = sizes[can] - abs(behind)
+            at = np.clip(np.searchsorted(-sizes[back], -wanted), 1, len(back)) - 1
+            for near in (at, np.minimum(at + 1, len(back) - 1)):
+                miss = np.abs(sizes[back[near]] - wanted)
+                k = int(np.argmin(np.where(back[near] == can, np.inf, miss)))
+                if back[near[k]] != can[k] and miss[k] < best:
+                    best, change = float(miss[k]), [(can[k], sign), (back[near[k]], -sign)]
+        if best >= abs(behind):
+            break
+        for i, step in change:
+            copies[i] += step
+            behind -= step * sizes[i]
+    tail = np.flatnonzero(full)[-TAIL:].tolist()
+    if abs(behind) > 1 and tail:
+        goal = behind + float((copies[tail] * sizes[tail]).sum())
+        sums = [1]  # bit n of sums[k]: the first k of the tail can make n tokens
+        for i in tail:
+            now = sums[-1]
+            for c in range(1, most + 1):
+                now |= sums[-1] << c * int(sizes[i])
+            sums.append(now)
+        low = sums[-1] & ((1 << max(0, int(goal)) + 1) - 1)
+        high = sums[-1] >> max(0, int(goal)) + 1
+        options = [low.bit_length() - 1, *([int(goal) + 1 + (high & -high).bit_length() - 1] if high else [])]
+        n = min((o for o in options if o >= 0), key=lambda o: abs(o - goal))
+        if abs(n - goal) < abs(behind):
+            for k in range(len(tail), 0, -1):
+                size = int(sizes[tail[k - 1]])
+                c = min((c for c in range(most + 1) if n >= c * size and sums[k - 1] >> (n - c * size) & 1), key=lambda c: abs(c - rates[tail[k - 1]]))
+                copies[tail[k - 1]] = c
+                n -= c * size
     return copies
 
 
@@ -125,8 +173,7 @@ def mix(spark: SparkSession, df: DataFrame, size: str, margins: Mapping[str, Tar
 
     Rounding goes by blocks: hashed parts of a combination of margins of about BLOCK_ROWS rows, so a
     combination with a third of all rows is many blocks.  Inside one, documents pass in descending
-    size and copies follow the running sum of rate * size, so a block is off by less than half of
-    its small documents.  Ties of size go by key; repeated rows are rounded one by one.
+    size and copies follow the running sum of rate * size, so a block is off by a few tokens.  Ties of size go by key; repeated rows are rounded one by one.
     Documents without words take 0 words; they are kept as often as their rate says.
     """
     names = list(margins)

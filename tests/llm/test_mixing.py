@@ -28,6 +28,17 @@ def test_rounding_follows_the_rates():
     assert set(copies) <= {0, 1, 2} and abs((copies * sizes).sum() - 0.7 * sizes.sum()) <= sizes[-1]
 
 
+def test_rounding_near_the_most_copies():
+    rng = np.random.default_rng(1)
+    for n in (5, 12, 40):
+        for rate in (0.05, 0.5, 1.87, 1.99):
+            sizes = -np.sort(-rng.integers(1, 3000, n))
+            copies = mixing.round_block(sizes, np.full(n, rate), 2)
+            assert copies.min() >= 0 and copies.max() <= 2
+            miss = abs((copies * sizes).sum() - rate * sizes.sum())
+            assert miss <= (0.03 if n > 5 else 0.2) * max(sizes.sum() * min(rate, 1), sizes[0])
+
+
 def test_documents(spark, documents):
     docs = documents(*[(i, "w " * (i % 50)) for i in range(600)], source="a").union(documents(*[(i, "w " * 20) for i in range(600, 700)], source="b")).union(documents((700, None), (701, ""), (702, "one two"), source=None))
     rows = mixing.mix_documents(spark, docs).collect()
