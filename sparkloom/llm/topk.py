@@ -21,6 +21,9 @@ from sparkloom.llm.common import Workspace, table
 
 BLOCK = 2048
 QUERY_BLOCK = 1024
+#: Blocks are dealt to so many lanes at most; a lane carries its best scores from block to block, so what
+#: it passes on for a query doesn't grow with the vectors.
+LANES = 256
 #: Impacts (absolute components) are quantised by halving: level n holds 2^n .. 2^(n+1) - 1.
 #: The walk stops when this share of the block, at most, are possible members.
 OPEN_SHARE = 0.06
@@ -60,10 +63,11 @@ def build(matrix: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return out
 
 
-def search(segments: list[tuple[int, int, np.ndarray, np.ndarray]], matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def search(segments: list[tuple[int, int, np.ndarray, np.ndarray]], matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query row, member, score) of the k best of each query, and the levels that were read.
 
-    Members with the query's own id are left out; ties go to the smaller id.  Vectors so large that a
+    Members with the query's own id are left out; ties go to the smaller id.  ``floor``: scores of which
+    each query has k already; members that can't reach them are no possible members.  Vectors so large that a
     score may not fit 64 bits raise.
     """
     n = len(matrix)
@@ -91,6 +95,7 @@ def search(segments: list[tuple[int, int, np.ndarray, np.ndarray]], matrix: np.n
         margin = np.outer(norm, np.sqrt(np.maximum(rest2, 0))) * (1 + 1e-6) + (at < len(levels)) * 1e-3
         low = np.where(mine, -np.inf, scores - margin)
         kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+        kth = kth if floor is None else np.maximum(kth, floor)
         possible = ~mine & (scores + margin >= kth[:, None])
         if at == len(levels) or possible.sum() <= max(OPEN_SHARE * n, 2 * k) * len(q):
             break
@@ -139,13 +144,31 @@ def _packed(width: int, key: str):
 
 def _walk(k: int):
     def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[np.ndarray] | None = None  # query row, vec_id, score
+        qids = np.zeros(0, np.int64)
         for batch in batches:
-            for r in batch.to_pylist():
+            for n in range(batch.num_rows):
+                r = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
                 ids, qids, width = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["qids"], "<i8"), r["width"]
                 ends = np.cumsum(np.frombuffer(r["lengths"], "<i4"))[:-1]
                 segments = list(zip(np.frombuffer(r["levels"], "i1").tolist(), np.frombuffer(r["dims"], "<i4").tolist(), np.split(np.frombuffer(r["members"], "<i4"), ends), np.split(np.frombuffer(r["impacts"], "<i8"), ends), strict=True)) if r["levels"] else []
-                rows, members, scores, _ = search(segments, _ints(r["ints"], len(ids), width), ids, _ints(r["qints"], len(qids), width), qids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(ids[members]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                floor = None
+                if best is not None:
+                    floor = np.full(len(qids), -np.inf)
+                    count = np.bincount(best[0], minlength=len(qids))
+                    last = np.cumsum(count) - 1
+                    floor[count >= k] = best[2][last[count >= k]]
+                rows, members, scores, _ = search(segments, _ints(r["ints"], len(ids), width), ids, _ints(r["qints"], len(qids), width), qids, k, floor)
+                found = [rows, ids[members], scores]
+                if best is not None:
+                    found = [np.concatenate(x) for x in zip(best, found, strict=True)]
+                order = np.lexsort((found[1], -found[2], found[0]))
+                found = [x[order] for x in found]
+                first = np.searchsorted(found[0], np.arange(len(qids)))
+                keep = np.arange(len(order)) - first[found[0]] < k
+                best = [x[keep] for x in found]
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -155,8 +178,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str,
 
     Both inputs are (key, ints) as ``whole_vectors`` makes them, keys not null; of rows that repeat
     a key and vector one counts, and rows of the query's key are its own.  Vectors of fewer
-    dimensions count as filled up with zeros.  Blocks are hashed parts of a size that doesn't grow,
-    so the work is (query blocks) * (blocks) tasks of equal size, each emitting k rows a query.
+    dimensions count as filled up with zeros.  Blocks are hashed parts of a size that doesn't grow.
+    Query blocks go to every lane, index blocks to one; a lane reads its blocks as a stream.
     """
     work = Workspace(spark, "topk")
     vectors = work.save(vectors.filter(F.col(key).isNotNull()).dropDuplicates(), "vectors")
@@ -169,9 +192,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str,
     index = work.save(vectors.withColumn("block", dealt(blocks)).groupBy("block").applyInArrow(_index(width, key), INDEX), "index")
     asked = work.save(queries.withColumn("qblock", dealt(qblocks)).groupBy("qblock").applyInArrow(_packed(width, key), "qblock int, qids binary, qints binary"), "asked")
     work.drop(vectors, queries)
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(blocks, 1), "block")
-    met = pairs.join(index.hint("shuffle_hash"), "block")
-    found = met.groupBy("block", "qblock").applyInArrow(_walk(k), "query_id bigint, vec_id bigint, score bigint")
+    lanes = min(blocks, LANES)
+    sent = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    met = sent.repartition(lanes, "lane").join(index.withColumn("lane", F.col("block") % lanes).hint("shuffle_hash"), "lane")
+    found = met.groupBy("lane", "qblock").applyInArrow(_walk(k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -24,9 +24,10 @@ def found(spark, rows, k=20):
     return sorted(map(tuple, topk.top_k(spark, vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", k).collect()))
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "lanes"), [(16, 256), (16, 2), (4096, 256)])
+def test_equals_brute_force(spark, monkeypatch, block, lanes):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LANES", lanes)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(150)]
