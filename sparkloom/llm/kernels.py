@@ -6,6 +6,7 @@ so a worker holds a small multiple of one piece and not of the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ PLACE_CODE = _random.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: idle workers stay for a while beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every bit of the result hangs on every bit of the input."""
     h = h ^ (h >> np.uint64(30))
@@ -48,6 +58,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iter
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
         yield row, stop, data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
+    trim()
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -183,6 +183,8 @@ def _by_group(key: str, make):
                 held.append(rows)
         if held:
             yield from done(pa.concat_tables(held))
+        held.clear()
+        kernels.trim()
 
     return run
 
@@ -375,7 +377,9 @@ def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame
             pairs = pairs.union(_few_pairs(large, sketches)).union(_pivot_pairs(large, sketches))
         if merged is not None:
             pairs = pairs.union(merged.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        pairs = work.save(pairs, "pairs")  # written first: a task that compares and joins would need two workers
         merged = components(work, pairs)
+        work.drop(pairs)
         below = roots(range(FIRST_TREES, TREES)) if depth == 0 else None
         if deep:
             open_ = _undecided(_labelled(large.filter("NOT few").select("node", "id"), merged))

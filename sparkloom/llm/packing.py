@@ -33,8 +33,8 @@ FAN_IN = 8
 #: The id that ends every document.
 END = 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 2_000_000
-TABLE = 1 << 22
+CACHE_WORDS = 1_000_000
+TABLE = 1 << 21
 _SLOT = np.uint64(TABLE - 1)
 
 
