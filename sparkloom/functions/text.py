@@ -47,12 +47,17 @@ def let(value: Column, body) -> Column:
 
 
 def pieces(content: Column, pattern: str) -> Column:
-    """The text cut before every match: ``array<struct<start,text>>``, the part before the first included.
+    """The text cut before every match: ``array<struct<start,line,before,text>>``, the part before the first included.
 
-    Matches are those that a left-to-right scan finds, not the places where a look-ahead holds.
+    ``start`` and ``line`` count from 1; ``before`` is the part before.  Matches are those that a
+    left-to-right scan finds, not the places where a look-ahead holds.
     """
-    mark = ""
+    mark = "\ue000"
     cut = F.split(F.regexp_replace(content, pattern, mark + "$0"), mark)
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["next"] + F.length(x)).alias("next"), F.array_append(a["out"], F.struct(a["next"].alias("start"), x.alias("text"))).alias("out"))
+    zero = F.struct(F.lit(1).alias("next"), F.lit(1).alias("line"), F.lit("").alias("before"), F.array().cast("array<struct<start:int,line:int,before:string,text:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        piece = F.struct(a["next"].alias("start"), a["line"].alias("line"), a["before"].alias("before"), x.alias("text"))
+        return F.struct((a["next"] + F.length(x)).alias("next"), (a["line"] + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("line"), x.alias("before"), F.array_append(a["out"], piece).alias("out"))
+
     return F.aggregate(cut, zero, step, lambda a: a["out"])

@@ -29,20 +29,28 @@ _CONTROL = ["if", "while", "for", "switch"]
 
 
 def _found(files: DataFrame, pattern: str) -> DataFrame:
-    """A row for each match: repo, path, content, start, match, line."""
+    """A row for each match: repo, path, content, start, line, match, and the parts before and from it."""
     cut = files.select("repo", "path", "content", F.posexplode(T.pieces(F.col("content"), pattern)).alias("__k", "__p")).filter("__k > 0")
-    return cut.select("repo", "path", "content", F.col("__p.start").alias("start"), F.regexp_extract("__p.text", pattern, 0).alias("match"), T.line_at(F.col("content"), F.col("__p.start")).alias("line"))
+    return cut.select("repo", "path", "content", "__p.start", "__p.line", "__p.before", F.col("__p.text").alias("piece"), F.regexp_extract("__p.text", pattern, 0).alias("match"))
 
 
-def _end(tail: Column, marks: str, start: int, step) -> Column:
-    """Characters of ``tail`` up to and with the mark at which ``step(depth, mark) -> (depth, done)`` is done; all if it never is."""
+def _end(marks: str, start: int, step) -> Column:
+    """Characters after the match up to and with the mark at which ``step(depth, mark) -> (depth, done)`` is done.
+
+    The part up to the next match mostly has it; else the rest of the file is read, all of it if no
+    mark is the end.
+    """
     zero = F.struct(F.lit(start).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def fold(a: Column, s: Column) -> Column:
         depth, done = step(a["depth"], F.right(s, F.lit(1)))
         return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.length(s)).alias("n"), done.alias("done")))
 
-    return F.aggregate(F.regexp_extract_all(tail, F.lit(f"(?s)[^{marks}]*[{marks}]"), F.lit(0)), zero, fold, lambda a: F.when(a["done"], a["n"]).otherwise(F.length(tail)))
+    def over(tail: Column, missing: Column) -> Column:
+        return F.aggregate(F.regexp_extract_all(tail, F.lit(f"(?s)[^{marks}]*[{marks}]"), F.lit(0)), zero, fold, lambda a: F.when(a["done"], a["n"]).otherwise(missing))
+
+    near = F.substring(F.col("piece"), F.length("match") + 1, F.length("piece"))
+    return F.coalesce(over(near, F.lit(None).cast("int")), over(_tail(), F.length(_tail())))
 
 
 def _braced(depth: Column, mark: Column) -> tuple[Column, Column]:
@@ -72,9 +80,15 @@ def _body(more: Column) -> Column:
     return F.substring(F.col("content"), F.col("start"), F.length("match") + more)
 
 
-def _walk(keep, drop: Column | None, skip) -> Column:
+def _above() -> Column:
+    """The lines above a match, nearest first.  Those before the last match can't count: it ends any walk."""
+    lines = F.split("before", "\n")
+    return F.reverse(F.slice(lines, F.lit(1), F.size(lines) - 1))
+
+
+def _walk(keep, skip) -> Column:
     """The comment lines above a match, walking up: kept ones cut, skipped ones passed, any other ends it (EXT-06, EXT-24)."""
-    above = F.reverse(F.slice(F.split("content", "\n"), F.lit(1), F.col("line") - 1))
+    above = _above()
     zero = F.struct(F.lit(False).alias("stop"), F.array().cast("array<string>").alias("docs"))
 
     def fold(a: Column, raw: Column) -> Column:
@@ -90,16 +104,16 @@ def _walk(keep, drop: Column | None, skip) -> Column:
 
 def _rust_doc() -> Column:
     keep = lambda x: F.when(x.startswith("///") | x.startswith("//!"), T.strip(F.substring(x, F.lit(4), F.length(x))))
-    return _walk(keep, None, lambda x: (x == "") | x.startswith("#["))
+    return _walk(keep, lambda x: (x == "") | x.startswith("#["))
 
 
 def _c_doc() -> Column:
-    return _walk(lambda x: F.when(x.startswith("//"), T.strip(F.substring(x, F.lit(3), F.length(x)))), None, lambda x: x == "")
+    return _walk(lambda x: F.when(x.startswith("//"), T.strip(F.substring(x, F.lit(3), F.length(x)))), lambda x: x == "")
 
 
 def _attributes() -> Column:
     """The one-line attributes above a declaration, in their order (EXT-07)."""
-    above = F.reverse(F.slice(F.split("content", "\n"), F.lit(1), F.col("line") - 1))
+    above = _above()
     zero = F.struct(F.lit(False).alias("stop"), F.array().cast("array<string>").alias("got"))
 
     def fold(a: Column, raw: Column) -> Column:
@@ -134,16 +148,16 @@ def rust(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     parts = []
     functions = _found(files, RUST_FN).filter(public(RUST_FN))
     signature = T.strip(F.concat(F.lit("fn "), group(RUST_FN, 3), F.lit("("), group(RUST_FN, 5), F.lit(")"), group(RUST_FN, 6)))
-    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _end(_tail(), r"{}", 1, _braced), _rust_doc(), T.strip(group(RUST_FN, 2)), attributes))
+    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _end(r"{}", 1, _braced), _rust_doc(), T.strip(group(RUST_FN, 2)), attributes))
     structs = _found(files, RUST_STRUCT).filter(public(RUST_STRUCT))
-    end = _end(_tail(), r"{};", 0, _struct_compat) if compat else _end(_tail(), r"{}()\[\];", 0, _struct)
+    end = _end(r"{};", 0, _struct_compat) if compat else _end(r"{}()\[\];", 0, _struct)
     parts.append(_items(structs, "struct", group(RUST_STRUCT, 3), F.concat(F.lit("struct "), group(RUST_STRUCT, 3)), end, _rust_doc(), T.strip(group(RUST_STRUCT, 2)), attributes))
     enums = _found(files, RUST_ENUM).filter(public(RUST_ENUM))
-    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _end(_tail(), r"{}", 0, _enum), _rust_doc(), T.strip(group(RUST_ENUM, 2)), attributes))
+    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _end(r"{}", 0, _enum), _rust_doc(), T.strip(group(RUST_ENUM, 2)), attributes))
     if not compat:
         impls = _found(files, RUST_IMPL)
         name = F.concat(F.lit("impl "), group(RUST_IMPL, 3))
-        parts.append(_items(impls, "impl", name, name, _end(_tail(), r"{}", 1, _braced), F.lit(None).cast("string"), F.lit("pub"), attributes))
+        parts.append(_items(impls, "impl", name, name, _end(r"{}", 1, _braced), F.lit(None).cast("string"), F.lit("pub"), attributes))
     constants = _found(files, RUST_CONST).filter(public(RUST_CONST))
     consts = constants.select("repo", F.col("path").alias("file_path"), group(RUST_CONST, 3).alias("name"), T.strip(group(RUST_CONST, 5)).alias("value"), T.strip(group(RUST_CONST, 4)).alias("type_annotation"), _rust_doc().alias("doc_comment"), F.col("line").cast("int").alias("line_number"))
     return reduce(DataFrame.unionByName, parts), consts
@@ -155,14 +169,14 @@ def c(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     none, pub = F.array().cast("array<string>"), F.lit("pub")
     functions = _found(files, C_FN).filter(~group(C_FN, 2).isin(_CONTROL))
     signature = F.concat(T.strip(group(C_FN, 1)), F.lit(" "), group(C_FN, 2), F.lit("("), group(C_FN, 3), F.lit(")"))
-    parts = [_items(functions, "function", group(C_FN, 2), signature, _end(_tail(), r"{}", 1, _braced), _c_doc(), pub, none)]
+    parts = [_items(functions, "function", group(C_FN, 2), signature, _end(r"{}", 1, _braced), _c_doc(), pub, none)]
 
-    def closed(tail: Column) -> Column:
+    def closed() -> Column:
         """To the closing brace, then to the next semicolon or the end."""
-        return T.let(_end(tail, r"{}", 1, _braced), lambda n: T.let(F.call_function("instr", F.substring(tail, n + 1, F.length(tail)), F.lit(";")), lambda k: F.when(k > 0, n + k).otherwise(F.length(tail))))
+        return T.let(_end(r"{}", 1, _braced), lambda n: T.let(F.call_function("instr", F.substring(_tail(), n + 1, F.length("content")), F.lit(";")), lambda k: F.when(k > 0, n + k).otherwise(F.length(_tail()))))
 
     for kind, pattern in (("struct", C_STRUCT), *([] if compat else [("enum", C_ENUM)])):
-        parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(_tail()), _c_doc(), pub, none))
+        parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(), _c_doc(), pub, none))
     if not compat:
         types = _found(files, C_TYPEDEF)
         parts.append(_items(types, "type", group(C_TYPEDEF, 1), F.concat(F.lit("typedef "), group(C_TYPEDEF, 1)), F.lit(0), _c_doc(), pub, none))
