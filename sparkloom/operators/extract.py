@@ -77,7 +77,12 @@ def _tail() -> Column:
 
 
 def _body(more: Column) -> Column:
-    return F.substring(F.col("content"), F.col("start"), F.length("match") + more)
+    """The match and what follows to its end; a cut of the part where that is enough, for a cut of the file is a walk to its place."""
+
+    def cut(n: Column) -> Column:
+        return F.when(n <= F.length("piece"), F.substring(F.col("piece"), F.lit(1), n)).otherwise(F.substring(F.col("content"), F.col("start"), n))
+
+    return T.let(F.length("match") + more, cut)
 
 
 def _above() -> Column:
@@ -173,7 +178,10 @@ def c(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
 
     def closed() -> Column:
         """To the closing brace, then to the next semicolon or the end."""
-        return T.let(_end(r"{}", 1, _braced), lambda n: T.let(F.call_function("instr", F.substring(_tail(), n + 1, F.length("content")), F.lit(";")), lambda k: F.when(k > 0, n + k).otherwise(F.length(_tail()))))
+        semicolon = lambda text, n: F.call_function("instr", F.substring(text, n + 1, F.length(text)), F.lit(";"))
+        near = F.substring(F.col("piece"), F.length("match") + 1, F.length("piece"))
+        far = lambda n: T.let(semicolon(_tail(), n), lambda k: F.when(k > 0, n + k).otherwise(F.length(_tail())))
+        return T.let(_end(r"{}", 1, _braced), lambda n: T.let(semicolon(near, n), lambda k: F.when(k > 0, n + k).otherwise(far(n))))
 
     for kind, pattern in (("struct", C_STRUCT), *([] if compat else [("enum", C_ENUM)])):
         parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(), _c_doc(), pub, none))
