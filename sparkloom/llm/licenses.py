@@ -9,7 +9,8 @@ family, is reported as ``unknown``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,10 @@ SAMPLE_LINES = 4000
 VARIATIONS = 24
 STEPS = 160
 COVERAGE = 0.7
+#: Words from the first to the last of a wrapped notice, at most: so many times its template's, and some.
+REACH, MORE = 2, 10
+#: Comment leaders that are words.
+_LEADER = re.compile(rb"\n[ \t]*(?:dnl|rem)(?![0-9A-Za-z\x80-\xff])", re.IGNORECASE)
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -62,17 +67,21 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hash, line, order) of all word 1- to 3-grams; ``offsets`` bound the lines."""
     data = kernels.LOWER[data]
     starts, ends = kernels.runs(_ALNUM[data], offsets)
-    h = kernels.span_hashes(data, starts, ends)
-    line = np.searchsorted(offsets, starts, "right") - 1
-    hashes, lines, orders = [h], [line], [np.ones(len(h), np.int8)]
+    h, first, order = _chains(kernels.span_hashes(data, starts, ends), line := np.searchsorted(offsets, starts, "right") - 1)
+    return h, line[first], order
+
+
+def _chains(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, order) of all 1- to 3-grams of the words ``h`` inside lines."""
+    hashes, firsts, orders = [h], [np.arange(len(h))], [np.ones(len(h), np.int8)]
     chain = h
     for n in (2, 3):
         chain = kernels.mix(chain[:-1] * kernels._A + h[n - 1 :]) if len(h) >= n else np.zeros(0, np.uint64)
         inside = line[n - 1 :] == line[: max(0, len(line) - n + 1)]
         hashes.append(chain[inside])
-        lines.append(line[n - 1 :][inside])
+        firsts.append(np.flatnonzero(inside))
         orders.append(np.full(int(inside.sum()), n, np.int8))
-    return np.concatenate(hashes), np.concatenate(lines), np.concatenate(orders)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(orders)
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +104,35 @@ class Vocabulary:
         at = np.searchsorted(self.hashes, h)
         self.templates[line[order > 1], at[order > 1]] = 1
         self.sizes = np.maximum(self.templates.sum(1), 1)
+        self.reach = REACH * np.bincount(line[order == 1], minlength=len(self.families)) + MORE
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(line, place in the vocabulary), distinct, in order."""
         h, line, _ = grams(data, offsets)
-        near = self.maybe[(h & _MASK).astype(np.int64)]
-        h, line = h[near], line[near]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        pairs = np.unique(line[known] * np.int64(len(self.hashes)) + at[known])
+        known, at = self._known(h)
+        return self._distinct(line[known], at)
+
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.flatnonzero(self.maybe[(h & _MASK).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        known = self.hashes[at] == h[near]
+        return near[known], at[known]
+
+    def _distinct(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(line * np.int64(len(self.hashes)) + at)
         return pairs // len(self.hashes), pairs % len(self.hashes)
 
+    def places(self, data: np.ndarray, units: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(unit, place in the vocabulary, first word, last word) of all known n-grams by unit and word, and each word's line."""
+        data = kernels.LOWER[data]
+        starts, ends = kernels.runs(_ALNUM[data], units)
+        unit = np.searchsorted(units, starts, "right") - 1
+        h, first, order = _chains(kernels.span_hashes(data, starts, ends), unit)
+        known, at = self._known(h)
+        first, last = first[known], first[known] + order[known] - 1
+        by = np.lexsort((last, first))
+        return unit[first[by]], at[by], first[by], last[by], np.searchsorted(lines, starts, "right") - 1
+
     def coverage(self, x: np.ndarray) -> np.ndarray:
         """Of each row's presence vector, the share of each template's n-grams in it."""
         return (x @ self.templates.T) / self.sizes
@@ -203,13 +230,168 @@ def train(docs: DataFrame) -> Model:
     return fit([r[0] for r in rows])
 
 
+def _paragraphs(data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the paragraphs of several lines; texts' ends, and lines without words, end one."""
+    starts, _ = kernels.runs(_ALNUM[data], bounds)
+    full = np.zeros(len(bounds) - 1, bool)
+    full[np.searchsorted(bounds, starts, "right") - 1] = True
+    first, last = kernels.runs(full, np.searchsorted(bounds, offsets))
+    many = last - first > 1
+    return first[many], last[many] - 1
+
+
+def _covering(at: np.ndarray, a: np.ndarray, b: np.ndarray, lines: tuple[np.ndarray, np.ndarray], size: float, reach: int) -> list[tuple[int, int]]:
+    """Of a template's n-grams in a paragraph, the runs of lines that cover it; ``a``, ``b`` are their first and last words."""
+    out: list[tuple[int, int]] = []
+    la, lb = lines
+
+    def inside(x: int, y: int) -> int:
+        near = slice(*np.searchsorted(la, (x, y + 1)))
+        return len(np.unique(at[near][lb[near] <= y]))
+
+    count: dict[int, int] = {}
+    left, k = 0, 0
+    while k < len(at):
+        count[int(at[k])] = count.get(int(at[k]), 0) + 1
+        while left < k and (count[int(at[left])] > 1 or b[k] - a[left] >= reach):
+            g = int(at[left])
+            count[g] -= 1
+            if not count[g]:
+                del count[g]
+            left += 1
+        k += 1
+        if len(count) < COVERAGE * size - 1e-6:
+            continue
+        lo, hi = int(la[left]), int(lb[left:k].max())
+        while True:  # neighbouring lines that cover more, by two n-grams at least
+            now = inside(lo, hi) + 1
+            if inside(lo, hi + 1) > now:
+                hi += 1
+            elif (not out or lo - 1 > out[-1][1]) and inside(lo - 1, hi) > now:
+                lo -= 1
+            else:
+                break
+        enough = lambda x, y: inside(x, y) >= max(COVERAGE * size - 1e-6, inside(lo, hi) - 1)  # noqa: B023, E731
+        while lo < hi and enough(lo + 1, hi):  # lines at the ends that share one by chance
+            lo += 1
+        while lo < hi and enough(lo, hi - 1):
+            hi -= 1
+        out.append((lo, hi))
+        count = {}
+        while k < len(at) and la[k] <= hi:
+            k += 1
+        left = k
+    return out
+
+
+#: First line, last line, family, probability, coverage, confirmed.
+Found = tuple[int, int, str, float, float, bool]
+
+
+def _judged(model: Model, x: np.ndarray) -> tuple[int, float, float, bool]:
+    """The best family of a presence vector, its probability and coverage, and whether they confirm it."""
+    p = model.probabilities(x[None])[0]
+    best = int(p[2:].argmax()) + 2
+    own = float(model.vocabulary.coverage(x[None])[0][np.array(model.vocabulary.families) == FAMILIES[best]].max())
+    return best, float(p[best]), own, bool(p[best] >= model.threshold and own >= COVERAGE)
+
+
+def _notice(model: Model, presence: Callable[[int, int], np.ndarray], span: tuple[int, int], single: list[Found]) -> tuple[list[Found], list[Found]]:
+    """Findings in a run of lines, and those of its single lines that they replace; ``presence`` gives lines' vectors."""
+    families, sets = np.array(model.vocabulary.families), model.vocabulary.templates > 0
+    y = presence(*span)
+    taken = np.zeros(len(y), bool)
+
+    def alone(family: str, y: np.ndarray) -> bool:
+        """Whether a template of the family is covered, also in what it doesn't share with families found."""
+        return any((t & ~taken).any() and y[t].mean() >= COVERAGE and y[t & ~taken].mean() >= COVERAGE for t in sets[families == family])
+
+    best, p, c, sure = _judged(model, y)
+    if not sure:
+        return ([], []) if any(f[5] for f in single) else ([(*span, "unknown", p, c, False)], single)
+    out: list[Found] = []
+    found = set()
+    for name in (FAMILIES[best], *TEMPLATES):
+        if name in found or not alone(name, y):
+            continue
+        own = sets[families == name].any(0)
+        best, p, c, sure = _judged(model, np.where(taken & ~own, 0, y).astype(np.float32))
+        if sure and FAMILIES[best] == name:
+            if not any(f[2] == name and f[4] >= c - 1e-6 for f in single):
+                out.append((*span, name, p, c, True))
+            found.add(name)
+            taken |= own
+    new = {f[2] for f in out}
+    gone = [f for f in single if out and (not f[5] or f[2] in new or f[2] not in found and not alone(f[2], presence(f[0], f[0])))]
+    return out, gone
+
+
+def _wrapped(model: Model, data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, single: list[Found]) -> list[Found]:
+    """``single``, the findings of lines, with those of paragraphs; a notice is found once."""
+    vocabulary = model.vocabulary
+    start, stop = _paragraphs(data, offsets, bounds)
+    if not len(start):
+        return single
+    if _LEADER.search(raw := data.tobytes()):
+        data = np.frombuffer(_LEADER.sub(lambda m: b"\n" + b" " * (len(m[0]) - 1), raw), np.uint8)
+    units = np.unique(np.concatenate(([0, len(data)], bounds[start], bounds[stop + 1])))
+    mine = np.searchsorted(units, bounds[start])
+    unit, at, first, last, line = vocabulary.places(data, units, bounds)
+    ends = np.searchsorted(unit, np.arange(len(units)))
+    u, v = vocabulary._distinct(unit, at)
+    many = np.flatnonzero(np.diff(np.searchsorted(u, np.arange(len(units))))[mine] >= 3)
+    lines = np.array([f[0] for f in single], np.int64)
+    gone: set[Found] = set()
+    out: list[Found] = []
+    for i in range(0, len(many), 2000):
+        part = many[i : i + 2000]
+        inside = np.isin(u, mine[part])
+        x = _dense(np.searchsorted(mine[part], u[inside]), v[inside], len(part), len(vocabulary.hashes))
+        covered, like = vocabulary.coverage(x), model.probabilities(x)[:, 2:].sum(1) > 0.5
+        for k in np.flatnonzero(like | (covered.max(1) >= COVERAGE)):
+            here = slice(ends[mine[part[k]]], ends[mine[part[k]] + 1])
+            g, a, b = at[here], first[here], last[here]
+            la, lb = line[a], line[b]
+
+            def presence(s: int, e: int) -> np.ndarray:
+                y = np.zeros(len(vocabulary.hashes), np.float32)
+                near = slice(*np.searchsorted(la, (s, e + 1)))  # noqa: B023
+                y[g[near][lb[near] <= e]] = 1  # noqa: B023
+                return y
+
+            spans: list[tuple[int, int]] = []
+            for t in np.flatnonzero(covered[k] >= COVERAGE):
+                m = vocabulary.templates[t, g] > 0
+                spans += _covering(g[m], a[m], b[m], (la[m], lb[m]), float(vocabulary.sizes[t]), int(vocabulary.reach[t]))
+            runs: list[tuple[int, int]] = []
+            for s, e in sorted(spans):
+                if runs and s <= runs[-1][1]:
+                    runs[-1] = runs[-1][0], max(runs[-1][1], e)
+                else:
+                    runs.append((s, e))
+            lo, hi = int(start[part[k]]), int(stop[part[k]])
+            of = lambda s, e: single[np.searchsorted(lines, s) : np.searchsorted(lines, e + 1)]
+            new: list[Found] = []
+            for s, e in runs:
+                if s < e:
+                    more, less = _notice(model, presence, (s, e), of(s, e))
+                    new += more
+                    gone.update(less)
+            if like[k] and not new and not of(lo, hi):
+                best, p, c, _ = _judged(model, x[k])
+                new.append((lo, hi, "unknown", p, c, False))
+            out += new
+    return sorted([f for f in single if f not in gone] + out)
+
+
 FOUND = "doc_id bigint, line int, family string, probability double, coverage double, confirmed boolean, paragraph string"
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """One row for each line that holds a licence notice, or one of an unknown kind.
+    """One row for each line or run of a paragraph's lines that holds a licence notice, or one of an unknown kind.
 
-    Null, empty and blank texts have none.  Repeated documents are reported each.
+    Null, empty and blank texts have none.  Repeated documents are reported each.  ``line`` is the
+    notice's first, ``paragraph`` all of its lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +402,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for row, _, data, offsets in kernels.pieces(batch.column(1)):
                 bounds = np.unique(np.concatenate((offsets, np.flatnonzero(data == 10) + 1)))
                 line, at = vocabulary.hits(data, bounds)
-                if not len(line):
-                    continue
                 many, first = np.unique(line, return_index=True)
                 sizes = np.diff(np.append(first, len(line)))
                 many = many[sizes >= 3]  # fewer known n-grams than the shortest template has
-                out: list[tuple] = []
+                single: list[Found] = []
                 for i in range(0, len(many), 2000):
                     part = many[i : i + 2000]
                     inside = np.isin(line, part)
@@ -236,10 +416,13 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                         best = int(p[k, 2:].argmax()) + 2
                         own = float(covered[k][families == FAMILIES[best]].max())
                         sure = bool(p[k, best] >= model.threshold and own >= COVERAGE)
-                        a, b = int(bounds[part[k]]), int(bounds[part[k] + 1])
-                        doc = int(np.searchsorted(offsets, a, "right")) - 1
-                        place = int((data[offsets[doc] : a] == 10).sum())
-                        out.append((ids[row + doc], place, FAMILIES[best] if sure else "unknown", float(p[k, best]), own, sure, data[a:b].tobytes().decode().rstrip("\n")))
+                        single.append((int(part[k]), int(part[k]), FAMILIES[best] if sure else "unknown", float(p[k, best]), own, sure))
+                out: list[tuple] = []
+                for top, end, *found in _wrapped(model, data, offsets, bounds, single):
+                    a, b = int(bounds[top]), int(bounds[end + 1])
+                    doc = int(np.searchsorted(offsets, a, "right")) - 1
+                    place = int((data[offsets[doc] : a] == 10).sum())
+                    out.append((ids[row + doc], place, *found, data[a:b].tobytes().decode().rstrip("\n")))
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])

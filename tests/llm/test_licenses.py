@@ -39,3 +39,36 @@ def test_empty_table_and_training(spark, documents):
     docs = documents("a b c", "Released under the MIT License.", None)
     assert L.scan(docs.filter("false"), L.train(docs.filter("false"))).count() == 0
     assert [r.family for r in L.scan(docs, L.train(docs)).collect()] == ["MIT"]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+
+
+@pytest.mark.parametrize(("family", "text", "start"), [("MIT", MIT, 0), ("GPL-3.0", GPL, 0), ("BSD", BSD, 0)])
+def test_wrapped_notices(spark, documents, model, family, text, start):
+    lines = text.split("\n")
+    forms = [text, "\n".join(" * " + x for x in lines), "\n".join("# " + x for x in lines), "\n".join("dnl " + x for x in lines), text.replace("\n", "\r\n")]
+    around = ["Some words.\n\n{}\n\nMore words.", "Some words.\nOther words here.\n{}\nMore words.\nAnd the last."]
+    texts = [w.format(t) for w in around for t in forms]
+    rows = sorted(L.scan(documents(*texts), model).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.line, r.family) for r in rows] == [(i, 2, family) for i in range(len(texts))]
+    assert all(r.confirmed and r.paragraph.count("\n") + 1 in (len(lines), len(lines) - 1, len(lines) - 2) for r in rows)
+
+
+def test_wrapped_notices_of_one_paragraph(spark, documents, model):
+    both = f"{MIT}\nOrdinary text.\n{GPL}\nReleased under the BSD License."
+    blank = "Permission is hereby granted, free of charge, to any\n\nperson entering the building."
+    assert scanned(documents(both, MIT + "\n\n" + GPL, MIT + "\n" + MIT), model) == [(0, 0, "MIT"), (0, 6, "GPL-3.0"), (0, 10, "BSD"), (1, 0, "MIT"), (1, 6, "GPL-3.0"), (2, 0, "MIT"), (2, 5, "MIT")]
+    assert all(f == "unknown" for _, _, f in scanned(documents(blank), model))
+    assert scanned(documents("A plain line.\nAnother one of words.\nThe cat slept."), model) == []
