@@ -326,6 +326,14 @@ def vector_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "key", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
+@_query("vector_knn_join_twentieth", f"SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS key, {_COSINE} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE.replace(', 6)', ', 12)')}, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
+def vector_knn_join_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of a table's own share of queries: ``vector_knn_join`` and its SQL keep the first 50."""
+    rows = _table(spark, sf_dir, "embeddings")
+    found = search.in_blocks(rows.filter("vec_id % 20 = 0"), "vec_id", lambda block: search.knn_join(block, rows, 10, "vec_id", "vec_id"))
+    return found.select("query", "key", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
 @_query("vector_metrics", "SELECT b.vec_id, round(-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])), 6) + 0.0::DOUBLE AS dot, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]) ** 2)), 6) AS l2sq FROM embeddings a, embeddings b WHERE a.vec_id = 0")
 def vector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = vectors.literal(_query_vector(spark, sf_dir))
