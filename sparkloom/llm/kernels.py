@@ -96,14 +96,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Of each text its sorted distinct two-word shingles as hashes, A-Z lowered."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """Of each text its sorted distinct shingles of ``width`` words as hashes, A-Z lowered.
+
+    Of a text with fewer words, the whole sequence is the only shingle.
+    """
     data = LOWER[data]
     starts, ends, at = words(data, offsets)
     h = span_hashes(data, starts, ends)
-    pair = mix(h[:-1] * _A + (h[1:] ^ _C)) if len(h) > 1 else np.zeros(0, np.uint64)
-    alone = mix(h ^ _A)
+    runs_of = [mix(h ^ _A)]  # by number of words, from each word on
+    for n in range(1, width):
+        runs_of.append(mix(runs_of[-1][:-1] * _A + (h[n:] ^ _C)) if len(h) > n else np.zeros(0, np.uint64))
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
-        out.append(np.unique(pair[a : b - 1]) if b - a > 1 else alone[a:b])
+        n = min(width, b - a)
+        out.append(np.unique(runs_of[n - 1][a : b - n + 1]) if n else np.zeros(0, np.uint64))
     return out

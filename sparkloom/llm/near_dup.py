@@ -1,122 +1,153 @@
 """Near-duplicate documents by a chosen-path set-similarity join.
 
-A document is the set of its two-word shingles; documents link when their sets overlap by the
-threshold.  Equal sets are one to begin with.  Then independent trees branch the sets: a node's
-children are the values of minwise tokens (coordinates of a MinHash signature) that the node
-itself chooses, 1 / threshold of them on average, so a linked pair is expected to stay together in
-one child of every node however deep the tree goes.  Small nodes are compared exhaustively by
-sketches; large ones compare all members with two pivots and branch on.
+A document is the set of its word shingles; documents link when their sets overlap by the
+threshold.  Equal sets are one to begin with.  Then independent trees branch the sets from their
+roots: a node's children are the values of minwise tokens (coordinates of a MinHash signature) that
+the node itself chooses, 1 / threshold of them on average, so a linked pair is expected to stay
+together in one child of every node however deep the tree goes.  The first levels need no shuffle,
+since a node's choice follows from the node; their number grows with the logarithm of the number of
+sets, and the number of trees follows from the depth and the recall that is asked.  Small nodes are
+compared exhaustively by sketches; large ones in parts, each with two pivots, and branch on.
 
 Pairs whose sketches are near enough join their documents into families, outside which there can
 be no link.  Families prune the search (a node inside one family is done), so a third of the corpus
 in one group of near copies costs a few comparisons for each copy.  At the end each family is
 compared on whole sets, which alone decide the links; a large family first finds its main component
-and then compares only what is outside it with all members, in blocks.  Texts move once.
+and then compares only what is outside it with all members, block by block.  Texts move once more
+for that, in blocks of bounded bytes.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernels
 from sparkloom.llm.common import Workspace, table
 
+WIDTH = 5
 THRESHOLD = Fraction(80, 100)
+#: A sketch is a byte of the minwise shingle of each coordinate.
 COORDINATES = 128
-#: Trees; the first few run before the others, so that these meet the groups already merged.
-TREES, FIRST_TREES = 24, 4
-#: Levels of a tree that every document passes; deeper ones only where nodes are large.
-DEPTH = 3
-MOST_DEPTH = 24
-#: Members of a node that is compared exhaustively, and members outside a large node's main
-#: component that are compared with all its members.
-SMALL = 512
-BLOCK = 128
-#: Of every four nodes one chooses two coordinates: 1.25 on average, for the threshold of 0.8.
+#: Share of the pairs at the threshold that the trees may miss.
+MISS = 1e-5
+#: Trees that run before the others, so that these meet the groups already merged.
+FIRST_TREES = 4
+#: Levels of a tree for up to so many sets; one more for every sixteenfold.
+DEPTH, DEPTH_SETS = 3, 1 << 18
+#: Levels below these after which a node that is still large is compared part by part.
+MORE_DEPTH = 16
+#: Members of a node that is compared in one group, of a node that is compared as a whole, part by part,
+#: and of one such part.
+SMALL, MIDDLE, PART = 512, 2048, 256
+#: Of every four nodes one chooses two coordinates: 1.25 on average, for the threshold of 0.8.  Large
+#: nodes beyond the first levels always choose two.
 TWO_IN = 4
-#: Sketches are a byte for each coordinate.  Sets at the threshold agree in 102 of 128 on average, with a
-#: standard deviation of 4.5; so many must agree for a pair to count, four deviations fewer.
-LEAST = 84
-#: Members of a family that is compared as a whole; larger ones go by blocks.
-FAMILY = 512
+#: Sketches of sets at the threshold agree in 102.5 of 128 coordinates on average, with a standard
+#: deviation of 4.5; so many must agree for a pair to count, 4.6 deviations fewer.
+LEAST = 82
+#: Members of a family that is compared as a whole; larger ones, or ones of more bytes than a block, go
+#: by blocks of so many rows and bytes.
+FAMILY, BLOCK, BLOCK_BYTES = 512, 1024, 4 << 20
 #: Edges that one task joins, at most (16 bytes each).
 ONE_TASK = 1_000_000
 
 _generator = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _generator.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHOSEN = np.stack([_generator.choice(COORDINATES, DEPTH, replace=False) for _ in range(TREES)])
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def forest_shape(sets: int) -> tuple[int, int]:
+    """Depth and number of trees for so many sets.
+
+    A pair at the threshold shares a coordinate with that probability, so its common nodes are a
+    branching process; trees are as many as make the chance that it dies out in all of them MISS.
+    """
+    depth = DEPTH + max(0, math.ceil(math.log(max(sets, 1) / DEPTH_SETS, 16)))
+    stay, lost = float(THRESHOLD), 0.0
+    for level in range(MORE_DEPTH + depth):
+        one = 1 - stay + stay * lost
+        lost = one * one if level < MORE_DEPTH else one * (1 - 1 / TWO_IN) + one * one / TWO_IN
+    return depth, math.ceil(math.log(MISS) / math.log(lost))
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set and coordinate 16 bits that name the set's minwise shingle; 0 for the empty set."""
-    out = np.zeros((len(sets), COORDINATES), np.uint16)
+    """For each set and coordinate a byte of the set's minwise shingle; 0 for the empty set."""
+    out = np.zeros((len(sets), COORDINATES), np.uint8)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         first = np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
         for k, a in enumerate(_MULTIPLIERS):
-            out[full, k] = (kernels.mix(np.minimum.reduceat(flat * a, first)) >> np.uint64(48)).astype(np.uint16)
+            out[full, k] = (kernels.mix(np.minimum.reduceat(flat * a, first)) >> np.uint64(48)).astype(np.uint8)
     return out
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, mins binary"
+SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, n_bytes bigint, sketch binary"
+
+
+def _sum(sets: list[np.ndarray], salt: int) -> pa.Array:
+    return pa.array(np.array([kernels.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
+
+
+def _sign(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, offsets in kernels.pieces(batch.column(1)):
+                sets = kernels.shingles(data, offsets, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, stop - row), pa.array([len(s) for s in sets], pa.int64()), _sum(sets, 1), _sum(sets, 2), pa.array(np.diff(offsets)), _rows_of(signatures(sets))],
+                    names=["doc_id", "n_shingles", "h1", "h2", "n_bytes", "sketch"],
+                )
+
+    return run
+
+
+def _rows_of(sketch: np.ndarray) -> pa.Array:
+    return pa.array([s.tobytes() for s in sketch], pa.binary())
+
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of sketches as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, stop, data, offsets in kernels.pieces(batch.column(1)):
-            sets = kernels.shingles(data, offsets)
-            mins = signatures(sets)
-            total = lambda salt: np.array([int(kernels.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, stop - row), pa.array([len(s) for s in sets], pa.int64()), pa.array(total(1)), pa.array(total(2)), pa.array([m.tobytes() for m in mins], pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "mins"],
-            )
 
+def _children(node: np.ndarray, sketch: np.ndarray, row: np.ndarray, deep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The children of each node for the set of each row: the values of the coordinates that the node chooses."""
+    out = []
+    for k in (0, 1):
+        here = np.arange(len(node)) if k == 0 or deep else np.flatnonzero(kernels.mix(node ^ np.uint64(5)) % np.uint64(TWO_IN) == 0)
+        c = kernels.mix(node[here] ^ np.uint64(11 + k)) % np.uint64(COORDINATES)
+        value = sketch[row[here], c.astype(np.int64)].astype(np.uint64)
+        out.append((kernels.mix(kernels.mix(node[here] * _GOLDEN + np.uint64(k)) ^ (value + (c << np.uint64(16)) + np.uint64(1 << 32))), row[here]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
-def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
-    """A column of byte strings of one length as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
+def _paths(trees: range, depth: int):
+    """The nodes of each set at the depth of each tree."""
 
-def _root_paths(trees: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mins = _matrix(batch.column("mins"), "<u2", COORDINATES).astype(np.uint64)
+            sketch, ids = _matrix(batch.column("sketch")), batch.column("id").to_numpy()
             for t in trees:
-                node = kernels.mix(np.full(len(mins), t + 1, np.uint64) * _GOLDEN)
-                for c in _CHOSEN[t]:
-                    node = kernels.mix(node ^ (mins[:, c] + np.uint64(int(c) << 16) + np.uint64(1 << 32)))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("id")], names=["node", "id"])
+                node, row = kernels.mix(np.full(len(ids), t + 1, np.uint64) * _GOLDEN), np.arange(len(ids))
+                for _ in range(depth):
+                    node, row = _children(node, sketch, row, False)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], names=["node", "id"])
 
     return run
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The children of each (node, id): the values of the coordinates that the node chooses."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        mins = _matrix(batch.column("mins"), "<u2", COORDINATES).astype(np.uint64)
-        node = batch.column("node").to_numpy().view(np.uint64)
-        ids = batch.column("id").to_numpy()
-        for k in (0, 1):
-            here = np.arange(len(node)) if k == 0 else np.flatnonzero(kernels.mix(node ^ np.uint64(5)) % np.uint64(TWO_IN) == 0)
-            c = kernels.mix(node[here] ^ np.uint64(11 + k)) % np.uint64(COORDINATES)
-            child = kernels.mix(kernels.mix(node[here] * _GOLDEN + np.uint64(k)) ^ (mins[here, c.astype(np.int64)] + (c << np.uint64(16)) + np.uint64(1 << 32)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[here])], names=["node", "id"])
-
-
+FOUND = "child boolean, a bigint, b bigint"
 PAIRS = "a bigint, b bigint"
 
 
@@ -126,47 +157,53 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coordinates in which each sketch of ``x`` agrees with each of ``y``."""
-    out = np.zeros((len(x), len(y)), np.int16)
+    out = np.zeros((len(x), len(y)), np.uint8)
     for i in range(0, len(x), 64):
-        out[i : i + 64] = (x[i : i + 64, None, :] == y[None, :, :]).sum(2)
+        np.sum(x[i : i + 64, None, :] == y[None, :, :], axis=2, dtype=np.uint8, out=out[i : i + 64])
     return out
 
 
-class _Sets:
-    """Disjoint sets of places; a class with a label is one set from the start."""
-
-    def __init__(self, labels: np.ndarray) -> None:
-        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
-        self.up = first[back].tolist()
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.top(x), self.top(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
+def _spanning(near: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs that connect what all of them connect; equal labels are connected from the start.
 
-def _spanning(alike: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the near pairs between different labels."""
-    i, j = np.nonzero(np.triu((alike >= LEAST) & (labels[:, None] != labels[None, :]), 1))
-    sets = _Sets(labels)
-    keep = [sets.join(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-    return i[keep], j[keep]
-
-
-def _by_group(key: str, make):
-    """``make`` over each group's rows; rows come sorted by ``key`` and groups are of bounded size."""
+    ``near`` is symmetric.  Each place is visited once, with one pass over its row.
+    """
+    _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+    members: dict[int, list[int]] = {}
+    if len(first) < len(labels):
+        for i, g in enumerate(group.tolist()):
+            members.setdefault(g, []).append(i)
+    waiting = np.ones(len(labels), bool)
+    left, right = [], []
+    for seed in np.flatnonzero(near.any(1)).tolist():
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        stack = [seed]
+        while stack:
+            i = stack.pop()
+            for j in members.pop(int(group[i]), ()):
+                if waiting[j]:
+                    waiting[j] = False
+                    stack.append(j)
+            new = np.flatnonzero(near[i] & waiting)
+            waiting[new] = False
+            stack.extend(new.tolist())
+            left.append(np.full(len(new), i))
+            right.append(new)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _by_group(make):
+    """``make`` over the rows of whole groups; rows come sorted by ``key`` and groups are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            at = rows[key].to_numpy()
+            at = rows["key"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             yield from make(rows, cuts)
 
@@ -174,9 +211,9 @@ def _by_group(key: str, make):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            at = rows[key].to_numpy()
+            at = rows["key"].to_numpy()
             start = int(np.searchsorted(at, at[-1], "left"))  # the last group may go on
-            if start or (held and held[0][key][0].as_py() != at[-1]):
+            if start or (held and held[0]["key"][0].as_py() != at[-1]):
                 yield from done(pa.concat_tables([*held, rows.slice(0, start)]))
                 held = [rows.slice(start)]
             else:
@@ -189,90 +226,88 @@ def _by_group(key: str, make):
     return run
 
 
-def _compare_small(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-    """Exhaustive comparison inside nodes."""
+def _compare_nodes(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Exhaustive comparison by sketches inside nodes or their parts, and the children of rows that branch."""
     ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
-    sketch = _matrix(rows["sketch"].combine_chunks(), "u1", COORDINATES)
+    sketch = _matrix(rows["sketch"])
     first, last = np.array(cuts[:-1]), np.array(cuts[1:])
     two = first[last - first == 2]
     hit = two[((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (comp[two] != comp[two + 1])]
     left, right = [ids[hit]], [ids[hit + 1]]
     for s, e in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
-        i, j = _spanning(_alike(sketch[s:e], sketch[s:e]), comp[s:e])
+        near = (_alike(sketch[s:e], sketch[s:e]) >= LEAST) & (comp[s:e, None] != comp[None, s:e])
+        i, j = _spanning(near, comp[s:e])
         left.append(ids[s:e][i])
         right.append(ids[s:e][j])
-    yield _pairs(np.concatenate(left), np.concatenate(right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["child", "a", "b"])
+    grow = np.flatnonzero(rows["grow"].to_numpy())
+    if len(grow):
+        node, row = _children(rows["node"].to_numpy().view(np.uint64)[grow], sketch, grow, True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(node), bool)), pa.array(node.view(np.int64)), pa.array(ids[row])], names=["child", "a", "b"])
 
 
-def _compare_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, own = batch.column("id").to_numpy(), _matrix(batch.column("sketch"), "u1", COORDINATES)
-        for p, q in (("p1", "s1"), ("p2", "s2")):
-            pivot = batch.column(p).to_numpy()
-            near = ((own == _matrix(batch.column(q), "u1", COORDINATES)).sum(1) >= LEAST) & (ids != pivot)
-            yield _pairs(ids[near], pivot[near])
-
-
-def _compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The few members outside a node's main family against a block of its members."""
-    for batch in batches:
-        for few, block in zip(batch.column("few"), batch.column("block"), strict=True):
-            ids, comp = (np.concatenate([x.values.field(k).to_numpy() for x in (few, block)]) for k in (0, 1))
-            sketch = np.concatenate([_matrix(x.values.field(2), "u1", COORDINATES) for x in (few, block)])
-            n = len(few.values)
-            alike = np.zeros((len(ids), len(ids)), np.int16)
-            alike[:n] = _alike(sketch[:n], sketch)
-            i, j = _spanning(alike, comp)
-            yield _pairs(ids[i], ids[j])
-
-
-def _links(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, threshold: Fraction, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between different labels, on whole sets; of the first ``rows`` with all if given."""
-    sets: list[np.ndarray] = []
-    for _, _, data, offsets in kernels.pieces(texts):
-        sets += kernels.shingles(data, offsets)
-    sketch = signatures(sets).astype(np.uint8)
+def _overlaps(sets: list[np.ndarray], rows: int, wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the first ``rows`` sets with all, at least where ``wanted``.
+
+    Either pair by pair or, where that is more work, as products of 0/1 matrices of the tokens that sets share.
+    """
+    i, j = np.nonzero(wanted)
+    out = np.zeros(wanted.shape, np.int64)
+    lengths = [len(s) for s in sets]
+    pairwise = len(i) * (12 + 0.05 * np.mean(lengths))  # both in microseconds, about
+    if pairwise > 2000:
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        chunks = -(-np.count_nonzero(times > 1) // 4096)
+        if pairwise > 0.1 * len(token) + wanted.size * chunks * 0.3:
+            owner = np.repeat(np.arange(len(sets)), lengths)
+            keep = times[token] > 1
+            token, owner = (np.cumsum(times > 1) - 1)[token[keep]], owner[keep]
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            for start in range(0, chunks * 4096, 4096):
+                a, b = np.searchsorted(token, (start, start + 4096))
+                has = np.zeros((len(sets), 4096), np.float32)
+                has[owner[a:b], token[a:b] - start] = 1
+                out += (has[:rows] @ has.T).astype(np.int64)
+            return out
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
+        out[a, b] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return out
+
+
+def _links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], threshold: Fraction, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different labels, on whole sets, that connect what all links connect; of the first ``rows`` with all if given."""
     n = len(ids) if rows is None else rows
     size = np.array([len(x) for x in sets])
-    near = np.zeros((len(ids), len(ids)), np.int16)
-    near[:n] = _alike(sketch[:n], sketch)
-    small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    i, j = np.nonzero(np.triu((near >= LEAST) & (labels[:, None] != labels[None, :]) & (small * threshold.denominator >= large * threshold.numerator), 1))
-    order = np.argsort(-near[i, j], kind="stable")
-    found, out = _Sets(labels), []
-    for k in order.tolist():
-        a, b = int(i[k]), int(j[k])
-        if found.top(a) != found.top(b):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both * threshold.denominator >= threshold.numerator * (len(x) + len(y) - both):
-                found.join(a, b)
-                out.append((ids[a], ids[b]))
-    return np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
-
-
-def _whole_families(threshold: Fraction):
-    def run(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            part = rows.slice(s, e - s)
-            ids = part["id"].to_numpy()
-            yield _pairs(*_links(ids, ids, part["text"].combine_chunks(), threshold))
-
-    return run
+    small, large = np.minimum(size[:n, None], size[None, :]), np.maximum(size[:n, None], size[None, :])
+    wanted = (labels[:n, None] != labels[None, :]) & (small * threshold.denominator >= large * threshold.numerator) & (np.arange(n)[:, None] < np.arange(len(ids))[None, :])
+    if len(ids) > 16:
+        sketch = signatures(sets)
+        wanted &= _alike(sketch[:n], sketch) >= LEAST
+    both = _overlaps(sets, n, wanted)
+    linked = np.zeros((len(ids), len(ids)), bool)
+    linked[:n] = wanted & (both * threshold.denominator >= threshold.numerator * (size[:n, None] + size[None, :] - both))
+    i, j = _spanning(linked | linked.T, labels)
+    return ids[i], ids[j]
 
 
-def _blocks(threshold: Fraction):
-    """The links of the members ``few`` (null: none) and ``block``; without ``few`` all inside the block."""
+def _confirm(threshold: Fraction, width: int):
+    """The links inside each group; if it has rows of ``few``, only those of these rows with all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for few, block in zip(batch.column("few"), batch.column("block"), strict=True):
-                parts = [x.values for x in (few, block) if x.is_valid]
-                ids, labels = (np.concatenate([x.field(k).to_numpy() for x in parts]) for k in (0, 1))
-                texts = pa.concat_arrays([x.field(2).cast(pa.large_string()) for x in parts])
-                yield _pairs(*_links(ids, labels, texts, threshold, len(few.values) if few.is_valid else None))
+    def run(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        ids, labels, few = (rows[c].to_numpy() for c in ("id", "comp", "few"))
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in kernels.pieces(rows["text"]):
+            sets += kernels.shingles(data, offsets, width)
+        left, right = [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            order = s + np.argsort(~few[s:e], kind="stable")
+            i, j = _links(ids[order], labels[order], [sets[k] for k in order.tolist()], threshold, int(few[s:e].sum()) or None)
+            left.append(i)
+            right.append(j)
+        yield _pairs(np.concatenate(left), np.concatenate(right))
 
     return run
 
@@ -284,10 +319,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     u, v = (np.concatenate(x) for x in zip(*got, strict=True))
     ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    sets = _Sets(np.arange(len(ids)))
+    up = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
     for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
-        sets.join(x, y)
-    root = np.array([sets.top(i) for i in range(len(ids))], np.int64)
+        x, y = top(x), top(y)
+        up[max(x, y)] = min(x, y)
+    root = np.array([top(i) for i in range(len(ids))], np.int64)
     leaf = np.flatnonzero(root != np.arange(len(ids)))
     yield pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], names=["u", "v"])
 
@@ -327,122 +370,139 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _labelled(rows: DataFrame, merged: DataFrame | None) -> DataFrame:
-    """(node, id, comp): an id that is in no pair yet is its own family."""
-    if merged is None:
-        return rows.select("node", "id", F.col("id").alias("comp"))
-    return rows.join(merged, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
-
-
-def _undecided(labelled: DataFrame) -> DataFrame:
-    """Rows of the nodes that have members of two families or more, with the node's size."""
+def _undecided(rows: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """(node, id, comp, n) of the nodes that have members of two families or more; an id in no pair yet is its own family."""
+    labelled = rows.select("node", "id", F.col("id").alias("comp"))
+    if merged is not None:
+        labelled = rows.join(merged, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
     stats = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
     return labelled.join(stats, "node")
 
 
-def _few_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    member = F.struct("id", "comp", "sketch")
-    rows = large.filter("few").join(sketches, "id")
-    few = rows.filter("comp <> main").groupBy("node").agg(F.collect_list(member).alias("few"))
-    blocks = rows.groupBy("node", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")).agg(F.collect_list(member).alias("block"))
-    return blocks.join(few, "node").select("few", "block").mapInArrow(_compare_few, PAIRS)
+def _place(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), parts)
+
 
+def _dealt(members: DataFrame, last: bool) -> DataFrame:
+    """(key, node, id, comp, grow): members by the groups in which they are compared.
 
-def _pivot_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The members of a large node against two of them, from two families."""
-    ends = F.struct("comp", "id")
-    rows = large.filter("NOT few")
-    pivots = rows.groupBy("node").agg(F.min(ends)["id"].alias("p1"), F.max(ends)["id"].alias("p2"))
-    pivots = pivots.join(sketches.toDF("p1", "s1"), "p1").join(sketches.toDF("p2", "s2"), "p2")
-    return rows.join(sketches, "id").join(pivots, "node").select("id", "sketch", "p1", "s1", "p2", "s2").mapInArrow(_compare_pivots, PAIRS)
+    A small node is one group.  A large one is cut into parts.  If few of its members are outside
+    its main family, these go to every part, and the node is done.  If not, every part of a node of
+    middle size meets every other (of any node after the last level); in a larger node two members of
+    different families go to every part, and its members branch.
+    """
+    small = members.filter(F.col("n") <= SMALL).select(F.col("node").alias("key"), "node", "id", "comp", F.lit(False).alias("grow"))
+    large = members.filter(F.col("n") > SMALL)
+    of = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("one")).groupBy("node").agg(F.max(F.struct("k", "comp", "one")).alias("main"), F.min(F.struct("k", "comp", "one")).alias("other"))
+    parts = F.ceil(F.col("n") / PART)
+    own = _place(parts)
+    every = F.sequence(F.lit(0), parts - 1)
+    few = F.col("n") - F.col("main.k") <= PART
+    whole = F.lit(last) | (F.col("n") <= MIDDLE)
+    pivot = F.col("id").isin(F.col("main.one"), F.col("other.one"))
+    keys = (
+        F.when(few & (F.col("comp") != F.col("main.comp")) | ~few & ~whole & pivot, F.transform(every, lambda p: F.xxhash64("node", p, p)))
+        .when(few | ~whole, F.array(F.xxhash64("node", own, own)))
+        .otherwise(F.transform(every, lambda p: F.xxhash64("node", F.least(own, p), F.greatest(own, p))))
+    )
+    placed = large.join(of, "node").select("node", "id", "comp", (~few & ~whole).alias("grow"), F.xxhash64("node", own, own).alias("own"), F.explode(keys).alias("key"))
+    return small.unionByName(placed.select("key", "node", "id", "comp", (F.col("grow") & (F.col("key") == F.col("own"))).alias("grow")))
 
 
 def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame:
-    """(id, comp) of the sets (id, sketch, mins) that are near others: the trees' walk."""
-    roots = lambda trees: reps.select("id", "mins").mapInArrow(_root_paths(trees), "node bigint, id bigint")
-    sketches, mins = reps.select("id", "sketch"), reps.select("id", "mins")
-    merged: DataFrame | None = None
-    rows = work.save(roots(range(FIRST_TREES)), "nodes")
-    depth = 0
+    """(id, comp) of the sets (id, sketch) that are near others: the trees' walk."""
+    depth, trees = forest_shape(reps.count())
+    sketches = reps.select("id", "sketch")
+    paths = lambda some: sketches.mapInArrow(_paths(some, depth), "node bigint, id bigint")
+    merged, level = None, 0
+    rows = paths(range(min(FIRST_TREES, trees)))
     while True:
-        members = work.save(_labelled(rows, merged).transform(_undecided), "members")
+        rows = work.save(rows, "nodes")
+        members = work.save(_undecided(rows, merged), "members")
         work.drop(rows)
-        small = members.filter(F.col("n") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch").repartition("node").sortWithinPartitions("node")
-        pairs = small.mapInArrow(_by_group("node", _compare_small), PAIRS)
-        large = members.filter(F.col("n") > SMALL).select("node", "id", "comp", "n")
-        deep = not large.isEmpty()
-        if deep:
-            sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("main"))
-            large = work.save(large.join(sizes.select("node", F.col("main.k").alias("k"), F.col("main.comp").alias("main")), "node").withColumn("few", F.col("n") - F.col("k") <= SMALL), "large")
-            pairs = pairs.union(_few_pairs(large, sketches)).union(_pivot_pairs(large, sketches))
+        most = members.agg(F.max("n")).first()[0] or 0
+        groups = members.select(F.col("node").alias("key"), "node", "id", "comp", F.lit(False).alias("grow"))
+        if most > SMALL:
+            groups = _dealt(members, level == MORE_DEPTH)
+        sorted_ = groups.join(sketches, "id").repartition("key").sortWithinPartitions("key")
+        found = work.save(sorted_.mapInArrow(_by_group(_compare_nodes), FOUND), "found")  # written first: a task that compares and joins would need two workers
+        pairs = found.filter("NOT child").select("a", "b")
         if merged is not None:
             pairs = pairs.union(merged.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        pairs = work.save(pairs, "pairs")  # written first: a task that compares and joins would need two workers
         merged = components(work, pairs)
-        work.drop(pairs)
-        below = roots(range(FIRST_TREES, TREES)) if depth == 0 else None
-        if deep:
-            open_ = _undecided(_labelled(large.filter("NOT few").select("node", "id"), merged))
-            children = open_.join(mins, "id").select("node", "id", "mins").mapInArrow(_branch, "node bigint, id bigint")
-            below = children if below is None else below.union(children)
-        if below is not None:
-            rows = work.save(below, "nodes")
-        work.drop(members, *([large] if deep else []))
-        _freed(spark)
-        depth += 1
-        if below is None or rows.isEmpty():
-            return merged
-        if depth > MOST_DEPTH:
-            raise RuntimeError("the trees don't end")
-
-
-def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataFrame, threshold: Fraction) -> DataFrame:
-    """(id, comp) of the documents that are linked with others, by the whole sets of every family."""
-    members = near.unionByName(near.select(F.col("comp").alias("id"), "comp").distinct())
-    sizes = near.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("n"))
-    members = members.join(sizes, "comp").select("id", F.col("comp").alias("family"), "n")
-    pool = work.save(docs.toDF("id", "text").join(members.hint("merge"), "id").select("family", "n", "id", "text"), "pool")
-    small = pool.filter(F.col("n") <= FAMILY).select("family", "id", "text").repartition("family").sortWithinPartitions("family")
-    links = work.save(small.mapInArrow(_by_group("family", _whole_families(threshold)), PAIRS), "links")
-    large = pool.filter(F.col("n") > FAMILY)
-    if large.isEmpty():
-        linked = components(work, links)
-    else:
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")
-        inside = large.groupBy("family", part).agg(F.collect_list(F.struct("id", F.col("id").alias("comp"), "text")).alias("block"))
-        pivot = large.filter("id = family").groupBy("family").agg(F.first("text").alias("p"))
-        led = inside.join(pivot, "family").select(F.lit(None).cast("array<struct<id:bigint,comp:bigint,text:string>>").alias("few"), F.array_append("block", F.struct(F.col("family").alias("id"), F.col("family").alias("comp"), F.col("p").alias("text"))).alias("block"))
-        led = work.save(led.mapInArrow(_blocks(threshold), PAIRS), "links")
-        linked = components(work, led)
-        known = large.join(linked, "id", "left").select("family", "n", "id", F.coalesce("comp", "id").alias("comp"), "text")
-        main = known.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
-        known = work.save(known.join(main, "family"), "known")
-        member = F.struct("id", "comp", "text")
-        blocks = known.groupBy("family", part).agg(F.collect_list(member).alias("block"))
-        outside = known.filter("comp <> main").groupBy("family", part.alias("few_part")).agg(F.collect_list(member).alias("few"))
-        rest = outside.join(blocks, "family").select("few", "block").mapInArrow(_blocks(threshold), PAIRS)
-        linked = components(work, links.union(led).union(work.save(rest, "links")))
-        work.drop(known)
-    work.drop(pool)
+        rows = found.filter("child").select(F.col("a").alias("node"), F.col("b").alias("id"))
+        if level == 0 and trees > FIRST_TREES:
+            rows = rows.union(paths(range(FIRST_TREES, trees)))
+        elif most <= SMALL or rows.isEmpty():
+            break
+        work.drop(members)
+        level += 1
+    _freed(spark)
+    return merged
+
+
+def _read_groups(rows: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    return rows.select("key", "id", "comp", "few", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_by_group(_confirm(threshold, width)), PAIRS)
+
+
+def _blocks(rows: Column, size: Column) -> Column:
+    """The number of blocks for rows and bytes that are more than one group's."""
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.when(rows > FAMILY, 2).otherwise(1)).cast("int")
+
+
+def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataFrame, reps: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """(id, comp) of the documents that are linked with others, by the whole sets of every family.
+
+    First every block of a family is compared inside, together with the family's first member; then
+    what that leaves outside a large family's main component is compared with all its members, each
+    block of the former with each block of the latter.
+    """
+    members = near.unionByName(near.select(F.col("comp").alias("id"), "comp").distinct()).join(reps.select("id", "n_bytes"), "id")
+    sizes = members.groupBy("comp").agg(_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("blocks"))
+    members = work.save(members.join(sizes, "comp").select("id", F.col("comp").alias("family"), "blocks"), "members")
+    pool = docs.toDF("id", "text").join(members.hint("merge"), "id")
+    large = not members.filter("blocks > 1").isEmpty()
+    if large:
+        pool = work.save(pool, "pool")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = _place(F.col("blocks"))
+    part = F.explode(F.when(F.col("id") == F.col("family"), every).otherwise(F.array(own.cast("int")))).alias("part")
+    inside = pool.select("family", part, "id", F.col("id").alias("comp"), F.lit(False).alias("few"), "text").withColumn("key", F.xxhash64("family", "part"))
+    links = work.save(_read_groups(inside, threshold, width), "links")
+    linked = components(work, links)
+    if large:
+        known = pool.filter("blocks > 1").join(linked, "id", "left").select("family", "blocks", "id", F.coalesce("comp", "id").alias("comp"), "text")
+        sums = known.select("family", "id", "comp", F.octet_length("text").alias("size")).groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("size"))
+        main = sums.groupBy("family").agg(F.max(F.struct("k", "comp", "size")).alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"))
+        main = main.select("family", F.col("main.comp").alias("main"), _blocks(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")).alias("others"), (F.col("k") > F.col("main.k")).alias("open")).filter("open")
+        known = work.save(known.join(main, "family").withColumn("few", F.col("comp") != F.col("main")), "known")
+        across = F.sequence(F.lit(0), F.col("others") - 1)
+        block = known.select("family", own.cast("int").alias("p"), F.explode(across).alias("q"), "id", "comp", F.lit(False).alias("few"), "text")
+        outside = known.filter("few").select("family", F.explode(every).alias("p"), F.pmod(F.hash("id"), F.col("others")).alias("q"), "id", "comp", "few", "text")
+        pairs = block.unionByName(outside).withColumn("key", F.xxhash64("family", "p", "q"))
+        linked = components(work, work.save(_read_groups(pairs, threshold, width), "links").union(linked.toDF("a", "b")))
+        work.drop(known, pool)
+    work.drop(members)
     _freed(spark)
     return linked
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
-    A text without words has no shingles and is its own component; one with a single word has that
-    as its only shingle.  Rows that repeat a document share its component, and all of them are kept
-    if its doc_id is the component's.  Rows of one doc_id with different texts count as linked.
+    A text without words has no shingles and is its own component; one with fewer words than a
+    shingle has the whole sequence as its only one.  Rows that repeat a document share its component,
+    and all of them are kept if its doc_id is the component's.  Rows of one doc_id with different texts
+    count as linked.  Very long texts are read whole, piece by piece; other columns are not read.
     The search is random with fixed seeds; it misses a pair at the threshold with probability below
-    1e-4 (less for closer pairs), and reruns agree.
+    MISS, and a little for its sketches (less for closer pairs), and reruns agree.
     """
     work = Workspace(spark, "near-dup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = work.save(docs.mapInArrow(_sign, SIGNED), "signed")
-    found = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins"))
-    reps = work.save(found.withColumn("sketch", F.lit(None).cast("binary")).mapInArrow(_with_sketch, "n_shingles bigint, h1 bigint, h2 bigint, id bigint, mins binary, sketch binary"), "reps")
-    linked = confirmed(spark, work, docs, families(spark, work, reps), threshold)
+    signed = work.save(docs.mapInArrow(_sign(width), SIGNED), "signed")
+    found = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.first("sketch").alias("sketch"))
+    reps = work.save(found, "reps")
+    linked = confirmed(spark, work, docs, families(spark, work, reps), reps, threshold, width)
     keyed = signed.join(reps.select("n_shingles", "h1", "h2", "id"), ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "id")
     placed = keyed.join(linked, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id", "doc_id").alias("component_id"))
     return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -462,12 +522,5 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
-def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sketch = _matrix(batch.column("mins"), "<u2", COORDINATES).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([s.tobytes() for s in sketch], pa.binary())], names=batch.schema.names)
-
-
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)

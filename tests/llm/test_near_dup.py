@@ -20,13 +20,14 @@ def edited(t, share):
     return " ".join(rng.choice(VOCABULARY) if rng.random() < share else w for w in t.split())
 
 
-def shingles(t):
+def shingles(t, width=2):
     w = (t or "").encode().lower().split()
-    return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    n = min(width, len(w))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, width=2):
+    sets = [(i, shingles(t, width)) for i, t in rows]
     up = {i: i for i, _ in rows}
 
     def top(x):
@@ -43,8 +44,8 @@ def brute(rows):
     return {i: (len(s), top(i)) for i, s in sets}
 
 
-def found(spark, documents, rows):
-    got = near_dup.near_duplicates(spark, documents(*rows)).collect()
+def found(spark, documents, rows, width=2):
+    got = near_dup.near_duplicates(spark, documents(*rows), width=width).collect()
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     return {r.doc_id: (r.n_shingles, r.component_id) for r in got}
 
@@ -60,8 +61,31 @@ def test_equals_brute_force(spark, documents):
     assert found(spark, documents, rows) == brute(rows)
 
 
-def test_large_families_go_by_blocks(spark, documents, monkeypatch):
-    for name, value in (("FAMILY", 20), ("SMALL", 12), ("BLOCK", 16)):
+def test_five_words(spark, documents):
+    rows = []
+    for _ in range(30):
+        base = text(rng.randint(3, 120))
+        rows += [(len(rows) + k, edited(base, share)) for k, share in enumerate((0, 0, 0.01, 0.02, 0.04))]
+    assert found(spark, documents, rows, 5) == brute(rows, 5)
+
+
+def test_templates_below_the_threshold(spark, documents):
+    """Families whose members are near each other but mostly not linked."""
+    rows = []
+    for share in (0.04, 0.055, 0.07):
+        base = text(150)
+        rows += [(len(rows) + k, edited(base, share)) for k in range(250)]
+    assert found(spark, documents, rows) == brute(rows)
+
+
+def test_trees_meet_the_recall():
+    depths = [near_dup.forest_shape(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 30, 1 << 38)]
+    assert [d for d, _ in depths] == [3, 3, 3, 4, 6, 8] and [t for _, t in depths] == sorted(t for _, t in depths)
+
+
+@pytest.mark.parametrize("more", [16, 1, 0])
+def test_large_families_go_by_blocks(spark, documents, monkeypatch, more):
+    for name, value in (("FAMILY", 20), ("SMALL", 12), ("MIDDLE", 20), ("PART", 6), ("BLOCK", 16), ("BLOCK_BYTES", 9000), ("MORE_DEPTH", more)):
         monkeypatch.setattr(near_dup, name, value)
     base = text(150)
     rows = [(i, edited(base, rng.choice([0.01, 0.03, 0.06, 0.1]))) for i in range(160)] + [(i, text()) for i in range(160, 200)]
@@ -87,7 +111,7 @@ def test_repeated_rows_null_ids_and_no_rows(spark, documents):
 
 def test_extra_columns_do_not_clash(spark, documents):
     docs = documents((1, "a b c"), (2, "a b c")).withColumnRenamed("lang", "node").withColumnRenamed("source", "id").withColumnRenamed("n_chars", "comp")
-    assert near_dup.near_duplicates(spark, docs).filter("kept").count() == 1
+    assert near_dup.near_duplicates(spark, docs, width=2).filter("kept").count() == 1
 
 
 def test_exact_threshold(spark, documents):

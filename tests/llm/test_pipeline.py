@@ -23,7 +23,7 @@ def test_stages(spark, sf_dir):
         outs.append(now)
     good, single, private, mixed, packed = (o.collect() for o in outs)
     assert {r.doc_id for r in good} == kept and all(o.columns == docs.columns for o in outs[:4])
-    classes = brute([(r.doc_id, r.text) for r in good])
+    classes = brute([(r.doc_id, r.text) for r in good], 5)
     assert {r.doc_id for r in single} == {i for i, (_, c) in classes.items() if c == i}
     found = {r.doc_id: r.n_entities for r in surrogates.replace(spark, outs[1]).collect()}
     before = {r.doc_id: r.text for r in single}
