@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -58,9 +57,9 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = self.folder(name)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.workspace_path = path
         return saved
@@ -79,7 +78,3 @@ def delete(spark: SparkSession, path: str) -> None:
 def local_path(uri: str) -> str:
     """A file: URI without its scheme, for pyarrow's file systems; other URIs stay."""
     return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else uri
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))

@@ -1,27 +1,36 @@
 """Surrogates for personal data: every detected entity is replaced by a keyed one of its own kind.
 
 A surrogate keeps the entity's type, script, case, length and separators.  It is made by a small
-Feistel network that shifts characters inside their own alphabet, so it is a permutation of the
-strings of one shape: distinct entities stay distinct, the same entity is the same everywhere in
-the corpus, and nobody without the key can go back.  Card numbers keep their check digit's state,
-addresses stay addresses, names keep the gender of their title.  What is not a permutation by
-construction (first names from lists, hexadecimal beside other secrets) is checked over all
-distinct entities of the corpus, and an entity whose surrogate collides gets another attempt.
+Feistel network that shifts characters inside their own class of letters or digits, so it is a
+permutation of the strings of one shape: distinct entities stay distinct, the same entity is the
+same everywhere in the corpus, and nobody without the key can go back.  Card numbers and IBANs keep
+the state of their check digits, addresses stay addresses, first names come from a list of their
+gender and script, and a surname is the same with every first name and title.  A person who has a
+title somewhere in a text is also replaced there without it.
+
+The surrogate of each distinct entity is made once.  A check over all of them finds the ones that
+equal their own entity, another entity of the corpus or another's surrogate; these get further
+attempts, from domains that grow, until all are distinct.  Then occurrences are joined with their
+surrogates and only texts that hold an entity are put together anew.
 
 DataFrame expressions only.
 """
 
 from __future__ import annotations
 
+import secrets
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Workspace, table
 
-KEY = "change-me"
-#: Entities that need another attempt, at most (they travel in the plan); more is an error.
-MAX_RETRIED = 20_000
-ATTEMPTS = 12
+#: Setting of the session that holds the key.  Without it a session draws its own, and another session's
+#: surrogates differ.
+KEY_SETTING = "spark.sparkloom.surrogates.key"
+#: Attempts that keep an entity's shape; later ones are longer by a character each.
+SAME_SHAPE = 4
 ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -32,7 +41,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z])(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_=.~-]{8,256}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){2,6}|[0-9A-Fa-f]{4}:)(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])",
@@ -42,14 +51,42 @@ PATTERNS = {
 MAYBE = rf"[0-9@:=]|AKIA|ghp_|sk-|{_TITLE}\.?\x20\p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-_ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
+
 _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
+#: Ranges in which every code point is a letter of one script; too large to be listed.
+_RANGES = [(0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3400, 0x4DB5), (0xA000, 0xA48C), (0x20000, 0x2A6D6)]
+#: Letters in today's use, which are classes of their own beside the rest of their scripts.
+_MODERN = [(0x61, 0x7A), (0xDF, 0xFF), (0x100, 0x17F), (0x3B1, 0x3C9), (0x3AC, 0x3CE), (0x430, 0x44F), (0x450, 0x45F), (0x5D0, 0x5EA), (0x620, 0x64A)]
+
+
+def _classes() -> list[str]:
+    """The letters and digits of the basic plane by script, case and use, upper case parallel to lower case.
+
+    Compatibility forms and scripts of the ranges are left out.
+    """
+    found: dict[tuple, list[str]] = {}
+    for point in range(0x3130):
+        c, kind = chr(point), unicodedata.category(chr(point))
+        if kind[0] not in "LN" or unicodedata.normalize("NFKC", c) != c or (c.lower() != c and len(c.lower()) == 1 and c.lower().upper() == c):
+            continue
+        script = unicodedata.name(c).split()[0] if point > 0x7F else "ASCII"
+        paired = c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c
+        modern = next((i for i, (a, b) in enumerate(_MODERN) if a <= point <= b), len(_MODERN))
+        found.setdefault((point > 0x7F, modern, script, kind[0], paired), []).append(c)
+    classes = [x for (_, _, _, _, paired), letters in sorted(found.items()) for x in (["".join(letters), "".join(letters).upper()] if paired else ["".join(letters)])]
+    return [x for x in classes if len(x) > 1] + ["".join(x for x in classes if len(x) == 1)]
+
+
+_CLASSES = _classes()
+_DIGITS = ["0123456789"]
 #: First names by gender and script.
 _NAMES = {
     ("f", "latin"): "Anna Clara Emma Eva Greta Hanna Ida Julia Karin Laura Lena Lucia Maria Marta Mia Nina Nora Olivia Paula Rosa Sara Sofia Teresa Vera".split(),
     ("m", "latin"): "Adam Alex Anton Bruno David Emil Erik Felix Hugo Ivan Jonas Karl Leo Luis Marco Martin Max Noah Oscar Paul Pedro Peter Simon Victor".split(),
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Иван Максим Олег Павел Сергей".split(),
+    ("f", "greek"): "Άννα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("m", "greek"): "Ανδρέας Γιάννης Δημήτρης Ηλίας Κώστας Νίκος Παύλος Στέφανος".split(),
 }
 
 
@@ -67,19 +104,44 @@ def _byte(digest: Column, place: Column) -> Column:
     return F.conv(F.substring(digest, (place % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _move(c: Column, k: Column, alphabets: list[str]) -> Column:
-    out = F.when(c == "", c)
-    for letters in alphabets:
-        at = F.call_function("instr", F.lit(letters), c)
-        out = out.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + k, F.lit(len(letters))).cast("int") + 1, F.lit(1)))
-    return out.otherwise(c)
+def _ints(values: list[int]) -> Column:
+    """A constant array, written as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _bounds(letters: list[str]) -> tuple[Column, Column]:
+    """By place in the joined classes: the first place of its class, and the size of the class."""
+    first, size, at = [], [], 1
+    for x in letters:
+        first += [at] * len(x)
+        size += [len(x)] * len(x)
+        at += len(x)
+    return _ints(first), _ints(size)
+
+
+def _move(c: Column, k: Column, letters: list[str]) -> Column:
+    """The character ``k`` places on in its class, around; what is in no class stays."""
+    joined, (first, size) = "".join(letters), _bounds(letters)
+    found = _let(
+        F.call_function("instr", F.lit(joined), c),
+        lambda at: F.when(at > 0, _let(F.element_at(first, at), lambda a: F.substring(F.lit(joined), a + F.pmod(at - a + k, F.element_at(size, at)), F.lit(1)))),
+    )
+    if letters is not _CLASSES:
+        return F.when(c == "", c).otherwise(F.coalesce(found, c))
+    point = F.ascii(c)
+    out = F.when((c == "") | ~c.rlike(r"[\p{L}\p{N}]"), c)
+    for a, b in _RANGES:
+        moved = F.pmod(point - a + k * 251, F.lit(b - a + 1)) + a
+        out = out.when(point.between(a, b), F.decode(F.unhex(F.lpad(F.hex(moved), 8, "0")), "UTF-32"))
+    return out.otherwise(F.coalesce(found, F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(point + k, F.lit(26)) + 1, F.lit(1))))
 
 
 def permute(s: Column, key: str, tweak: Column, alphabets: list[str]) -> Column:
-    """A keyed permutation of the strings that have the separators and the alphabets of ``s``.
+    """A keyed permutation of the strings that have the separators and the classes of letters of ``s``.
 
     Each round shifts one half's characters by a digest of the other half, case aside, so strings
-    that differ in case only stay so.
+    that differ in case only stay so.  A letter that is in no class, nor in a range, becomes a Latin
+    one, which only the check for collisions keeps apart.
     """
     half = (F.length(s) / 2).cast("int")
     shift = lambda x, d: _let(d, lambda e: F.array_join(F.transform(F.split(x, ""), lambda c, j: _move(c, _byte(e, j), alphabets)), ""))
@@ -105,13 +167,13 @@ def _card(e: Column, key: str, tweak: Column) -> Column:
     digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
     front = F.substring(e, F.lit(1), F.length(e) - 1)
     off = F.substring(e, F.length(e), F.lit(1)).cast("int") - _luhn(digits(front))
-    return _let(permute(front, key, tweak, _ALPHABETS[:1]), lambda p: F.concat(p, F.pmod(_luhn(digits(p)) + off, F.lit(10)).cast("string")))
+    return _let(permute(front, key, tweak, _DIGITS), lambda p: F.concat(p, F.pmod(_luhn(digits(p)) + off, F.lit(10)).cast("string")))
 
 
-def _ipv4(e: Column, key: str, tweak: Column) -> Column:
-    """Numbers of one, two and three digits are shifted among 0-9, 10-99 and 100-255."""
-    low = lambda n: F.when(n < 10, 0).when(n < 100, 10).otherwise(100)
-    count = lambda n: F.when(n < 10, 10).when(n < 100, 90).otherwise(156)
+def _ipv4(e: Column, key: str, tweak: Column, wide: Column) -> Column:
+    """Numbers of one, two and three digits are shifted among 0-9, 10-99 and 100-255; if ``wide``, all among 0-255."""
+    low = lambda n: F.when(wide | (n < 10), 0).when(n < 100, 10).otherwise(100)
+    count = lambda n: F.when(wide, 256).when(n < 10, 10).when(n < 100, 90).otherwise(156)
 
     def turn(a: Column, i: Column) -> Column:
         other = F.array_join(F.transform(F.filter(a, lambda n, j: (j < 2) == (i % 2 == 1)), lambda n: n.cast("string")), ".")
@@ -123,39 +185,63 @@ def _ipv4(e: Column, key: str, tweak: Column) -> Column:
     return F.array_join(F.transform(done, lambda n: n.cast("string")), ".")
 
 
+def _mod97(s: Column) -> Column:
+    """The remainder of an IBAN's letters and digits by 97, its first four moved to the end."""
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97))))
+
+
+def _iban(e: Column, key: str, tweak: Column) -> Column:
+    """The country stays, the account is permuted; check digits that were right are right again."""
+    country = F.substring(e, F.lit(1), F.lit(2))
+    account = permute(F.substring(e, F.lit(5), F.length(e)), key, F.concat(tweak, country), _CLASSES)
+    right = _let(account, lambda p: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(country, F.lit("00"), p))).cast("string"), 2, "0"), p))
+    return F.when(_mod97(e) == 1, right).otherwise(F.concat(country, permute(F.substring(e, F.lit(3), F.length(e)), key, F.concat(tweak, country), _CLASSES)))
+
+
 def _email(e: Column, key: str, tweak: Column) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     top = F.regexp_extract(domain, r"\.[^.]+$", 0)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(permute(local, key, F.concat(tweak, F.lit("/local/"), F.lower(domain)), _ALPHABETS), F.lit("@"), permute(host, key, F.concat(tweak, F.lit("/host/"), F.lower(top)), _ALPHABETS), top)
-
-
-def _name(e: Column, key: str, tweak: Column) -> Column:
-    """Title, first name from the list of its gender and script, permuted surname."""
-    title = F.regexp_extract(e, rf"^{_TITLE}\.?\x20", 0)
-    rest = F.substring(e, F.length(title) + 1, F.length(e))
-    first = F.when(F.contains(rest, F.lit(" ")), F.substring_index(rest, " ", 1)).otherwise(F.lit(""))
-    last = F.substring_index(rest, " ", -1)
-    script = F.when(first.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    known_female = F.array_contains(F.array(*[F.lit(n) for (g, _), ns in _NAMES.items() if g == "f" for n in ns]), first)
-    gender = F.when(title.rlike("^(Mrs|Ms|Miss|Frau|Señora|Madame|Mme)"), "f").when(title.rlike("^Dr") & known_female, "f").otherwise("m")
-    picked = F.lit("")
-    for (g, s), names in _NAMES.items():
-        at = F.pmod(_byte(_digest(key, tweak, "first", F.lower(first)), F.lit(0)) + _byte(_digest(key, tweak, "first", F.lower(first)), F.lit(1)) * 256, F.lit(len(names))) + 1
-        picked = F.when((gender == g) & (script == s), F.element_at(F.array(*[F.lit(n) for n in names]), at.cast("int"))).otherwise(picked)
-    start = F.when(first == "", F.lit("")).otherwise(F.concat(picked, F.lit(" ")))
-    return F.concat(title, start, permute(last, key, F.concat(tweak, F.lower(first)), _ALPHABETS))
+    return F.concat(permute(local, key, F.concat(tweak, F.lit("/local/"), F.lower(domain)), _CLASSES), F.lit("@"), permute(host, key, F.concat(tweak, F.lit("/host/"), F.lower(top)), _CLASSES), top)
+
+
+def _script(first: Column) -> Column:
+    """The script of a first name that has a list, or null."""
+    out = F
+    for script in sorted({s for _, s in _NAMES}):
+        out = out.when(first.rlike(rf"^\p{{Is{script.capitalize()}}}"), script)
+    return out.otherwise(None)
+
+
+def _first_name(unit: Column, key: str, attempt: Column) -> Column:
+    """Of a person "gender|first last": a first name of the list of gender and script.
+
+    Each further attempt takes one name more and joins them with hyphens.  A script without a list
+    has its letters permuted, which keeps the script but can't show a gender.
+    """
+    gender = F.substring(unit, F.lit(1), F.lit(1))
+    first = F.substring_index(F.substring(unit, F.lit(3), F.length(unit)), " ", 1)
+    names = F
+    for (g, s), listed in _NAMES.items():
+        names = names.when((gender == g) & (_script(first) == s), F.split(F.lit(" ".join(listed)), " "))
+    names = names.otherwise(None)
+    pick = lambda i: F.element_at(names, F.pmod(F.conv(F.substring(_digest(key, "first", gender, F.lower(first), attempt.cast("string"), i.cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.size(names).cast("long")).cast("int") + 1)
+    longer = F.concat(first, F.repeat(F.right(first, F.lit(1)), F.greatest(attempt - SAME_SHAPE + 1, F.lit(0))))
+    return F.when(names.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), attempt), pick), "-")).otherwise(permute(longer, key, F.concat(F.lit("first"), attempt.cast("string")), _CLASSES))
 
 
 def _secret(e: Column, key: str, tweak: Column) -> Column:
     head = F.regexp_extract(e, r"^(?:(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?|AKIA|ghp_|sk-)", 0)
     value = F.substring(e, F.length(head) + 1, F.length(e))
-    return F.concat(head, F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), permute(value, key, tweak, _HEX)).otherwise(permute(value, key, tweak, _ALPHABETS)))
+    return F.concat(head, F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), permute(value, key, tweak, _HEX)).otherwise(permute(value, key, tweak, _CLASSES)))
 
 
 def _phone(e: Column, key: str, tweak: Column) -> Column:
     code = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[\x20.(-])", 0)
-    return F.concat(code, permute(F.substring(e, F.length(code) + 1, F.length(e)), key, F.concat(tweak, code), _ALPHABETS[:1]))
+    return F.concat(code, permute(F.substring(e, F.length(code) + 1, F.length(e)), key, F.concat(tweak, code), _DIGITS))
 
 
 def kind(e: Column) -> Column:
@@ -166,64 +252,129 @@ def kind(e: Column) -> Column:
     return out.otherwise("other")
 
 
-def surrogate(e: Column, type_: Column, key: str, attempt: Column) -> Column:
+def surrogate(unit: Column, type_: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of a unit of a type at an attempt (from 0)."""
     tweak = F.when(attempt == 0, type_).otherwise(F.concat_ws("#", type_, attempt.cast("string")))
-    special = {"email": _email, "ipv4": _ipv4, "card": _card, "name": _name, "secret": _secret, "phone": _phone, "ipv6": lambda e, k, t: permute(e, k, t, _HEX)}
+    more = F.greatest(attempt - SAME_SHAPE + 1, F.lit(0))
+    tail = F.right(unit, F.lit(1))
+    longer = F.when(more == 0, unit).when(type_ == "email", F.concat(F.repeat(F.lit("x"), more), unit)).otherwise(F.concat(unit, F.repeat(F.when(tail.rlike(r"[\p{L}\p{N}]"), tail).otherwise(F.lit("x")), more)))
+    special = {
+        "email": _email(longer, key, tweak), "ipv4": _ipv4(unit, key, tweak, attempt > 0), "ipv6": permute(unit, key, tweak, _HEX), "card": _card(longer, key, tweak), "iban": _iban(longer, key, tweak),
+        "person": _first_name(unit, key, attempt), "secret": _secret(longer, key, tweak), "phone": _phone(longer, key, tweak),
+    }
     out = F
-    for name, make in special.items():
-        out = out.when(type_ == name, make(e, key, tweak))
-    return out.otherwise(permute(e, key, tweak, _ALPHABETS))
+    for name, made in special.items():
+        out = out.when(type_ == name, made)
+    return out.otherwise(permute(longer, key, tweak, _CLASSES))
+
+
+def entities(text: Column, pattern: Column | None = None) -> Column:
+    """The entities of a text in order; an empty array for null."""
+    found = F.regexp_extract_all(text, F.lit(ANY) if pattern is None else pattern, F.lit(0))
+    return F.coalesce(F.when(text.rlike(MAYBE), found), F.array().cast("array<string>"))
+
+
+_TITLED = rf"^{_TITLE}\.?\x20"
+
+
+def _title(e: Column) -> Column:
+    return F.regexp_extract(e, rf"{_TITLED}", 0)
 
 
-def entities(text: Column) -> Column:
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _untitled(e: Column) -> Column:
+    return F.regexp_replace(e, _TITLED, "")
 
 
-def retries(spark: SparkSession, docs: DataFrame, key: str, text: str = "text") -> dict[str, int]:
-    """Collision check over the corpus: the attempts of entities whose first surrogate won't do.
+def _gender(titled: Column) -> Column:
+    """By the title; where that tells nothing, by the first name's ending."""
+    female = F.array_contains(F.split(F.lit(" ".join(n for (g, _), ns in _NAMES.items() if g == "f" for n in ns)), " "), F.substring_index(_untitled(titled), " ", 1))
+    return F.when(titled.rlike("^(Mrs|Ms|Miss|Frau|Señora|Madame|Mme)"), "f").when(titled.rlike("^Dr") & (female | F.substring_index(_untitled(titled), " ", 1).rlike("[aáàâαάηήая]$")), "f").otherwise("m")
 
-    A surrogate won't do if it is the entity itself or a smaller entity (of the type) has it.
-    Distinct entities are shuffled once, never texts; only failing ones reach the driver.
+
+def _pieces(found: Column, names: Column) -> Column:
+    """What is to be put at each entity: (pos, sub, lead, type, unit), the surrogate of the unit after the lead."""
+
+    def piece(pos: Column, sub: int, lead: Column, type_: Column, unit: Column) -> Column:
+        return F.struct(pos.alias("pos"), F.lit(sub).alias("sub"), lead.alias("lead"), type_.alias("type"), unit.alias("unit"))
+
+    def of(e: Column, i: Column) -> Column:
+        name, rest = _title(e), _untitled(e)
+        last = F.substring_index(rest, " ", -1)
+        titled = F.when(name != "", e).otherwise(F.filter(names, lambda n: F.endswith(n, F.concat(F.lit(" "), e)))[0])
+        return (
+            F.when((kind(e) != "name") & (kind(e) != "other"), F.array(piece(i, 0, F.lit(""), kind(e), e)))
+            .when(F.contains(rest, F.lit(" ")), F.array(piece(i, 0, name, F.lit("person"), F.concat(_gender(titled), F.lit("|"), rest)), piece(i, 1, F.lit(" "), F.lit("surname"), last)))
+            .otherwise(F.array(piece(i, 0, name, F.lit("surname"), rest)))
+        )
+
+    return F.flatten(F.transform(found, of))
+
+
+def surrogates_of(spark: SparkSession, work: Workspace, units: DataFrame, key: str) -> DataFrame:
+    """(type, unit, s) of the distinct units (type, unit): surrogates that are all different.
+
+    A surrogate won't do if it is the unit itself, or another's of an earlier attempt or a smaller
+    unit; and, while attempts keep the shape, if it is a unit of the corpus.  Persons are told apart
+    among those with the same surname, whose own surrogates are different from all others.
     """
-    work = Workspace(spark, "surrogates")
-    found = work.save(docs.select(F.explode(entities(F.col(text))).alias("e")).distinct().withColumn("type", kind(F.col("e"))), "entities")
-    tried: dict[str, int] = {}
-    for _ in range(ATTEMPTS):
-        made = found.withColumn("s", surrogate(F.col("e"), F.col("type"), key, _attempt(F.col("e"), tried)))
-        same = made.groupBy("type", "s").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("first")).filter("n > 1")
-        bad = made.join(same, ["type", "s"], "left").filter((F.col("s") == F.col("e")) & F.col("e").rlike(r"[\p{L}\p{N}]") | (F.col("n") > 1) & (F.col("e") != F.col("first")))
-        rows = bad.select("e").limit(MAX_RETRIED + 1).collect()
-        if len(rows) + len(tried) > MAX_RETRIED:
-            raise ValueError(f"more than {MAX_RETRIED} entities need another surrogate")
-        if not rows:
-            break
-        for r in rows:
-            tried[r[0]] = tried.get(r[0], 0) + 1
-    work.drop(found)
-    return tried
-
-
-def _attempt(e: Column, tried: dict[str, int]) -> Column:
-    if not tried:
-        return F.lit(0)
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in tried.items() for x in pair])[e], F.lit(0))
-
-
-def replace(spark: SparkSession, docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+    person = F.col("type") == "person"
+    scope = F.when(person, F.substring_index("unit", " ", -1)).otherwise("")
+    own = F.when(person, F.substring_index(F.expr("substring(unit, 3)"), " ", 1)).otherwise(F.col("unit"))
+    make = lambda rows: rows.withColumn("s", surrogate(F.col("unit"), F.col("type"), key, F.col("attempt")))
+    made = work.save(make(units.withColumns({"scope": scope, "own": own, "attempt": F.lit(0)})), "made")
+    while True:
+        holder = made.groupBy("scope", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "type", "unit")).alias("one")).filter("n > 1").select("scope", "s", "one")
+        real = units.filter(F.col("type") != "person").select(F.col("unit").alias("s"), F.lit("").alias("scope")).distinct().withColumn("real", F.lit(True))
+        judged = made.join(holder, ["scope", "s"], "left").join(real, ["scope", "s"], "left")
+        bad = (F.col("s") == F.col("own")) | (F.col("one").isNotNull() & (F.col("one") != F.struct("attempt", "type", "unit"))) | (F.col("real").isNotNull() & (F.col("attempt") < SAME_SHAPE))
+        judged = work.save(judged.withColumn("bad", F.coalesce(bad, F.lit(False))).select("type", "unit", "scope", "own", "attempt", "s", "bad"), "judged")
+        work.drop(made)
+        if judged.filter("bad").isEmpty():
+            return judged.select("type", "unit", "s")
+        again = make(judged.filter("bad").select("type", "unit", "scope", "own", (F.col("attempt") + 1).alias("attempt")))
+        made = work.save(judged.filter("NOT bad").drop("bad").unionByName(again), "made")
+        work.drop(judged)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting, or one that the session draws and keeps."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
+def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the text rewritten, ``n_entities`` and ``entity_types`` (sorted, distinct).
 
-    Null texts stay null with 0 entities; texts without entities stay as they are.  Repeated rows
-    are rewritten alike.  Columns named n_entities or entity_types are replaced.
+    Null texts stay null with 0 entities; empty texts and texts without entities stay as they are.
+    Repeated rows are rewritten alike.  Very long texts are searched and rewritten whole.  Columns
+    named n_entities or entity_types are replaced; names that begin with __pii are reserved.
     """
-    tried = retries(spark, docs, key, text)
-    found = docs.drop("n_entities", "entity_types").withColumn("__e", F.coalesce(entities(F.col(text)), F.array().cast("array<string>")))
-    made = F.transform("__e", lambda e: _let(F.struct(e.alias("e"), kind(e).alias("t"), _attempt(e, tried).alias("a")), lambda x: F.struct(surrogate(x["e"], x["t"], key, x["a"]).alias("s"), x["t"].alias("t"))))
-    swapped = found.withColumn("__s", made)
-    parts = F.zip_with(F.split(text, ANY, -1), F.col("__s.s"), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
-    new = F.when(F.size("__s") > 0, F.array_join(parts, "")).otherwise(F.col(text))
-    kept = [c for c in docs.columns if c not in (text, "n_entities", "entity_types")]
-    out = swapped.select(*[F.col(c) for c in docs.columns if c in kept], new.alias(text), F.size("__s").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.col("__s.t"))).alias("entity_types"))
-    return out.select(*[c for c in docs.columns if c not in ("n_entities", "entity_types")], "n_entities", "entity_types")
+    key = key or session_key(spark)
+    work = Workspace(spark, "surrogates")
+    docs = docs.drop("n_entities", "entity_types")
+    plain = docs.withColumn("__pii_found", entities(F.col(text)))
+    plain = plain.withColumn("__pii_names", F.filter("__pii_found", lambda e: e.rlike(_TITLED) & (kind(e) == "name")))
+    untitled = F.transform("__pii_names", _untitled)
+    parts = F.array_distinct(F.concat(F.filter(untitled, lambda n: F.contains(n, F.lit(" "))), F.transform(untitled, lambda n: F.substring_index(n, " ", -1))))
+    plain = plain.withColumn("__pii_pattern", F.when(F.size("__pii_names") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}'-])"))))
+    found = F.when(F.col("__pii_pattern").isNotNull(), F.regexp_extract_all(F.col(text), F.col("__pii_pattern"), F.lit(0))).otherwise(F.col("__pii_found"))
+    marked = plain.withColumn("__pii_pieces", _pieces(found, F.col("__pii_names"))).withColumn("__pii_hit", F.size("__pii_found") > 0)
+    marked = marked.select(*docs.columns, "__pii_pattern", "__pii_pieces", "__pii_hit", F.monotonically_increasing_id().alias("__pii_row"))
+    marked = work.save(marked, "marked", "__pii_hit")
+    hit = marked.filter("__pii_hit")
+    spread = hit.select("__pii_row", F.explode("__pii_pieces").alias("p")).select("__pii_row", "p.*")
+    made = surrogates_of(spark, work, spread.select("type", "unit").distinct(), key)
+    placed = spread.join(made, ["type", "unit"]).groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", F.concat("lead", "s").alias("put"), "type"))).alias("__pii_put"))
+    split = F.when(F.col("__pii_pattern").isNull(), F.split(F.col(text), ANY, -1)).otherwise(F.split(F.col(text), F.col("__pii_pattern"), F.lit(-1)))
+    new = F.concat(F.array_join(F.transform("__pii_put", lambda p: F.concat(F.when(p["sub"] == 0, F.element_at("__pii_gaps", p["pos"] + 1)).otherwise(""), p["put"])), ""), F.element_at("__pii_gaps", -1))
+    types = F.array_sort(F.array_distinct(F.transform("__pii_put", lambda p: F.when(p["type"].isin("person", "surname"), "name").otherwise(p["type"]))))
+    put = hit.join(placed, "__pii_row").withColumn("__pii_gaps", split)
+    put = put.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], F.size(F.filter("__pii_put", lambda p: p["sub"] == 0)).cast("long").alias("n_entities"), types.alias("entity_types"))
+    rest = marked.filter("NOT __pii_hit").select(*docs.columns, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
+    return rest.unionByName(put)
 
 
 def op2_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
+
+import regex
+from pyspark.sql import functions as F
 
 from sparkloom.llm import surrogates as S
 
@@ -56,11 +61,130 @@ def test_addresses_are_a_permutation(spark, documents):
     assert len(set(out)) == len(ips) and all(re.fullmatch(r"[1-9]\d(\.[1-9]\d){3}", x) for x in out)
 
 
-def test_retry_on_collision(spark, documents):
-    docs = documents("Mr. Bob Smith", "Mr. Rob Smith", "Mr. Tom Smith")
-    out = [r.text for r in S.replace(spark, docs, "k").collect()]
-    assert len(set(out)) == 3
-    assert S._attempt is not None and S.retries(spark, docs, "k") == {}
+def test_more_persons_than_first_names_stay_distinct(spark, documents):
+    firsts = [f"{a}{b}{c}" for a in "BCDFGHKLMN" for b in "aeiou" for c in ("bo", "di", "fo", "lin")]
+    out = rewritten(spark, documents, *[f"Mrs. {n} Li" for n in firsts])
+    assert len(set(out)) == len(firsts) and len({x.split()[-1] for x in out}) == 1 and "Li" not in {x.split()[-1] for x in out}
+    assert all(set(re.fullmatch(r"Mrs\. (\S+) \w+", x)[1].split("-")) <= set(S._NAMES["f", "latin"]) for x in out)
+
+
+def test_saturated_shapes_grow(spark, documents):
+    """All ten one-digit hosts of one shape: a permutation that moves each is not left to chance."""
+    mails = [f"{a}@{b}.zz" for a in "abc" for b in "012"] + [f"mail {i}.{j}.0.0" for i in range(10) for j in range(10)]
+    out = rewritten(spark, documents, *mails)
+    assert len(set(out)) == len(mails) and not any(a == b for a, b in zip(mails, out, strict=True))
+
+
+def test_every_letter_of_an_entity_goes(spark, documents):
+    out = rewritten(spark, documents, "mail 李明@例子.公司 ok", "Mrs. Żółć Łęcka", "mail straße.ёж@пример.рф", "Dr ẞßıĸ Ħŋſ", "mail 𠀀𠀁@𝐀𝐁.com", "mail あい.אב.ขค.한글@ひらがな.org")
+    for before, after in (("李明@例子", out[0]), ("Żółć", out[1]), ("Łęcka", out[1]), ("straße.ёж@пример", out[2]), ("𠀀𠀁", out[4]), ("あい.אב.ขค.한글@ひらがな", out[5])):
+        assert before not in after and not any(x in after for x in before if x.isalpha() and len(before) < 8 and x not in "aeioulcn")
+    assert re.fullmatch(r"mail [\u4e00-\u9fa5]{2}@[\u4e00-\u9fa5]{2}\.公司 ok", out[0])
+    assert re.fullmatch(r"mail [\u3041-\u309f]{2}\.[\u05d0-\u05f2]{2}\.[\u0e01-\u0e4f]{2}\.[\uac00-\ud7a3]{2}@[\u3041-\u309f]{4}\.org", out[5])
+
+
+def test_scripts_and_genders_of_names(spark, documents):
+    out = rewritten(spark, documents, "Dr Γιώργος Παπάς", "Dr Ελένη Παπάς", "Mrs. Anna Schmidt, Mr. Otto Schmidt, Mrs. Schmidt; Anna Schmidt and Otto Schmidt or Schmidt. Schmidtke", "Frau 王芳 x", "Herr عمر علي")
+    assert out[0].split()[1] in S._NAMES["m", "greek"] and out[1].split()[1] in S._NAMES["f", "greek"] and out[0].split()[2] == out[1].split()[2]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+), Mrs\. (\w+); (\w+) (\w+) and (\w+) (\w+) or (\w+)\. Schmidtke", out[2])
+    assert m and {m[i] for i in (2, 4, 5, 7, 9, 10)} == {m[2]} and m[2] != "Schmidt"
+    assert m[1] == m[6] in S._NAMES["f", "latin"] and m[3] == m[8] in S._NAMES["m", "latin"]
+
+
+def test_check_digits_of_ibans(spark, documents):
+    out = rewritten(spark, documents, "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE00 3704 0044 0532 0130 00")
+
+    def rest(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    assert [x[:2] for x in out] == ["DE", "GB", "DE"] and [rest(x) == 1 for x in out[:2]] == [True, True]
+    assert [len(x) for x in out] == [27, 22, 27]
+
+
+def test_short_ipv6(spark, documents):
+    out = rewritten(spark, documents, "from 2001:db8::1 to fe80::1, at 12:30:00, std::cafe a::b 1::2")
+    assert "2001:db8::1" not in out[0] and "fe80::1" not in out[0] and out[0].endswith(", at 12:30:00, std::cafe a::b 1::2")
+
+
+def test_the_key_comes_from_the_session(spark, documents):
+    spark.conf.unset(S.KEY_SETTING)
+    docs = documents("a.person@example.org")
+    first = S.replace(spark, docs).first().text
+    assert S.replace(spark, docs).first().text == first and len(spark.conf.get(S.KEY_SETTING)) == 32
+    spark.conf.set(S.KEY_SETTING, "one")
+    assert S.replace(spark, docs).first().text == rewritten(spark, documents, "a.person@example.org", key="one")[0]
+    spark.conf.unset(S.KEY_SETTING)
+
+
+# A second version of the permutation, character by character.
+
+
+def digest(*parts):
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()
+
+
+def moved(c, k):
+    for letters in S._CLASSES:
+        if c in letters:
+            return letters[(letters.index(c) + k) % len(letters)]
+    for a, b in S._RANGES:
+        if a <= ord(c) <= b:
+            return chr((ord(c) - a + k * 251) % (b - a + 1) + a)
+    return "abcdefghijklmnopqrstuvwxyz"[(ord(c) + k) % 26] if c.isalnum() else c
+
+
+def permuted(s, key, tweak, move=moved):
+    half = len(s) // 2
+    left, right = s[:half], s[half:]
+    for i in range(S.ROUNDS):
+        if i % 2 == 0:
+            d = digest(key, tweak, i, right.lower())
+            left = "".join(move(c, d[j % 32]) for j, c in enumerate(left))
+        else:
+            d = digest(key, tweak, i, left.lower())
+            right = "".join(move(c, d[j % 32]) for j, c in enumerate(right))
+    return left + right
+
+
+def expected(e, key):
+    """The first surrogate of an e-mail, phone or other entity without a rule of its own."""
+    if "@" in e:
+        local, domain = e.split("@")
+        host, top = domain.rsplit(".", 1)
+        return permuted(local, key, f"email/local/{domain.lower()}") + "@" + permuted(host, key, f"email/host/.{top.lower()}") + "." + top
+    if regex.fullmatch(S.PATTERNS["phone"], e):
+        code = (re.match(r"\+[0-9]{1,3}(?=[ .(-])", e) or [""])[0]
+        return code + permuted(e[len(code) :], key, f"phone{code}")
+    return None
+
+
+def test_permutation_against_a_second_version(spark):
+    words = ["a", "Ab", "jane.doe", "2024-X", "Żółć-ß", "Ελένη Παπάς", "ёлка", "李明王", "한글", "עברית", "x" * 90, "a1_b2", ""]
+    made = spark.createDataFrame([(w,) for w in words], "w string").select("w", S.permute(F.col("w"), "k", F.lit("t"), S._CLASSES).alias("s"))
+    assert {r.w: r.s for r in made.collect()} == {w: permuted(w, "k", "t") for w in words}
+
+
+def test_corpus_against_a_second_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = S.replace(spark, docs, "k").join(docs.withColumnRenamed("text", "was"), "doc_id").collect()
+    seen, checked = {}, Counter()
+    for r in rows:
+        found = regex.findall(S.ANY, r.was or "") if regex.search(S.MAYBE, r.was or "") else []
+        assert r.n_entities == len(found) and (found or r.text == r.was)
+        at = 0
+        gaps = regex.split(S.ANY, r.was or "") if found else []
+        for gap, e in zip(gaps, found, strict=False):
+            assert r.text.startswith(gap, at)
+            at += len(gap)
+            new = r.text[at : at + len(e)]
+            at += len(e)
+            assert seen.setdefault(e, new) == new != e
+            if (want := expected(e, "k")) is not None:
+                assert new == want
+                checked["@" in e] += 1
+        assert not found or r.text[at:] == gaps[-1]
+    assert len(set(seen.values())) == len(seen) and checked[True] > 3 and checked[False] > 3
 
 
 def test_edges(spark, documents):
