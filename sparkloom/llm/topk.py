@@ -1,11 +1,13 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks.  A block's index holds posting segments (quantised impact,
-dimension): the members whose component has that impact, with the component.  A query block walks
-the levels of quantised impact downwards, adding each level's segments to the scores.  After a
-level, what is still missing from a score is at most |query| * |unread rest of the vector|
-(Cauchy-Schwarz), so scores have proven limits.  The walk stops once the limits exclude enough
-vectors; those they can't exclude are possible members and are scored again, exactly.
+Vectors are dealt to lanes, and queries into groups that go to every lane.  A lane holds the queries
+of a group and reads its vectors as a stream, block by block.  A block's index holds posting segments
+(quantised impact, dimension): the members whose component has that impact, with the component.  The
+queries walk the levels of quantised impact downwards, adding each level's segments to the scores.
+After a level, what is still missing from a score is at most |query| * |unread rest of the vector|
+(Cauchy-Schwarz), so scores have proven limits.  The walk stops once the limits, and the scores of
+which a query has k already, exclude enough vectors; those they can't exclude are possible members
+and are scored again, exactly.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Workspace, table
 
-BLOCK = 2048
-QUERY_BLOCK = 1024
-#: Blocks are dealt to so many lanes at most; a lane carries its best scores from block to block, so what
-#: it passes on for a query doesn't grow with the vectors.
-LANES = 256
+#: Vectors whose index is walked at once, and queries that walk it at once.
+BLOCK, QUERY_BLOCK = 2048, 1024
+#: Queries that a lane holds at once.  A lane passes on k scores for each query, whatever the number of
+#: vectors, and these are read once for each group of so many queries.
+LANES, HELD = 16, 1 << 15
 #: Impacts (absolute components) are quantised by halving: level n holds 2^n .. 2^(n+1) - 1.
 #: The walk stops when this share of the block, at most, are possible members.
 OPEN_SHARE = 0.06
@@ -63,112 +65,143 @@ def build(matrix: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return out
 
 
-def search(segments: list[tuple[int, int, np.ndarray, np.ndarray]], matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+class Block:
+    """The index of one block of vectors."""
+
+    def __init__(self, matrix: np.ndarray, ids: np.ndarray) -> None:
+        self.matrix, self.ids = matrix, ids
+        self.most = float(np.abs(matrix.astype(np.float64)).max(initial=0))
+        segments = build(matrix)
+        self.levels = sorted({s[0] for s in segments}, reverse=True)
+        #: By level the segments' components, and what the squares of the levels below add up to.
+        self.parts, self.rest = [], []
+        rest = (matrix.astype(np.float64) ** 2).sum(1)
+        for level in self.levels:
+            part = np.zeros((matrix.shape[1], len(matrix)), np.int64)
+            for _, dim, members, values in (s for s in segments if s[0] == level):
+                part[dim, members] = values
+                rest[members] -= values.astype(np.float64) ** 2
+            self.parts.append(part)
+            self.rest.append(np.sqrt(np.maximum(rest, 0)))
+
+
+def _saturated(block: Block, queries: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All scores, where some may not fit 64 bits: exact, and those beyond the range at its ends."""
+    exact = queries.astype(object) @ block.matrix.T.astype(object)
+    rows, members = np.nonzero(~mine)
+    return rows, members, np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact[rows, members]], np.int64)
+
+
+def search(block: Block, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query row, member, score) of the k best of each query, and the levels that were read.
 
     Members with the query's own id are left out; ties go to the smaller id.  ``floor``: scores of which
-    each query has k already; members that can't reach them are no possible members.  Vectors so large that a
-    score may not fit 64 bits raise.
+    each query has k already; members that can't reach them are no possible members.
     """
+    matrix, ids, levels = block.matrix, block.ids, block.levels
     n = len(matrix)
-    own = float(np.abs(queries.astype(np.float64)).sum(1, initial=0).max(initial=0)) * max(1.0, float(np.abs(matrix.astype(np.float64)).max(initial=0)))
-    if own >= 2**63:
-        raise OverflowError("a score may not fit 64 bits")
-    kind = np.float32 if own < EXACT32 else np.float64 if own < EXACT64 else np.longdouble
-    q = queries.astype(kind)
-    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-    rest2 = (matrix.astype(np.float64) ** 2).sum(1)
-    scores = np.zeros((len(q), n), kind)
     order = np.argsort(ids, kind="stable")
     taken = np.searchsorted(ids[order], query_ids, "left"), np.searchsorted(ids[order], query_ids, "right")
-    mine = np.zeros(scores.shape, bool)
+    mine = np.zeros((len(queries), n), bool)
     for row in np.flatnonzero(taken[1] > taken[0]):
         mine[row, order[taken[0][row] : taken[1][row]]] = True
-    levels = sorted({s[0] for s in segments}, reverse=True)
-    possible = ~mine
-    for at, level in enumerate(levels, 1):
-        part = np.zeros((matrix.shape[1], n), kind)
-        for _, dim, members, values in (s for s in segments if s[0] == level):
-            part[dim, members] = values
-            rest2[members] -= values.astype(np.float64) ** 2
-        scores += q @ part
-        margin = np.outer(norm, np.sqrt(np.maximum(rest2, 0))) * (1 + 1e-6) + (at < len(levels)) * 1e-3
-        low = np.where(mine, -np.inf, scores - margin)
-        kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        kth = kth if floor is None else np.maximum(kth, floor)
-        possible = ~mine & (scores + margin >= kth[:, None])
-        if at == len(levels) or possible.sum() <= max(OPEN_SHARE * n, 2 * k) * len(q):
-            break
-    rows, members = np.nonzero(possible)
-    exact = np.zeros(len(rows), np.int64)
-    for i in range(0, len(rows), 1 << 18):
-        part = slice(i, i + (1 << 18))
-        exact[part] = np.einsum("ij,ij->i", queries[rows[part]], matrix[members[part]])
-    best = np.lexsort((ids[members], -exact, rows))
+    own = float(np.abs(queries.astype(np.float64)).sum(1, initial=0).max(initial=0)) * max(1.0, block.most)
+    at = len(levels)
+    if own >= 2**62:
+        rows, members, exact = _saturated(block, queries, mine)
+    else:
+        kind = np.float32 if own < EXACT32 else np.float64 if own < EXACT64 else np.longdouble
+        q = queries.astype(kind)
+        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        scores = np.zeros((len(q), n), kind)
+        possible = ~mine
+        for at, (part, rest) in enumerate(zip(block.parts, block.rest, strict=True), 1):
+            scores += q @ part.astype(kind)
+            margin = np.outer(norm, rest) * (1 + 1e-6) + (at < len(levels)) * 1e-3
+            low = np.where(mine, -np.inf, scores - margin)
+            kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+            kth = kth if floor is None else np.maximum(kth, floor)
+            possible = ~mine & (scores + margin >= kth[:, None])
+            if possible.sum() <= max(OPEN_SHARE * n, 2 * k) * len(q):
+                break
+        rows, members = np.nonzero(possible)
+        exact = np.zeros(len(rows), np.int64)
+        for i in range(0, len(rows), 1 << 18):
+            part = slice(i, i + (1 << 18))
+            exact[part] = np.einsum("ij,ij->i", queries[rows[part]], matrix[members[part]])
+    best = np.lexsort((ids[members], -exact.astype(object) if own >= 2**62 else -exact, rows))
     rows, members, exact = rows[best], members[best], exact[best]
-    first = np.searchsorted(rows, np.arange(len(q)))
+    first = np.searchsorted(rows, np.arange(len(queries)))
     keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], members[keep], exact[keep], len(levels) if not levels else at
-
-
-INDEX = "block int, ids binary, width int, ints binary, levels binary, dims binary, lengths binary, members binary, impacts binary"
-
-
-def _index(width: int, key: str):
-    def run(keys: tuple, group: pa.Table) -> pa.Table:
-        matrix = _matrix(group["ints"], width)
-        segments = build(matrix)
-        raw = lambda arrays, kind: (np.concatenate(arrays) if len(arrays) else np.zeros(0)).astype(kind).tobytes()
-        row = [
-            int(keys[0].as_py()), group[key].to_numpy().astype("<i8").tobytes(), width, matrix.astype("<i8").tobytes() if np.abs(matrix).max(initial=0) > 127 else matrix.astype("i1").tobytes(),
-            raw([[s[0]] for s in segments], "i1"), raw([[s[1]] for s in segments], "<i4"), raw([[len(s[2])] for s in segments], "<i4"), raw([s[2] for s in segments], "<i4"), raw([s[3] for s in segments], "<i8"),
-        ]
-        kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 6]
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
-
-    return run
-
-
-def _ints(raw: bytes, rows: int, width: int) -> np.ndarray:
-    return np.frombuffer(raw, "i1" if len(raw) == rows * width else "<i8").reshape(rows, width).astype(np.int64)
-
-
-def _packed(width: int, key: str):
-    def run(keys: tuple, group: pa.Table) -> pa.Table:
-        matrix = _matrix(group["ints"], width)
-        raw = matrix.astype("<i8").tobytes() if np.abs(matrix).max(initial=0) > 127 else matrix.astype("i1").tobytes()
-        return pa.table([pa.array([int(keys[0].as_py())], pa.int32()), pa.array([group[key].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["qblock", "qids", "qints"])
-
-    return run
-
+    return rows[keep], members[keep], exact[keep], at
+
+
+class _Held:
+    """A block of queries and the best that they have met."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.row, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, block: Block) -> None:
+        count = np.bincount(self.row, minlength=len(self.ids))
+        floor = np.full(len(self.ids), -np.inf)
+        last = np.cumsum(count) - 1
+        floor[count >= self.k] = self.score[last[count >= self.k]]
+        row, member, score, _ = search(block, self.matrix, self.ids, self.k, floor)
+        row, vec, score = np.concatenate((self.row, row)), np.concatenate((self.vec, block.ids[member])), np.concatenate((self.score, score))
+        order = np.lexsort((vec, ~score, row))  # ~score falls as the score rises, and always fits
+        row, vec, score = row[order], vec[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(self.ids)))[row] < self.k
+        self.row, self.vec, self.score = row[keep], vec[keep], score[keep]
+
+
+def _walk(k: int, width: int):
+    """Rows come by lane and group, there queries before vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, waiting, rows = None, [], [], 0
+        queries: list[pa.Table] = []
+
+        def flush() -> None:
+            nonlocal waiting, rows
+            if queries:
+                all_ = pa.concat_tables(queries)
+                for i in range(0, len(all_), QUERY_BLOCK):
+                    part = all_.slice(i, QUERY_BLOCK)
+                    held.append(_Held(part["id"].to_numpy(), _matrix(part["ints"], width), k))
+                queries.clear()
+            if rows:
+                part = pa.concat_tables(waiting)
+                block = Block(_matrix(part["ints"], width), part["id"].to_numpy())
+                for h in held:
+                    h.meet(block)
+            waiting, rows = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            flush()
+            for h in held:
+                yield pa.RecordBatch.from_arrays([pa.array(h.ids[h.row]), pa.array(h.vec), pa.array(h.score)], names=["query_id", "vec_id", "score"])
+            held.clear()
 
-def _walk(k: int):
-    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] | None = None  # query row, vec_id, score
-        qids = np.zeros(0, np.int64)
         for batch in batches:
-            for n in range(batch.num_rows):
-                r = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
-                ids, qids, width = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["qids"], "<i8"), r["width"]
-                ends = np.cumsum(np.frombuffer(r["lengths"], "<i4"))[:-1]
-                segments = list(zip(np.frombuffer(r["levels"], "i1").tolist(), np.frombuffer(r["dims"], "<i4").tolist(), np.split(np.frombuffer(r["members"], "<i4"), ends), np.split(np.frombuffer(r["impacts"], "<i8"), ends), strict=True)) if r["levels"] else []
-                floor = None
-                if best is not None:
-                    floor = np.full(len(qids), -np.inf)
-                    count = np.bincount(best[0], minlength=len(qids))
-                    last = np.cumsum(count) - 1
-                    floor[count >= k] = best[2][last[count >= k]]
-                rows, members, scores, _ = search(segments, _ints(r["ints"], len(ids), width), ids, _ints(r["qints"], len(qids), width), qids, k, floor)
-                found = [rows, ids[members], scores]
-                if best is not None:
-                    found = [np.concatenate(x) for x in zip(best, found, strict=True)]
-                order = np.lexsort((found[1], -found[2], found[0]))
-                found = [x[order] for x in found]
-                first = np.searchsorted(found[0], np.arange(len(qids)))
-                keep = np.arange(len(order)) - first[found[0]] < k
-                best = [x[keep] for x in found]
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
+            rest = pa.Table.from_batches([batch])
+            while len(rest):
+                if rest["key"][0].as_py() != key:
+                    yield from done()
+                    key = rest["key"][0].as_py()
+                same = (rest["key"].to_numpy() == key) & (rest["kind"].to_numpy() == rest["kind"][0].as_py())
+                n = int(np.argmin(same)) if not same.all() else len(same)
+                if rest["kind"][0].as_py() == 0:
+                    queries.append(rest.slice(0, n))
+                else:
+                    n = min(n, BLOCK - rows)
+                    waiting.append(rest.slice(0, n))
+                    rows += n
+                    if rows == BLOCK:
+                        flush()
+                rest = rest.slice(n)
+        yield from done()
 
     return run
 
@@ -176,26 +209,21 @@ def _walk(k: int):
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all vectors.
 
-    Both inputs are (key, ints) as ``whole_vectors`` makes them, keys not null; of rows that repeat
-    a key and vector one counts, and rows of the query's key are its own.  Vectors of fewer
-    dimensions count as filled up with zeros.  Blocks are hashed parts of a size that doesn't grow.
-    Query blocks go to every lane, index blocks to one; a lane reads its blocks as a stream.
+    Both inputs are (key, ints) as ``whole_vectors`` makes them, keys not null.  Every row that doesn't
+    have the query's key is a candidate, rows that repeat each other too; the candidates of rows that
+    repeat a query's key are ranked together.  Vectors of fewer dimensions count as filled up with
+    zeros.  Scores beyond 64 bits count as the ends of that range.  No rows give no rows.
     """
     work = Workspace(spark, "topk")
-    vectors = work.save(vectors.filter(F.col(key).isNotNull()).dropDuplicates(), "vectors")
-    queries = work.save(queries.filter(F.col(key).isNotNull()).dropDuplicates(), "queries")
-    n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("ints")), F.lit(0))).first()
-    nq, qwidth = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("ints")), F.lit(0))).first()
-    width = max(width, qwidth, 1)
-    blocks, qblocks = max(1, -(-n // BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    dealt = lambda count: F.pmod(F.xxhash64(key, "ints"), F.lit(count)).cast("int")
-    index = work.save(vectors.withColumn("block", dealt(blocks)).groupBy("block").applyInArrow(_index(width, key), INDEX), "index")
-    asked = work.save(queries.withColumn("qblock", dealt(qblocks)).groupBy("qblock").applyInArrow(_packed(width, key), "qblock int, qids binary, qints binary"), "asked")
-    work.drop(vectors, queries)
-    lanes = min(blocks, LANES)
-    sent = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = sent.repartition(lanes, "lane").join(index.withColumn("lane", F.col("block") % lanes).hint("shuffle_hash"), "lane")
-    found = met.groupBy("lane", "qblock").applyInArrow(_walk(k), "query_id bigint, vec_id bigint, score bigint")
+    vectors = work.save(vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "ints"), "vectors")
+    queries = work.save(queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "ints"), "queries")
+    widths = [df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("ints")), F.lit(0))).first() for df in (vectors, queries)]
+    width, groups = max(1, widths[0][1], widths[1][1]), max(1, -(-widths[1][0] // HELD))
+    place = lambda n, seed: F.floor(F.rand(seed) * n).cast("int")  # noqa: E731  # by chance, for rows may repeat; tables are written, so reruns agree
+    met = queries.withColumn("g", place(groups, 1)).select(F.lit(0).alias("kind"), "id", "ints", "g", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    met = met.unionByName(vectors.withColumn("lane", place(LANES, 2)).select(F.lit(1).alias("kind"), "id", "ints", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "lane"))
+    met = met.select((F.col("g") * LANES + F.col("lane")).alias("key"), "kind", "id", "ints").repartition(LANES * groups, "key").sortWithinPartitions("key", "kind")
+    found = work.save(met.mapInArrow(_walk(k, width), "query_id bigint, vec_id bigint, score bigint"), "found")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
