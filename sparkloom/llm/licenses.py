@@ -2,9 +2,11 @@
 
 A multinomial logistic regression tells licence families from ordinary text and from legal talk
 that names no licence.  It is trained here, on variations of the templates below and on lines of
-the corpus itself.  Its probabilities are scaled on held-out variations; a licence-like line whose
-best family stays under the calibrated threshold, or whose words don't cover a template of that
-family, is reported as ``unknown``.
+the corpus itself.  Its probabilities are scaled, and the threshold of the unknown class is set, on
+templates that the model of their fold has not seen; a licence-like paragraph whose best family
+stays under that threshold, or whose words don't cover a template of that family, is reported as
+``unknown``.  A paragraph's lines are looked at one by one and as runs that cover a template, for
+corpora also have notices inside running text without blank lines around them.
 """
 
 from __future__ import annotations
@@ -47,9 +49,12 @@ LEGAL_TALK = [
     "This license agreement is governed by local law.", "Please read the terms of the license before use.", "The work was released under a new title.",
 ]
 FAMILIES = ["none", "legal", *TEMPLATES]
-#: Documents whose lines teach the model ordinary text, and lines taken of them, at most.
+#: Documents whose lines teach the model ordinary text, and lines taken of them, at most.  A line is the set of
+#: its n-grams that are in the vocabulary, whatever its length.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_LINES = 4000
+#: Templates and other texts are dealt to so many folds to scale probabilities and set the threshold.
+FOLDS = 3
 VARIATIONS = 24
 STEPS = 160
 COVERAGE = 0.7
@@ -112,6 +117,11 @@ class Vocabulary:
         known, at = self._known(h)
         return self._distinct(line[known], at)
 
+    def places_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the places of its n-grams in the vocabulary."""
+        line, at = self.hits(*_joined(texts))
+        return np.split(at, np.searchsorted(line, np.arange(1, len(texts))))
+
     def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.flatnonzero(self.maybe[(h & _MASK).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
@@ -158,76 +168,105 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def _variations(rng: np.random.Generator, fill: list[str]) -> tuple[list[str], list[int]]:
-    """Templates with a word lost, names and years around them, or inside ordinary text."""
-    texts, labels = [], []
+def _variations(vocabulary: Vocabulary, rng: np.random.Generator, ordinary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(presence vectors, labels, folds) of templates and legal talk with a word lost, names and years around them, or inside ordinary text.
+
+    All variations of a template are in one fold.
+    """
+    texts, labels, folds, inside = [], [], [], []
     for f, family in enumerate(FAMILIES[1:], 1):
-        for t in LEGAL_TALK if family == "legal" else TEMPLATES[family]:
+        for n, t in enumerate(LEGAL_TALK if family == "legal" else TEMPLATES[family]):
             for k in range(VARIATIONS if family != "legal" else VARIATIONS // 2):
                 w = t.split()
                 if k and len(w) > 6 and k % 3 == 0:
                     del w[int(rng.integers(len(w)))]
-                before = ["", "Copyright (c) 2021 Jane Doe.", "This file is part of Foo.", str(rng.choice(fill))][k % 4]
-                after = ["", "See LICENSE for details.", str(rng.choice(fill))][k % 3]
-                texts.append(" ".join([before, *w, after]))
+                before = ["", "Copyright (c) 2021 Jane Doe.", "This file is part of Foo.", ""][k % 4]
+                texts.append(" ".join([before, *w, ["", "See LICENSE for details.", ""][k % 3]]))
                 labels.append(f)
-    return texts, labels
+                folds.append(n % FOLDS)
+                inside.append(k % 4 == 3 or k % 3 == 2)
+    line, at = vocabulary.hits(*_joined(texts))
+    x = _dense(line, at, len(texts), len(vocabulary.hashes))
+    around = np.flatnonzero(inside)
+    x[around] = np.maximum(x[around], ordinary[rng.integers(len(ordinary), size=len(around))])
+    return x, np.array(labels), np.array(folds)
 
 
-def fit(ordinary: list[str], seed: int = 7) -> Model:
-    """Train on template variations and lines of ordinary text (those that cover a template left out)."""
-    vocabulary = Vocabulary()
-    width, rng = len(vocabulary.hashes), np.random.default_rng(seed)
-    ordinary = [*ordinary, "", "A few plain words.", "The quick brown fox jumps over the lazy dog."]
-    line, at = vocabulary.hits(*_joined(ordinary))
-    x0 = _dense(line, at, len(ordinary), width)
-    clean = vocabulary.coverage(x0).max(1) < 0.5
-    x0 = x0[clean]
-    texts, labels = _variations(rng, [t[:200] for t, c in zip(ordinary, clean, strict=True) if c])
-    line, at = vocabulary.hits(*_joined(texts))
-    x = np.concatenate((x0, _dense(line, at, len(texts), width)))
-    y = np.concatenate((np.zeros(len(x0), np.int64), np.array(labels)))
-    held = rng.random(len(y)) < 0.25
-    onehot = np.eye(len(FAMILIES), dtype=np.float32)[y[~held]]
-    share = (1 / np.maximum(onehot.sum(0), 1))[y[~held], None]
+def _regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial logistic regression in which all classes weigh the same."""
+    onehot = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    share = (1 / np.maximum(onehot.sum(0), 1))[y, None]
     share /= share.sum()
-    xt = x[~held]
-    weights, bias = np.zeros((width, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    weights, bias = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
     last_w, last_b = weights, bias
     for step in range(STEPS):  # accelerated gradient steps
         pull = step / (step + 3)
         w, b = weights + pull * (weights - last_w), bias + pull * (bias - last_b)
-        z = xt @ w + b
+        z = x @ w + b
         z = np.exp(z - z.max(1, keepdims=True))
         g = share * (z / z.sum(1, keepdims=True) - onehot)
         last_w, last_b = weights, bias
-        weights, bias = w - 4.0 * (xt.T @ g + 1e-5 * w), b - 4.0 * g.sum(0)
-    model = Model(vocabulary, weights, bias, 1.0, 0.5)
-    heats = np.geomspace(0.2, 5, 25)
-    losses = []
-    for heat in heats:
-        model.heat = float(heat)
-        losses.append(-np.log(np.maximum(model.probabilities(x[held])[np.arange(held.sum()), y[held]], 1e-9)).mean())
-    model.heat = float(heats[int(np.argmin(losses))])
-    p = model.probabilities(x[held])
+        weights, bias = w - 4.0 * (x.T @ g + 1e-5 * w), b - 4.0 * g.sum(0)
+    return weights, bias
+
+
+def fit(ordinary: list[np.ndarray], seed: int = 7) -> Model:
+    """Train on template variations and lines of ordinary text (those that cover half a template left out).
+
+    ``ordinary`` has lines as ``Vocabulary.places_of`` gives them.  The model of each fold meets the
+    templates of that fold for the first time: what it then says gives the heat, from the families
+    that it knows by other templates, and the threshold, from all that it takes for another family.
+    """
+    vocabulary = Vocabulary()
+    width, rng = len(vocabulary.hashes), np.random.default_rng(seed)
+    ordinary = [*ordinary, *vocabulary.places_of(["", "A few plain words.", "The quick brown fox jumps over the lazy dog."])]
+    line = np.repeat(np.arange(len(ordinary)), [len(p) for p in ordinary])
+    x0 = _dense(line, np.concatenate(ordinary).astype(np.int64), len(ordinary), width)
+    x0 = x0[vocabulary.coverage(x0).max(1) < 0.5]
+    xv, yv, fv = _variations(vocabulary, rng, x0)
+    x, y, fold = np.concatenate((x0, xv)), np.concatenate((np.zeros(len(x0), np.int64), yv)), np.concatenate((np.arange(len(x0)) % FOLDS, fv))
+    model = Model(vocabulary, *_regression(x, y), 1.0, 0.5)
+    seen, best, truth = [], [], []
+    for f in range(FOLDS):
+        held = fold == f
+        weights, bias = _regression(x[~held], y[~held])
+        seen.append(x[held] @ weights + bias)
+        truth.append(np.where(np.isin(y[held], y[~held]), y[held], -1))  # -1: nothing of that family was there to learn
+    z, truth = np.concatenate(seen), np.concatenate(truth)
+
+    def scaled(heat: float) -> np.ndarray:
+        p = np.exp((z - z.max(1, keepdims=True)) / heat)
+        return p / p.sum(1, keepdims=True)
+
+    heats, known = np.geomspace(0.2, 5, 25), np.flatnonzero(truth >= 0)
+    model.heat = float(heats[np.argmin([-np.log(np.maximum(scaled(h)[known, truth[known]], 1e-9)).mean() for h in heats])])
+    p = scaled(model.heat)
     best = p.argmax(1)
-    wrong = p.max(1)[(best > 1) & (best != y[held])]
-    model.threshold = float(min(0.9, max(0.5, wrong.max(initial=0) + 0.01)))
+    wrong = p.max(1)[(best > 1) & (best != truth)]
+    model.threshold = float(np.clip(np.quantile(wrong, 0.95) if len(wrong) else 0, 0.5, 0.9))
     return model
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines with a word of every text, as places in the vocabulary."""
+    vocabulary = Vocabulary()
     for batch in batches:
-        lines = [(i, k, t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, t in enumerate((text or "").split("\n")) if t.strip()]
-        ids, places, texts = zip(*lines, strict=True) if lines else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line", "text"])
+        for row, _, data, offsets in kernels.pieces(batch.column(1)):
+            bounds = np.unique(np.concatenate((offsets, np.flatnonzero(data == 10) + 1)))
+            starts, _ = kernels.runs(_ALNUM[data], bounds)
+            full = np.unique(np.searchsorted(bounds, starts, "right") - 1)
+            line, at = vocabulary.hits(data, bounds)
+            found = np.split(at, np.searchsorted(line, full)[1:]) if len(full) else []
+            doc = np.searchsorted(offsets, bounds[full], "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc)), pa.array(full - np.searchsorted(bounds, offsets[doc]), pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "line", "places"])
 
 
 def train(docs: DataFrame) -> Model:
-    chosen = docs.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCUMENTS)
-    lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample, "doc_id bigint, line int, text string")
-    rows = lines.filter(F.length("text") <= 4000).orderBy(F.md5(F.concat_ws("/", "doc_id", "line")), "doc_id", "line", "text").limit(SAMPLE_LINES).select("text").collect()
-    return fit([r[0] for r in rows])
+    """Fit on a bounded sample of lines; a document that is there several times counts once."""
+    chosen = docs.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCUMENTS)
+    lines = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").mapInArrow(_sample, "doc_id bigint, line int, places array<int>")
+    rows = lines.distinct().orderBy(F.md5(F.concat_ws("/", "doc_id", "line")), "doc_id", "line", "places").limit(SAMPLE_LINES).select("places").collect()
+    return fit([np.array(r[0], np.int64) for r in rows])
 
 
 def _paragraphs(data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +361,7 @@ def _notice(model: Model, presence: Callable[[int, int], np.ndarray], span: tupl
             found.add(name)
             taken |= own
     new = {f[2] for f in out}
-    gone = [f for f in single if out and (not f[5] or f[2] in new or f[2] not in found and not alone(f[2], presence(f[0], f[0])))]
+    gone = [f for f in single if found and not f[5] or out and (f[2] in new or f[2] not in found and not alone(f[2], presence(f[0], f[0])))]
     return out, gone
 
 
@@ -390,8 +429,9 @@ FOUND = "doc_id bigint, line int, family string, probability double, coverage do
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each line or run of a paragraph's lines that holds a licence notice, or one of an unknown kind.
 
-    Null, empty and blank texts have none.  Repeated documents are reported each.  ``line`` is the
-    notice's first, ``paragraph`` all of its lines.
+    Null, empty and blank texts have none.  Repeated documents are reported each; very long texts and
+    lines are read whole, and columns but doc_id and text are not read.  ``line`` is the notice's first,
+    ``paragraph`` all of its lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

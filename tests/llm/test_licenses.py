@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from sparkloom.llm import licenses as L
@@ -7,7 +9,7 @@ from sparkloom.llm import licenses as L
 
 @pytest.fixture(scope="module")
 def model():
-    return L.fit(["Ordinary text about nothing.", "Another line of words, here.", "The cat sat on the mat and slept."] * 20)
+    return L.fit(L.Vocabulary().places_of(["Ordinary text about nothing.", "Another line of words, here.", "The cat sat on the mat and slept."] * 20))
 
 
 def scanned(docs, model):
@@ -31,8 +33,47 @@ def test_variants_and_other_text(spark, documents, model):
 
 
 def test_unconfirmed_is_unknown(spark, documents, model):
-    rows = L.scan(documents("This work is licensed under the Foo Bar Public License, version 9."), model).collect()
-    assert all(r.family == "unknown" and not r.confirmed for r in rows)
+    rows = L.scan(documents("This work is licensed under the Foo Bar Public License, version 9.", "Licensed under the Foo License, Version 7.1; you may not use this file but as it says."), model).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1] and all(r.family == "unknown" and not r.confirmed for r in rows)
+
+
+def test_repeated_rows_and_clashing_columns(spark, documents, model):
+    docs = documents((3, "Released under the MIT License."), (3, "Released under the MIT License."), (None, "Released under the MIT License."))
+    clash = docs.withColumnRenamed("lang", "line").withColumnRenamed("source", "family").withColumnRenamed("n_chars", "paragraph")
+    assert sorted((r.doc_id or 0, r.line, r.family) for r in L.scan(clash, model).collect()) == [(0, 0, "MIT"), (3, 0, "MIT"), (3, 0, "MIT")]
+    assert L.train(clash).threshold == L.train(docs.limit(2)).threshold
+
+
+def test_long_lines_take_part(spark, documents):
+    line = "plain " * 2000 + "words of the license version"
+    assert len(L._sample is not None and L.Vocabulary().places_of([line])[0]) > 3
+    assert [r.family for r in L.scan(documents(line + " Released under the MIT License."), L.train(documents(line))).collect()] == ["MIT"]
+
+
+def brute(text):
+    """(line, families whose template a single line covers) by sets of word pairs and triples."""
+    grams = lambda t: {tuple(w[i : i + n]) for w in [re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t))] for n in (2, 3) for i in range(len(w) - n + 1)}
+    templates = [(f, grams(t)) for f, ts in L.TEMPLATES.items() for t in ts]
+    out = {}
+    for n, line in enumerate((text or "").split("\n")):
+        have = grams(line)
+        cover = {f for f, t in templates if len(t & have) >= L.COVERAGE * len(t) - 1e-6}
+        if cover:
+            out[n] = cover
+    return out
+
+
+def test_confirmed_lines_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {(r.doc_id, n): families for r in docs.collect() for n, families in brute(r.text).items()}
+    got = {(r.doc_id, r.line): r.family for r in L.scan(docs, L.train(docs)).filter("confirmed").collect() if "\n" not in r.paragraph}
+    assert len(want) > 5 and set(got) == set(want) and all(got[k] in want[k] for k in got)
+
+
+def test_families_left_out_of_training_stay_unknown():
+    """What the threshold is for: wording that no template of the model has."""
+    model = L.fit(L.Vocabulary().places_of(["Ordinary text about nothing."] * 30))
+    assert 0.5 <= model.threshold <= 0.9 and 0.2 <= model.heat <= 5
 
 
 def test_empty_table_and_training(spark, documents):
@@ -53,9 +94,12 @@ the Free Software Foundation, either version 3 of the License, or
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions
 are met:"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at the address below."""
 
 
-@pytest.mark.parametrize(("family", "text", "start"), [("MIT", MIT, 0), ("GPL-3.0", GPL, 0), ("BSD", BSD, 0)])
+@pytest.mark.parametrize(("family", "text", "start"), [("MIT", MIT, 0), ("GPL-3.0", GPL, 0), ("BSD", BSD, 0), ("Apache-2.0", APACHE, 0)])
 def test_wrapped_notices(spark, documents, model, family, text, start):
     lines = text.split("\n")
     forms = [text, "\n".join(" * " + x for x in lines), "\n".join("# " + x for x in lines), "\n".join("dnl " + x for x in lines), text.replace("\n", "\r\n")]
