@@ -77,4 +77,4 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def local_path(uri: str) -> str:
     """A file: URI without its scheme, for pyarrow's file systems; other URIs stay."""
-    return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else uri
+    return "/" + uri[len("file:") :].lstrip("/") if uri.startswith("file:") else uri

@@ -23,9 +23,10 @@ from sparkloom.llm.common import Workspace, local_path, table
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
-#: Bytes of records that a dictionary is trained from, of one record, and of the dictionary, at most.
+#: A dictionary is trained from the first records of its archive that have so many bytes together, in samples
+#: of so many bytes, so many of a record at most, spread over it; and its own bytes, at most.
 TRAIN_BYTES = 1 << 20
-TRAIN_RECORD = 16 << 10
+SAMPLE_BYTES, RECORD_SAMPLES = 2048, 8
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
 #: Tasks that read archives, at most; each reads its archives one after another.
@@ -39,14 +40,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha1: str, date: str = DATE) -> bytes:
-    """One WARC/1.1 record.  A revisit has no body but still names the payload's digest and length."""
+def _uri(url: str | None, page_id: int | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A") or f"urn:page:{page_id}"
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, sha1: str, date: str = DATE) -> bytes:
+    """One WARC/1.1 record with an id of its own, ``name``, and its page's in a field beside it.
+
+    A revisit has no body but still names the payload's digest and length, and the page and address
+    that have it.
+    """
     revisit = refers_to is not None
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A") or f"urn:page:{page_id}"
     body = b"" if revisit else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:record:{name}>", f"X-Page-ID: {page_id}", f"WARC-Target-URI: {_uri(url, page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_uri(refers_url, refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -65,7 +73,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def train(records: list[bytes]) -> bytes:
     """A dictionary from records; too few or too plain ones give the raw bytes of the first."""
-    samples = [r[i : i + 2048] for r in records for i in range(0, min(len(r), TRAIN_RECORD), 2048)]
+    samples = []
+    for r in records:
+        step = max(SAMPLE_BYTES, -(-len(r) // RECORD_SAMPLES))
+        samples += [r[i : i + SAMPLE_BYTES] for i in range(0, len(r), step)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, level=LEVEL).as_bytes() if len(samples) >= 16 else b"".join(records)[:2048]
     except zstandard.ZstdError:
@@ -77,11 +88,19 @@ def _tools(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held), zstandard.ZstdDecompressor(dict_data=held)
 
 
+#: Schemes of Hadoop's file systems by those of pyarrow's.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
 def _filesystem(folder: str):
+    """pyarrow's file system of a folder or file, and its path there."""
     from pyarrow import fs
 
     plain = local_path(folder)
-    return (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(plain)
+    if plain.startswith("dbfs:"):
+        plain = "/dbfs/" + plain[5:].lstrip("/")  # as clusters mount it
+    scheme, _, rest = plain.partition("://")
+    return (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 MANIFEST = "page_id bigint, path string, start bigint, length bigint"
@@ -91,7 +110,8 @@ def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         held: list[tuple[int, bytes]] = []
-        size, out, compress, at, path = 0, None, None, 0, f"{root}/{uuid.uuid4().hex}.warc.zst"
+        name = uuid.uuid4().hex
+        size, out, compress, at, n, path = 0, None, None, 0, 0, f"{root}/{name}.warc.zst"
         done: list[tuple[int, int, int]] = []
 
         def put(rows: list[tuple[int, bytes]]) -> None:
@@ -116,9 +136,10 @@ def _write(folder: str, date: str):
             return rows
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for page_id, url, html, refers_to, refers_url in zip(*(batch.column(i) for i in range(5)), strict=True):
                 payload = (html.as_py() or "").encode()
-                raw = record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), digest(payload), date)
+                raw = record(f"{name}:{n}", page_id.as_py(), url.as_py(), payload, refers_to.as_py(), refers_url.as_py(), digest(payload), date)
+                n += 1
                 if out is None:
                     held.append((page_id.as_py(), raw))
                     size += len(raw)
@@ -140,29 +161,30 @@ def _write(folder: str, date: str):
 
 
 def decisions(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, sha1, refers_to) of the pages whose payload a page of smaller id has.
+    """(page_id, sha1, refers_to, refers_url) of the pages whose payload a page of smaller id has.
 
     Payloads are compared by digest and length.  Each digest is reduced before the shuffle to its
     smallest page, so a payload that a third of the pages share costs one row a task.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    known = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
-    first = known.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    return known.join(first, ["sha1", "n"]).filter("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
+    known = pages.select("page_id", "url", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
+    first = known.groupBy("sha1", "n").agg(F.min(F.struct("page_id", "url")).alias("to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    return known.join(first, ["sha1", "n"]).filter("page_id <> to.page_id").select("page_id", "sha1", F.col("to.page_id").alias("refers_to"), F.col("to.url").alias("refers_url")).distinct()
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> DataFrame:
     """Write archives under ``folder`` (shared by all executors); the manifest of their records.
 
-    ``pages``: page_id, url, html.  Null html is an empty payload, a null url an urn, and a page
-    without an id is always a response.  Repeated rows are records of their own, all of one type.
+    ``pages``: page_id, url, html; other columns are not read.  Null html is an empty payload, a null
+    url an urn, and a page without an id is always a response.  Very long pages are written whole.
+    Repeated rows are records with ids of their own, all of one type; no rows make no archive.
     A task that is run again writes a file of its own; the manifest names only files of tasks whose
     rows were accepted, so readers never see those of lost attempts.
     """
     revisits = decisions(pages, least)
     sha1 = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     rows = pages.select("page_id", "url", "html", sha1.alias("sha1")).join(revisits, ["page_id", "sha1"], "left")
-    written = rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, date), MANIFEST)
+    written = rows.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(_write(folder, date), MANIFEST)
     return Workspace(spark, "warc-manifest").save(written, "manifest")
 
 
@@ -186,8 +208,8 @@ def _read(payloads: bool):
                         got, revisit = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
                         if not revisit and digest(body) != got:
                             raise ValueError(f"{path}: a payload differs from its digest")
-                        page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
-                        kept.append((None if page == "None" else int(page), int(fields["X-Payload-Length"]), got, fields["WARC-Type"], int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if revisit else None, fields["WARC-Target-URI"], body if payloads else None))
+                        page = fields["X-Page-ID"]
+                        kept.append((None if page == "None" else int(page), int(fields["X-Payload-Length"]), got, fields["WARC-Type"], int(fields["X-Refers-To-Page-ID"]) if revisit else None, fields["WARC-Target-URI"], body if payloads else None))
                         size += len(body) if payloads else 100
                         if size > 4 << 20:
                             yield _rows(kept)
@@ -225,8 +247,8 @@ def _frames(source, expand: zstandard.ZstdDecompressor) -> Iterator[bytes]:
 def read(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the archives that a manifest names, digests checked."""
     paths = manifest.select("path").distinct()
-    tasks = max(1, min(READERS, paths.count()))  # a path is a few bytes: by size all would be one task
-    return paths.repartition(tasks, "path").mapInArrow(_read(payloads), READ)
+    tasks = max(1, min(READERS, paths.count()))  # a path is a few bytes: by size, or with what distinct() deals out, all would be one task
+    return paths.repartition(tasks).mapInArrow(_read(payloads), READ)
 
 
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

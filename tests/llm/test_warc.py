@@ -41,7 +41,7 @@ def test_archives_stand_alone(spark, tmp_path):
         for r in manifest:
             if r.path == path:  # any record can be read alone
                 fields, _ = warc.parse(expand.decompressobj().decompress(raw[r.start : r.start + r.length]))
-                assert fields["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+                assert fields["X-Page-ID"] == str(r.page_id)
 
 
 def test_small_payloads_are_never_revisits(spark, tmp_path):
@@ -62,3 +62,43 @@ def test_damage_is_found(spark, tmp_path):
     path.write_bytes(path.read_bytes()[:-5])
     with pytest.raises(Exception, match="ends inside an?|ends inside|zstd|Zstd"):
         warc.read(spark, manifest).collect()
+
+
+def records(path):
+    raw = Path(path).read_bytes()
+    n = struct.unpack("<II", raw[:8])[1]
+    expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n]) if n else None)
+    with open(path, "rb") as f:
+        f.seek(8 + n)
+        return [warc.parse(x) for x in warc._frames(f, expand)]
+
+
+def test_records_have_ids_of_their_own_and_name_their_source(spark, tmp_path):
+    manifest = warc.write(spark, pages(spark, *[(1, "http://a", "x" * 30)] * 3, (2, "http://b", "x" * 30), (None, None, None)), f"file://{tmp_path}/w")
+    found = [fields for path in {r.path for r in manifest.collect()} for fields, _ in records(path)]
+    assert len({f["WARC-Record-ID"] for f in found}) == len(found) == 5
+    assert [(f["WARC-Refers-To-Target-URI"], f["X-Refers-To-Page-ID"]) for f in found if f["WARC-Type"] == "revisit"] == [("http://a", "1")]
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_every_archive_is_read_by_a_task(spark, tmp_path, n):
+    """Also when there are as many archives as shuffle partitions."""
+    from pyspark.sql import functions as F
+
+    manifest = warc.write(spark, pages(spark, (0, "u", "text")), f"file://{tmp_path}/w")
+    for k in range(1, n):
+        manifest = manifest.union(warc.write(spark, pages(spark, (k, "u", f"text {k}")), f"file://{tmp_path}/w"))
+    tasks = warc.read(spark, manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == n
+
+
+def test_extra_columns_do_not_clash(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = pages(spark, (1, "u", "x"), (2, "v", "x")).withColumns({c: F.lit(1) for c in ("sha1", "refers_to", "n", "path", "to")})
+    assert sorted((r.page_id, r.refers_to) for r in warc.read(spark, warc.write(spark, rows, f"file://{tmp_path}/w")).collect()) == [(1, None), (2, 1)]
+
+
+@pytest.mark.parametrize(("folder", "path"), [("file:///a/b", "/a/b"), ("dbfs:/a/b", "/dbfs/a/b"), ("/a/b", "/a/b")])
+def test_folders(folder, path):
+    assert warc._filesystem(folder)[1] == path
