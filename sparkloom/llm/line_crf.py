@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm import kernels
 from sparkloom.llm.common import table
 
-#: The labelled documents that the model is fitted on: those of the smallest key hashes, so many at
-#: most, and none of more lines than this.  Scores cover every document.
+#: The model is fitted on labelled documents, so many at most, cut into sequences of so many lines, of which
+#: so many are taken; both by the smallest hashes of keys.  Scores cover every document, whole.
 TRAIN_DOCUMENTS = 4000
 TRAIN_LINES = 300
+TRAIN_SEQUENCES = 6000
 STEPS = 250
 PENALTY = 1e-3
 #: Documents whose crc32(id) has this remainder mod FOLDS are held out of training.
@@ -181,33 +182,48 @@ def fit(features: np.ndarray, size: np.ndarray, lengths: np.ndarray, labels: np.
     return model
 
 
+SAMPLED = "doc_id bigint, sequence int, quality int, features binary, size binary"
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column(0).to_pylist()
-        for row, _, data, offsets in kernels.pieces(batch.column(1)):
+        ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, _, data, offsets in kernels.pieces(batch.column(2)):
             features, size, text = line_features(data, offsets)
-            lengths = np.bincount(text, minlength=len(offsets) - 1)
-            cut = np.cumsum(lengths)[:-1]
-            rows = [(labels[row + i], f.astype("<f4").tobytes(), s.astype("<i8").tobytes()) for i, (f, s) in enumerate(zip(np.split(features, cut), np.split(size, cut), strict=True)) if len(f) <= TRAIN_LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["quality", "features", "size"])
+            first = np.searchsorted(text, np.arange(len(offsets)))
+            for i, (start, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                at = list(range(start, end, TRAIN_LINES))
+                parts = [(features[k : min(k + TRAIN_LINES, end)].astype("<f4").tobytes(), size[k : min(k + TRAIN_LINES, end)].astype("<i8").tobytes()) for k in at]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[row + i]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([labels[row + i]] * n, pa.int32()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
+                    names=[x.split()[0] for x in SAMPLED.split(", ")],
+                )
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled documents outside the held-out fold; the sample and its bounds are the module's."""
-    known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)).select("doc_id", "quality")
+    """Fit on labelled documents outside the held-out fold; the sample and its bounds are the module's.
+
+    A document with several labels is good if any says so; equal rows of a document count once.
+    """
+    known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_DOCUMENTS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), F.col("text").cast("string"))
-    got = rows.mapInArrow(_sample, "quality int, features binary, size binary").collect()
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    by = [F.md5(F.concat_ws("/", "doc_id", "sequence")), "doc_id", "sequence", F.md5("features"), F.md5("size")]
+    got = rows.mapInArrow(_sample, SAMPLED).distinct().orderBy(*by).limit(TRAIN_SEQUENCES).select("quality", "features", "size").collect()
     if not got:
         return fit(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    got.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[1])))  # sums don't hang on the order of arrival
     sizes = [np.frombuffer(r[2], "<i8") for r in got]
     features = np.concatenate([np.frombuffer(r[1], "<f4").reshape(-1, WIDTH) for r in got]).astype(np.float64)
     return fit(features, np.concatenate(sizes), np.array([len(s) for s in sizes]), np.array([r[0] for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1).  Null, empty and blank texts are scored as one empty line."""
+    """``docs`` with ``score`` (0 to 1), its text left out.
+
+    Null, empty and blank texts are scored as one empty line, very long ones whole; rows that repeat
+    are scored each.  A column named score is replaced.
+    """
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("score", text))
     kept = [c for c in docs.columns if c not in ("score", text)]
 

@@ -70,3 +70,16 @@ def test_edges(spark, documents):
     rows = line_crf.score(docs, model).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert line_crf.score(docs.filter("false"), model).count() == 0
+
+
+def test_long_documents_and_repeated_rows_take_part_once(spark, documents, monkeypatch):
+    rows = [(i, "| x | y |\n" * 900 if i % 2 else f"A normal line number {i}.\nAnd one more.") for i in range(40)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(40)], "doc_id bigint, quality int")
+    one = line_crf.train(spark, documents(*rows), labels)
+    scores = {r.doc_id: r.score for r in line_crf.score(documents(*rows), one).collect()}
+    assert max(scores[i] for i in range(1, 40, 2)) < 0.3 < min(scores[i] for i in range(0, 40, 2))
+    again = line_crf.train(spark, documents(*rows, *rows[:9]), labels.union(labels))
+    assert np.array_equal(one.weights, again.weights) and one.shift == again.shift
+    assert line_crf.score(documents(*rows, *rows[:9]), one).count() == 49
+    monkeypatch.setattr(line_crf, "TRAIN_SEQUENCES", 10)
+    assert 0 <= line_crf.train(spark, documents(*rows), labels).score(np.array([0.5]))[0] <= 1
