@@ -2,9 +2,10 @@
 
 Every document gets a rate exp(sum of the multipliers of its margins' values): the exponential
 tilt that stays nearest (in relative entropy, weighted by size) to taking each document once and
-meets the token constraints.  The multipliers come from Newton steps on the convex dual, whose
-gradient and Hessian are summed by Spark over cells (distinct combinations of margin values).
-Rates are then rounded into whole copies.
+meets the token constraints.  The multipliers come from Newton steps on the convex dual, over cells
+(distinct combinations of margin values): one margin's block of the Hessian is diagonal, so Spark
+takes the steps of all its values at once, and goes through several margins in turn.  Targets,
+multipliers and rates are tables, as many as there may be.  Rates are then rounded into whole copies.
 """
 
 from __future__ import annotations
@@ -14,97 +15,84 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, Workspace, table
 
-#: The dual is solved on the driver: so many constraints at most, else ValueError.
-MAX_CONSTRAINTS = 50_000
 #: Documents of one rounding block, about.
 BLOCK_ROWS = 512
 #: Documents of a block whose copies are chosen by exact sums.
 TAIL = 32
-
-Target = Mapping[str | None, float]
+#: Newton steps of one margin, and rounds over several.
+STEPS, ROUNDS = 60, 500
+#: Rows of one document that are written out at once.
+CHUNK = 10_000
 
 
 def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def capped_shares(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, cap: float) -> dict[str | None, float]:
-    """Share ``total`` by weight; a share stops at ``cap`` times its size, the excess goes to the rest by weight."""
-    shares: dict[str | None, float] = {}
-    open_ = [k for k in sizes]
-    left = float(total)
-    while open_:
-        whole = sum(weights[k] for k in open_)
-        over = [k for k in open_ if left * weights[k] / whole > cap * sizes[k]]
-        if not over:
-            shares |= {k: left * weights[k] / whole for k in open_}
-            break
-        for k in over:
-            shares[k] = cap * float(sizes[k])
-        left = float(total) - sum(shares.values())
-        open_ = [k for k in open_ if k not in shares]
-    return shares
+def capped_shares(totals: DataFrame, total: float, cap: float) -> DataFrame:
+    """``totals`` (size, weight) with ``target``: ``total`` shared by weight.
+
+    A share stops at ``cap`` times its size and the excess goes to the rest by weight, so a target is
+    the lesser of that and a level times the weight.  Each pass over the table raises the level to what
+    the shares leave open that it has closed; only three sums reach the driver.
+    """
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("weight") * level > cap * F.col("size")
+        stopped, weight, n = totals.agg(F.coalesce(F.sum(F.when(full, cap * F.col("size"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count_if(full)).first()
+        if n == closed or not weight:
+            return totals.withColumn("target", F.least(cap * F.col("size"), F.col("weight") * level if weight else cap * F.col("size")).cast("double"))
+        level, closed = (total - stopped) / weight, n
 
 
-def balance(spark: SparkSession, cells: DataFrame, margins: Mapping[str, Target], size: str = "size", steps: int = 60, tolerance: float = 1e-9) -> dict[str, dict[str | None, float]]:
-    """The multipliers for which the tilted tokens of every margin's value meet its target.
+def _newton(goal: Column, start: Column) -> Column:
+    """The x at which start * exp(x) is the goal, by damped Newton steps on the dual; -inf where nothing meets it."""
+    step = lambda x, _: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), goal / (start * F.exp(x)) - 1))
+    return F.when((goal > 0) & (start > 0), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step)).otherwise(F.lit(float("-inf")))
 
-    ``cells`` has a row for each combination of margin values with its tokens.  Each step is one
-    aggregation for each pair of margins; only sums (one or two values a row) reach the driver.
-    Values without tokens or with target 0 have no finite multiplier: they get -inf, rate 0.
+
+def balance(work: Workspace, cells: DataFrame, margins: Mapping[str, DataFrame], size: str = "size", tolerance: float = 1e-9) -> dict[str, DataFrame]:
+    """(value, x) of each margin: the multipliers for which the tilted tokens of every value meet its target.
+
+    ``cells`` has a row for each combination of margin values with its tokens; margins have (value,
+    target).  Values without tokens, or with target 0 or none, have no finite multiplier: -inf, rate 0.
     """
-    names = list(margins)
-    place = {}
-    known = {name: {r[0]: float(r[1] or 0) for r in cells.groupBy(name).agg(F.sum(size)).collect()} for name in names}
-    for name in names:
-        for value, target in margins[name].items():
-            if target > 0 and known[name].get(value, 0) > 0:
-                place[name, value] = len(place)
-    if len(place) > MAX_CONSTRAINTS:
-        raise ValueError(f"{len(place)} constraints; at most {MAX_CONSTRAINTS}")
-    goal = np.array([margins[n][v] for n, v in place], float)
-    dual = np.zeros(len(place))
-    if len(names) == 1:  # scaled start; Newton's steps then act on what is left
-        mean = goal.sum() / max(1.0, sum(known[names[0]][v] for _, v in place))
-        dual += math.log(mean) if mean > 0 else 0.0
-
-    def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        tilted = cells
-        for n, name in enumerate(names):
-            rows = [(v, float(x[k])) for (m, v), k in place.items() if m == name]
-            tilts = spark.createDataFrame(rows, f"__v{n} {dict(cells.dtypes)[name]}, __x{n} double")
-            tilted = tilted.join(F.broadcast(tilts), F.col(name).eqNullSafe(F.col(f"__v{n}")))
-        tilted = tilted.withColumn("__w", F.col(size) * F.exp(sum((F.col(f"__x{n}") for n in range(len(names))), F.lit(0.0))))
-        gradient = np.zeros(len(x))
-        hessian = np.zeros((len(x), len(x))) if len(names) > 1 else np.zeros(0)
-        for i, a in enumerate(names):
-            for r in tilted.groupBy(a).agg(F.sum("__w")).collect():
-                gradient[place[a, r[0]]] = r[1]
-            for b in names[i + 1 :]:
-                for r in tilted.groupBy(a, b).agg(F.sum("__w")).collect():
-                    p, q = place[a, r[0]], place[b, r[1]]
-                    hessian[p, q] = hessian[q, p] = r[2]
-        return gradient, hessian
-
-    for _ in range(steps if place else 0):
-        reached, cross = sums(dual)
-        miss = goal - reached
-        if np.all(np.abs(miss) <= tolerance * np.maximum(goal, 1)):
+    sums = {name: cells.groupBy(F.col(name).alias("value")).agg(F.sum(size).cast("double").alias("n")) for name in margins}
+    goals = {}
+    for name, targets in margins.items():
+        joined = sums[name].alias("c").join(targets.select("value", F.col("target").cast("double")).alias("t"), F.expr("c.value <=> t.value"), "left")
+        goals[name] = work.save(joined.select("c.value", "c.n", F.coalesce("t.target", F.lit(0.0)).alias("goal")), "goals")
+    if len(margins) == 1:
+        ((name, goal),) = goals.items()
+        return {name: work.save(goal.select("value", _newton(F.col("goal"), F.col("n")).alias("x")), "duals")}
+    duals = {name: work.save(goal.select("value", "goal", F.when((F.col("goal") > 0) & (F.col("n") > 0), 0.0).otherwise(F.lit(float("-inf"))).alias("x")), "duals") for name, goal in goals.items()}
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for name in margins:
+            reached = _tilted(cells, duals).groupBy(F.col(name).alias("r")).agg(F.sum(F.col(size) * F.exp("__x")).alias("reached"))
+            joined = duals[name].join(reached, F.expr("value <=> r"), "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
+            miss = F.when(F.col("x") > float("-inf"), F.abs(F.col("goal") - F.col("reached")) / F.greatest("goal", F.lit(1.0))).otherwise(0.0)
+            after = work.save(joined.select("value", "goal", F.when(F.col("reached") > 0, F.col("x") + _newton(F.col("goal"), F.col("reached"))).otherwise(F.col("x")).alias("x"), miss.alias("miss")), "duals")
+            worst = max(worst, after.agg(F.max("miss")).first()[0] or 0.0)
+            work.drop(duals[name])
+            duals[name] = after
+        if worst <= tolerance:
             break
-        if len(names) == 1:
-            step = miss / reached
-        else:
-            step = np.linalg.lstsq(cross + np.diag(reached), miss, rcond=None)[0]
-        dual += np.clip(step, -1.0, 1.0)  # damped: far from the solution the quadratic model is poor
-    found: dict[str, dict[str | None, float]] = {n: {v: float("-inf") for v in known[n]} for n in names}
-    for (name, value), k in place.items():
-        found[name][value] = float(dual[k])
-    return found
+    return {name: dual.select("value", "x") for name, dual in duals.items()}
+
+
+def _tilted(cells: DataFrame, duals: Mapping[str, DataFrame]) -> DataFrame:
+    """``cells`` with ``__x``, the sum of their values' multipliers."""
+    total = F.lit(0.0)
+    for i, (name, dual) in enumerate(duals.items()):
+        cells = cells.join(dual.select(F.col("value").alias(f"__v{i}"), F.col("x").alias(f"__x{i}")), F.col(name).eqNullSafe(F.col(f"__v{i}"))).drop(f"__v{i}")
+        total = total + F.col(f"__x{i}")
+    return cells.withColumn("__x", total).drop(*[f"__x{i}" for i in range(len(duals))])
 
 
 def round_block(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
@@ -168,75 +156,82 @@ def round_block(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
     return copies
 
 
-def mix(spark: SparkSession, df: DataFrame, size: str, margins: Mapping[str, Target], key: Sequence[str], most: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+def mix(spark: SparkSession, df: DataFrame, size: str, margins: Mapping[str, DataFrame], key: Sequence[str], most: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """``df``'s key, margin and kept columns, with ``rate``, ``copies`` and ``taken`` (copies * size).
 
-    Rounding goes by blocks: hashed parts of a combination of margins of about BLOCK_ROWS rows, so a
-    combination with a third of all rows is many blocks.  Inside one, documents pass in descending
-    size and copies follow the running sum of rate * size, so a block is off by a few tokens.  Ties of size go by key; repeated rows are rounded one by one.
+    Rows that are equal in all these columns are one item: all of them but one get the whole part of
+    what their rate comes to, so a row that is there ever so often is one in its block.  Rounding goes
+    by blocks: hashed parts of a combination of margins of about BLOCK_ROWS items, so a combination with a
+    third of all rows is many blocks.  Inside one, items pass in descending size and copies follow the
+    running sum of rate * size, so a block is off by a few tokens.  Ties of size go by the other columns.
     Documents without words take 0 words; they are kept as often as their rate says.
     """
     names = list(margins)
     work = Workspace(spark, "mixing")
     columns = list(dict.fromkeys([*key, *names, size, *keep]))
-    rows = work.save(df.select(*columns), "rows")
-    cells = work.save(rows.groupBy(*names).agg(F.sum(size).alias(size), F.count(F.lit(1)).alias("__n")), "cells")
-    multipliers = balance(spark, cells, margins, size)
-    blocks = cells.select(*[F.col(n).alias(f"__c{i}") for i, n in enumerate(names)], F.ceil(F.col("__n") / BLOCK_ROWS).alias("__blocks"))
-    rate = F.lit(0.0)
-    for i, name in enumerate(names):
-        pairs = [(v, x) for v, x in multipliers[name].items()]
-        tilts = spark.createDataFrame(pairs, f"__v{i} {dict(rows.dtypes)[name]}, __x{i} double")
-        rows = rows.join(F.broadcast(tilts), F.col(name).eqNullSafe(F.col(f"__v{i}"))).drop(f"__v{i}")
-        rate = rate + F.col(f"__x{i}")
-    same = [F.col(n).eqNullSafe(F.col(f"__c{i}")) for i, n in enumerate(names)]
-    if len(names) == 1:  # no more cells than multipliers, which are bounded
-        blocks = F.broadcast(blocks)
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    rows = rows.join(blocks, on).drop(*[f"__c{i}" for i in range(len(names))])
-    rows = rows.withColumn("rate", F.least(F.exp(rate), F.lit(float(most)))).withColumn("__block", F.pmod(F.xxhash64(*key), F.col("__blocks"))).drop(*[f"__x{i}" for i in range(len(names))], "__blocks")
+    items = work.save(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m")), "items")
+    cells = work.save(items.groupBy(*names).agg(F.sum(F.col(size) * F.col("__m")).alias(size), F.count(F.lit(1)).alias("__n")), "cells")
+    rates = _tilted(cells, balance(work, cells, margins, size))
+    rates = work.save(rates.select(*[F.col(n).alias(f"__c{i}") for i, n in enumerate(names)], F.least(F.exp("__x"), F.lit(float(most))).alias("rate"), F.ceil(F.col("__n") / BLOCK_ROWS).alias("__blocks")), "rates")
+    on = F.lit(True)
+    for i, n in enumerate(names):
+        on = on & F.col(n).eqNullSafe(F.col(f"__c{i}"))
+    part = F.col("__m") * (F.col("rate") - F.floor("rate"))
+    rows = items.join(rates, on).drop(*[f"__c{i}" for i in range(len(names))])
+    rows = rows.withColumns({"__block": F.pmod(F.xxhash64(*columns), F.col("__blocks")), "__more": F.floor(part), "__open": F.floor("rate") + part - F.floor(part)}).drop("__blocks")
     kinds = dict(rows.dtypes)
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in [*columns, "rate"]) + ", copies bigint, taken bigint"
+    passed = [*columns, "rate", "__m", "__more"]
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", __own bigint"
 
     def rounded(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(size, "descending"), *((k, "ascending") for k in key)])
-        sizes = group[size].to_numpy()
-        copies = round_block(sizes, group["rate"].to_numpy(), most)
-        return group.select([*columns, "rate"]).append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * sizes))
+        group = group.sort_by([(size, "descending"), *((c, "ascending") for c in columns)])
+        copies = round_block(group[size].to_numpy(), group["__open"].to_numpy(), most)
+        return group.select(passed).append_column("__own", pa.array(copies))
 
-    return rows.groupBy(*names, "__block").applyInArrow(rounded, out)
+    done = rows.groupBy(*names, "__block").applyInArrow(rounded, out)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1, F.lit(CHUNK).cast("long")))
+    single = done.withColumn("__first", chunk).withColumn("__k", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + CHUNK, F.col("__m")) - 1)))
+    copies = F.when(F.col("__k") == 0, F.col("__own")).otherwise(F.floor("rate") + F.when(F.col("__k") <= F.col("__more"), 1).otherwise(0))
+    return single.select(*columns, "rate", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col(size))
 
 
-def source_targets(df: DataFrame, size: str = "size", source: str = "source", share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = (3, 1, 2)) -> tuple[dict[str | None, int], dict[str | None, float]]:
-    """(tokens, targets) by source.  Sources in code point order, null last, get the weights in turn."""
-    totals = df.groupBy(source).agg(F.sum(size).alias("n"))
-    found = totals.limit(MAX_CONSTRAINTS + 1).collect()
-    if len(found) > MAX_CONSTRAINTS:
-        raise ValueError(f"more than {MAX_CONSTRAINTS} sources")
-    sizes = {r[0]: int(r[1] or 0) for r in found}
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    given = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    return sizes, capped_shares(sizes, given, share * sum(sizes.values()), cap)
+def source_targets(spark: SparkSession, df: DataFrame, size: str = "size", source: str = "source", share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = (3, 1, 2)) -> DataFrame:
+    """(value, size, weight, target) by source.  Sources in code point order, null last, get the weights in turn.
+
+    Places in the order come from a sort by ranges: a place inside a range, after what the ranges before hold.
+    """
+    work = Workspace(spark, "mixing-targets")
+    totals = df.groupBy(F.col(source).alias("value")).agg(F.sum(size).cast("long").alias("size")).withColumn("none", F.col("value").isNull())
+    dealt = work.save(totals.repartitionByRange("none", "value").withColumn("range", F.spark_partition_id()), "totals")
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))  # a row a range
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("none", "value")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    weighed = work.save(dealt.join(ranges, "range").select("value", "size", weight.alias("weight")), "weights")
+    total = weighed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return work.save(capped_shares(weighed, share * total, cap), "targets")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Copies of ``docs`` (doc_id, source, text) for the weights of ``source_targets``.
+
+    Null, empty and blank texts have size 0; very long ones are counted whole; a null source is a source
+    of its own; rows that repeat are rounded each; no rows give no rows.  Of other columns only ``keep``
+    is read.
+    """
     work = Workspace(spark, "mixing-sizes")
-    sized = work.save(docs.withColumn("size", word_count("text")).select("doc_id", "source", "size", *keep), "sized")
-    sizes, targets = source_targets(sized)
+    sized = work.save(docs.withColumn("__size", word_count("text")).select("doc_id", "source", F.col("__size").alias("size"), *keep), "sized")
+    targets = source_targets(spark, sized)
     mixed = mix(spark, sized, "size", {"source": targets}, ["doc_id"], keep=keep)
-    facts = spark.createDataFrame([(s, n, targets[s]) for s, n in sizes.items()], "__s string, source_size long, target double")
-    return mixed.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    facts = targets.select(F.col("value").alias("__s"), F.col("size").alias("source_size"), "target")
+    return mixed.join(facts, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; an empty table gives no rows, a null source is a source of its own."""
     mixed = mix_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
 
 
-
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 

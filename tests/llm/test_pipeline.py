@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,7 +29,8 @@ def test_stages(spark, sf_dir):
     found = {r.doc_id: r.n_entities for r in surrogates.replace(spark, outs[1]).collect()}
     before = {r.doc_id: r.text for r in single}
     assert all((r.text == before[r.doc_id]) == (found[r.doc_id] == 0) and r.n_chars == len(r.text) for r in private)
-    sizes, targets = mixing.source_targets(outs[2].withColumn("size", mixing.word_count("text")))
+    facts = mixing.source_targets(spark, outs[2].withColumn("size", mixing.word_count("text"))).collect()
+    sizes, targets = {r.value: r.size for r in facts}, {r.value: r.target for r in facts}
     for source, target in targets.items():
         words = sum(len(r.text.split()) for r in mixed if r.source == source)
         sums = 1  # bit n: whole copies can make n words
@@ -48,3 +50,46 @@ def test_run_equals_the_stages(spark, sf_dir):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) + 2
+
+
+EDGES = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, " \n\t", None, None, 3), (None, None, None, None, None), (None, "some words " * 30, "en", "b", 330), (4, "x " * 40_000, "de", "a", 80_000)]
+
+
+def rows_of(n):
+    return [(100 + i, f"This is line {i} of plain text and it has quite a few words in it, mail a{i}@example.org, so that it is kept. " + " ".join(f"w{i}x{k}" for k in range(30)), "en", "ab"[i % 2], 0) for i in range(n)]
+
+
+def through(spark, docs, sf_dir):
+    outs = []
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        outs.append(docs)
+    return outs
+
+
+def test_nulls_empty_texts_and_repeated_rows(spark, documents, sf_dir):
+    schema = documents("x").schema
+    rows = rows_of(12)
+    docs = spark.createDataFrame(EDGES + rows + rows[:4] + rows[:1], schema)
+    good, single, private, mixed, packed = through(spark, docs, sf_dir)
+    assert {r.doc_id for r in good.collect()} == {r[0] for r in rows} and good.count() == 17
+    assert sorted(r.doc_id for r in single.collect()) == sorted(r[0] for r in rows)
+    assert all("@" in r.text and "example" not in r.text for r in private.collect())
+    assert {r.text for r in mixed.collect()} <= {r.text for r in private.collect()}
+    assert packed.filter("piece = 0").count() == mixed.count()
+    # without the first stage, the others meet the empty texts and null ids too
+    after = spark.createDataFrame(EDGES + EDGES + rows, schema)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, after, sf_dir)
+        assert out.columns == schema.names
+        after = spark.createDataFrame(out.collect(), out.schema)
+    assert corpus_pipeline.STAGES[4][1](spark, after, sf_dir).filter("length < 1").count() == 0
+
+
+def test_an_empty_table_and_extra_columns(spark, documents, sf_dir):
+    schema = documents("x").schema
+    assert [o.count() for o in through(spark, spark.createDataFrame([], schema), sf_dir)] == [0] * 5
+    clash = {c: F.lit(7) for c in ("size", "n_entities", "component_id", "kept", "row", "stratum", "key", "id", "target")}
+    outs = through(spark, spark.createDataFrame(rows_of(6), schema).withColumns(clash), sf_dir)
+    assert all(o.columns == schema.names for o in outs[:4]) and outs[0].count() == 6
