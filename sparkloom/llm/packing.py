@@ -8,6 +8,7 @@ partition of pieces or GROUP_ITEMS underfull bins.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -38,23 +39,60 @@ TABLE = 1 << 21
 _SLOT = np.uint64(TABLE - 1)
 
 
+#: The parts of a tokenizer whose ids may be looked up by words.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer (its JSON) normalises, splits and closes words as ``WordIds`` takes for granted."""
+    normalizers = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = rules.get("model") or {}
+    return (
+        normalizers == NORMALIZERS and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": SPLIT} and splits[0].get("invert") is True
+        and splits[1].get("add_prefix_space") is False and splits[1].get("use_regex") is False and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and rules.get("post_processor") is None and rules.get("truncation") is None and all(t["content"].startswith("<|") for t in rules.get("added_tokens") or [])
+    )
+
+
+class TextIds:
+    """Token ids of whole texts, by any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed with END; offsets of the texts in them)."""
+        raw = data.tobytes()
+        found = [[*e.ids, END] for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.cumsum([0, *map(len, found)])
+
+
+_loaded: dict[str, WordIds | TextIds] = {}
+
+
+def encoder(path: str) -> WordIds | TextIds:
+    """The encoder of a tokenizer file, which lives as long as the worker: by words where its rules allow it."""
+    if path not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            fits = by_words(json.load(f))
+        _loaded[path] = (WordIds if fits else TextIds)(path)
+    return _loaded[path]
+
+
 class WordIds:
     """Token ids by words, each met word encoded once and then looked up.
 
-    The vocabulary's pre-tokenizer never joins text over white space, nor a letter with the stop or
+    A tokenizer of the rules of ``by_words`` never joins text over white space, nor a letter with the stop or
     comma that ends a word, and it lowers case; so the ids of a text are those of its lowered words
     and such stops one after another.  Words are known by 64-bit hashes in an open table that lives
     as long as the worker; when CACHE_WORDS are in it, later ones are encoded anew in every batch.
     """
 
-    _of: dict[str, WordIds] = {}
-
-    @classmethod
-    def load(cls, path: str) -> WordIds:
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -161,7 +199,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids with END after them, cut into pieces of ``capacity`` where it is longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds.load(path)
+        encode = encoder(path)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             ids_of = batch.column(0).to_pylist()
@@ -260,7 +298,11 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY, slack:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Null texts count as empty: their one piece is END alone.  No documents, no rows."""
+    """The pieces of ``docs`` (doc_id, text) with their places in sequences.
+
+    Null and empty texts are one piece, END alone; very long ones are encoded whole; rows that repeat
+    are packed each; no documents give no rows.  Other columns are not read.
+    """
     if path is None:
         import public_tokenizers
 

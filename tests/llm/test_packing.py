@@ -29,6 +29,22 @@ def test_ids_and_pieces(spark, documents, tokenizer):
         assert [(r.piece, r.start, r.length, r.ids_crc32) for r in got[i]] == [(n, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096])) for n, a in enumerate(range(0, len(ids), 4096))]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_go_by_whole_texts(spark, documents, name):
+    path = str(public_tokenizers.path(name))
+    assert isinstance(packing.encoder(path), packing.WordIds if name.startswith("word") else packing.TextIds)
+    plain = Tokenizer.from_file(path)
+    rows = {(r.doc_id, r.piece): r for r in packing.pieces(documents(*TEXTS[:7]), path).collect()}
+    for i, t in enumerate(TEXTS[:7]):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert rows[i, 0].length == len(ids) and rows[i, 0].ids_crc32 == zlib.crc32(ids)
+
+
+def test_extra_columns_do_not_clash(spark, documents):
+    docs = documents("a b", "c").withColumnRenamed("lang", "bin").withColumnRenamed("source", "piece").withColumnRenamed("n_chars", "offset")
+    assert sorted(r.doc_id for r in packing.pack_documents(spark, docs).collect()) == [0, 1]
+
+
 def test_small_cache_gives_the_same_ids(monkeypatch, tokenizer):
     import pyarrow as pa
 
