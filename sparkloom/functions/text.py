@@ -46,18 +46,37 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements that a running sum copies at a time; appending to one long array would copy it each time.
+_RUN = 256
+
+
+def running(values: Column) -> Column:
+    """For every element of an integer array the sum of those before it, without walks that grow with the square."""
+    number = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+
+    def sums(a: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("n"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, zero, lambda s, x: F.struct((s["n"] + x).alias("n"), F.array_append(s["out"], s["n"]).alias("out")), lambda s: s["out"])
+
+    def of(v: Column) -> Column:
+        groups = F.transform(F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int"))).otherwise(F.array().cast("array<int>")), lambda g: F.slice(v, g * _RUN + 1, F.lit(_RUN)))
+        return let(groups, lambda gs: F.flatten(F.zip_with(gs, sums(F.transform(gs, number), F.lit(0)), sums)))
+
+    return let(values, of)
+
+
 def pieces(content: Column, pattern: str) -> Column:
     """The text cut before every match: ``array<struct<start,line,before,text>>``, the part before the first included.
 
     ``start`` and ``line`` count from 1; ``before`` is the part before.  Matches are those that a
     left-to-right scan finds, not the places where a look-ahead holds.
     """
-    mark = "\ue000"
-    cut = F.split(F.regexp_replace(content, pattern, mark + "$0"), mark)
-    zero = F.struct(F.lit(1).alias("next"), F.lit(1).alias("line"), F.lit("").alias("before"), F.array().cast("array<struct<start:int,line:int,before:string,text:string>>").alias("out"))
+    gaps, matches = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    cut = let(F.concat(F.array(F.lit("")), matches), lambda m: F.zip_with(m, gaps, lambda x, gap: F.concat(x, gap)))
+    lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
-    def step(a: Column, x: Column) -> Column:
-        piece = F.struct(a["next"].alias("start"), a["line"].alias("line"), a["before"].alias("before"), x.alias("text"))
-        return F.struct((a["next"] + F.length(x)).alias("next"), (a["line"] + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("line"), x.alias("before"), F.array_append(a["out"], piece).alias("out"))
+    def placed(c: Column) -> Column:
+        rows = F.arrays_zip(running(F.transform(c, F.length)).alias("start"), running(F.transform(c, lines)).alias("line"), F.concat(F.array(F.lit("")), c).alias("before"), c.alias("text"))
+        return F.transform(F.slice(rows, F.lit(1), F.size(c)), lambda r: F.struct((r["start"] + 1).alias("start"), (r["line"] + 1).alias("line"), r["before"].alias("before"), r["text"].alias("text")))
 
-    return F.aggregate(cut, zero, step, lambda a: a["out"])
+    return let(cut, placed)

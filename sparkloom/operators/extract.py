@@ -24,6 +24,7 @@ C_FN = r"(?mdU)^(\w+(?:\s*\*)?)\s+(\w+)\s*\(([^)]*)\)\s*\{"
 C_STRUCT = r"(?mdU)^(?:typedef\s+)?struct\s+(\w+)\s*\{"
 C_ENUM = r"(?mdU)^(?:typedef\s+)?enum\s+(\w+)\s*\{"
 C_TYPEDEF = r"(?mdU)^typedef\s+[^;{}]*?(\w+)\s*;"
+C_ANONYMOUS = r"(?mdU)^typedef\s+(?:struct|union|enum)\s*(?:\w+\s*)?\{"
 C_DEFINE = r"(?dU)^#define\s+(\w+)\s+(.+)$"
 _CONTROL = ["if", "while", "for", "switch"]
 
@@ -112,8 +113,38 @@ def _rust_doc() -> Column:
     return _walk(keep, lambda x: (x == "") | x.startswith("#["))
 
 
-def _c_doc() -> Column:
-    return _walk(lambda x: F.when(x.startswith("//"), T.strip(F.substring(x, F.lit(3), F.length(x)))), lambda x: x == "")
+def _c_doc(blocks: bool) -> Column:
+    """The comment above a C declaration: ``//`` lines, and the block that ends the walk if ``blocks`` (EXT-23, EXT-24).
+
+    Of a block count all lines from its first, without the marks; blank lines are passed.
+    """
+    if not blocks:
+        return _walk(lambda x: F.when(x.startswith("//"), T.strip(F.substring(x, F.lit(3), F.length(x)))), lambda x: x == "")
+    # 0: lines above a declaration, 1: inside a block, 2: done
+    zero = F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("docs"))
+    put = lambda a, state, doc: F.struct(F.lit(state).alias("state"), F.array_prepend(a["docs"], doc).alias("docs"))
+    end = lambda a: F.struct(F.lit(2).alias("state"), a["docs"].alias("docs"))
+
+    def fold(a: Column, raw: Column) -> Column:
+        def seen(x: Column) -> Column:
+            opening = T.strip(F.regexp_replace(x, r"^[/*]+", ""))
+            inside = F.when(x.contains("/*"), F.when(opening != "", put(a, 2, opening)).otherwise(end(a))).otherwise(put(a, 1, T.strip(F.regexp_replace(x, r"^\*+", ""))))
+            closing = T.strip(F.regexp_replace(x, r"[*/]+$", ""))
+            alone = T.strip(F.regexp_replace(closing, r"^/\*+", ""))
+            above = (
+                F.when(x.startswith("//"), put(a, 0, T.strip(F.substring(x, F.lit(3), F.length(x)))))
+                .when(x.endswith("*/") & x.startswith("/*"), F.when(alone != "", put(a, 2, alone)).otherwise(end(a)))
+                .when(x.endswith("*/") & ~x.contains("/*"), put(a, 1, T.strip(F.regexp_replace(closing, r"^\*+", ""))))
+                .when(x == "", a)
+                .otherwise(end(a))
+            )
+            return F.when(a["state"] == 2, a).when(a["state"] == 1, inside).otherwise(above)
+
+        return T.let(T.strip(raw), seen)
+
+    docs = F.aggregate(_above(), zero, fold, lambda a: a["docs"])
+    joined = T.strip(F.array_join(docs, "\n"), "\n")
+    return F.when(joined != "", joined)
 
 
 def _attributes() -> Column:
@@ -134,7 +165,8 @@ def _attributes() -> Column:
 
 def visibility(raw: Column) -> Column:
     """pub, pub(crate), the text itself, or private (EXT-08)."""
-    return F.when(raw == "", "private").when(raw == "pub", "pub").when(raw.contains("crate"), "pub(crate)").otherwise(raw)
+    plain = T.strip(raw)
+    return F.when(plain == "", "private").when(plain == "pub", "pub").when(plain.contains("crate"), "pub(crate)").otherwise(plain)
 
 
 def _items(found: DataFrame, kind: str, name: Column, signature: Column, more: Column, doc: Column, seen: Column, attributes: Column) -> DataFrame:
@@ -142,28 +174,32 @@ def _items(found: DataFrame, kind: str, name: Column, signature: Column, more: C
 
 
 def rust(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(items, constants) of Rust files: public functions, structs, enums and constants, and impls.
+    """(items, constants) of Rust files: public functions, structs and enums, constants of any visibility, and impls.
 
-    ``compat``: structs run to the next semicolon at depth 0, no attributes and no impls.
+    ``compat``: structs run to the next semicolon at depth 0, no attributes and no impls; visibility is
+    the text itself and constants are public ones only.
     """
     group = lambda p, n: F.regexp_extract("match", p, n)
     none = F.array().cast("array<string>")
     attributes = none if compat else _attributes()
     public = lambda p: T.strip(group(p, 2)).startswith("pub")
+    seen = lambda p: T.strip(group(p, 2)) if compat else visibility(group(p, 2))
     parts = []
     functions = _found(files, RUST_FN).filter(public(RUST_FN))
     signature = T.strip(F.concat(F.lit("fn "), group(RUST_FN, 3), F.lit("("), group(RUST_FN, 5), F.lit(")"), group(RUST_FN, 6)))
-    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _end(r"{}", 1, _braced), _rust_doc(), T.strip(group(RUST_FN, 2)), attributes))
+    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _end(r"{}", 1, _braced), _rust_doc(), seen(RUST_FN), attributes))
     structs = _found(files, RUST_STRUCT).filter(public(RUST_STRUCT))
     end = _end(r"{};", 0, _struct_compat) if compat else _end(r"{}()\[\];", 0, _struct)
-    parts.append(_items(structs, "struct", group(RUST_STRUCT, 3), F.concat(F.lit("struct "), group(RUST_STRUCT, 3)), end, _rust_doc(), T.strip(group(RUST_STRUCT, 2)), attributes))
+    parts.append(_items(structs, "struct", group(RUST_STRUCT, 3), F.concat(F.lit("struct "), group(RUST_STRUCT, 3)), end, _rust_doc(), seen(RUST_STRUCT), attributes))
     enums = _found(files, RUST_ENUM).filter(public(RUST_ENUM))
-    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _end(r"{}", 0, _enum), _rust_doc(), T.strip(group(RUST_ENUM, 2)), attributes))
+    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _end(r"{}", 0, _enum), _rust_doc(), seen(RUST_ENUM), attributes))
     if not compat:
         impls = _found(files, RUST_IMPL)
         name = F.concat(F.lit("impl "), group(RUST_IMPL, 3))
         parts.append(_items(impls, "impl", name, name, _end(r"{}", 1, _braced), F.lit(None).cast("string"), F.lit("pub"), attributes))
-    constants = _found(files, RUST_CONST).filter(public(RUST_CONST))
+    constants = _found(files, RUST_CONST)
+    if compat:
+        constants = constants.filter(public(RUST_CONST))
     consts = constants.select("repo", F.col("path").alias("file_path"), group(RUST_CONST, 3).alias("name"), T.strip(group(RUST_CONST, 5)).alias("value"), T.strip(group(RUST_CONST, 4)).alias("type_annotation"), _rust_doc().alias("doc_comment"), F.col("line").cast("int").alias("line_number"))
     return reduce(DataFrame.unionByName, parts), consts
 
@@ -174,7 +210,7 @@ def c(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     none, pub = F.array().cast("array<string>"), F.lit("pub")
     functions = _found(files, C_FN).filter(~group(C_FN, 2).isin(_CONTROL))
     signature = F.concat(T.strip(group(C_FN, 1)), F.lit(" "), group(C_FN, 2), F.lit("("), group(C_FN, 3), F.lit(")"))
-    parts = [_items(functions, "function", group(C_FN, 2), signature, _end(r"{}", 1, _braced), _c_doc(), pub, none)]
+    parts = [_items(functions, "function", group(C_FN, 2), signature, _end(r"{}", 1, _braced), _c_doc(not compat), pub, none)]
 
     def closed() -> Column:
         """To the closing brace, then to the next semicolon or the end."""
@@ -184,10 +220,14 @@ def c(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
         return T.let(_end(r"{}", 1, _braced), lambda n: T.let(semicolon(near, n), lambda k: F.when(k > 0, n + k).otherwise(far(n))))
 
     for kind, pattern in (("struct", C_STRUCT), *([] if compat else [("enum", C_ENUM)])):
-        parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(), _c_doc(), pub, none))
+        parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(), _c_doc(not compat), pub, none))
     if not compat:
         types = _found(files, C_TYPEDEF)
-        parts.append(_items(types, "type", group(C_TYPEDEF, 1), F.concat(F.lit("typedef "), group(C_TYPEDEF, 1)), F.lit(0), _c_doc(), pub, none))
+        parts.append(_items(types, "type", group(C_TYPEDEF, 1), F.concat(F.lit("typedef "), group(C_TYPEDEF, 1)), F.lit(0), _c_doc(True), pub, none))
+        # typedef struct {..} NAME; its name comes after the braces
+        bodies = _items(_found(files, C_ANONYMOUS), "type", F.lit(""), F.lit(""), closed(), _c_doc(True), pub, none)
+        name = F.regexp_extract("body", r"(?s)(\w+)\s*(?:\[[^\]]*\]\s*)*;$", 1)
+        parts.append(bodies.withColumns({"name": name, "signature": F.concat(F.lit("typedef "), name)}).filter("name <> ''"))
     return reduce(DataFrame.unionByName, parts), defines(files)
 
 

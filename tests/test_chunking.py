@@ -92,3 +92,21 @@ def test_title(spark):
 def test_unknown_file_types_have_no_chunks(spark):
     files = spark.createDataFrame([("r", "a.py", "x = 1", "python")], "repo string, path string, content string, file_type string")
     assert chunking.chunk_files(files).count() == 0
+
+
+def test_files_without_a_type_are_docs(spark):
+    files = spark.createDataFrame([("r", "a.md", "# Title\n\n" + "words " * 20, None)], "repo string, path string, content string, file_type string")
+    assert [r.source_type for r in chunking.chunk_files(files).collect()] == ["docs"]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        got = spark.range(1).select(T.running(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"))).first()[0]
+        assert got == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_split_keeps_blank_and_long_lines(spark):
+    lines = ["", "", "a" * 9, "", "b" * 100, "", "c", ""]
+    for most in (1, 2, 3, 30):
+        got = spark.range(1).select(chunking.split_parts(F.lit("\n".join(lines)), most)).first()[0]
+        assert "\n".join(got) == "\n".join(lines)

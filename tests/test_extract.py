@@ -84,7 +84,8 @@ def test_rust_items(spark):
     assert got["struct", "Pair"].body.strip() == "pub struct Pair([u8; 32], u8);"
     assert got["enum", "Kind"].body.strip() == "pub(crate) enum Kind { A { x: u8 }, B }" and got["enum", "Kind"].visibility == "pub(crate)"
     consts = {r.name: r for r in constants.collect()}
-    assert set(consts) == {"UNITS", "MAX_SIZE"}
+    assert set(consts) == {"UNITS", "MAX_SIZE", "HIDDEN"}
+    assert {r.name for r in extract.rust(files(spark, RUST), True)[1].collect()} == {"UNITS", "MAX_SIZE"}
     assert (consts["UNITS"].value, consts["UNITS"].type_annotation) == ("1_000", "u64")
     assert consts["UNITS"].doc_comment == "Sample module for testing.\nUnits in one whole."
 
@@ -106,7 +107,7 @@ def test_unclosed_and_blank_lines(spark):
 def test_c_items(spark):
     items, constants = extract.c(files(spark, C, "a.c"))
     got = {(r.kind, r.name): r for r in items.collect()}
-    assert set(got) == {("function", "add"), ("struct", "point"), ("struct", "node"), ("enum", "color"), ("type", "ulong_t")}
+    assert set(got) == {("function", "add"), ("struct", "point"), ("struct", "node"), ("enum", "color"), ("type", "ulong_t"), ("type", "node_t")}
     assert got["function", "add"].signature == "int add(int a, int b)" and got["function", "add"].doc_comment == "adds\nnumbers"
     assert got["struct", "point"].body == "struct point {\n  int x;\n} ;"
     assert got["struct", "node"].body == "typedef struct node { int v; } node_t;"
@@ -125,3 +126,37 @@ def test_name_index_keeps_the_last(spark):
     two = files(spark, "pub const A: u8 = 1;\npub const A: u8 = 2;\n")
     row = extract.name_index(*extract.rust(two)).first()
     assert (row.category, row.name, row.value, row.line) == ("constants", "A", "2", 2)
+
+
+def test_anonymous_typedefs(spark):
+    text = "typedef struct {\n  int a;\n  struct { int b; } in;\n} pair_t;\n\ntypedef union { int x; } cell_t[4];\ntypedef enum { A, B } letter_t;\n"
+    rows = sorted((r.name, r.line_number) for r in extract.c(files(spark, text, "a.h"))[0].filter("kind = 'type'").collect())
+    assert rows == [("cell_t", 6), ("letter_t", 7), ("pair_t", 1)]
+    assert extract.c(files(spark, text, "a.h"), True)[0].filter("kind = 'type'").count() == 0
+
+
+def test_block_comments_of_c_items(spark):
+    text = "/* one line */\nint a(void) { }\n\n/**\n * first\n * second\n */\n\nint b(void) { }\n/* opened\n   middle\n   closed */\n// after\nstruct c { int x; };\n/*\n */\nint d(void) { }\nint x; /* of x */\nint e(void) { }\n"
+    docs = {r.name: r.doc_comment for r in extract.c(files(spark, text, "a.c"))[0].collect()}
+    assert docs == {"a": "one line", "b": "first\nsecond", "c": "opened\nmiddle\nclosed\nafter", "d": None, "e": None}
+    assert extract.c(files(spark, text, "a.c"), True)[0].filter("name = 'a'").first().doc_comment is None
+
+
+def test_any_character_may_stand_in_a_file(spark):
+    text = "pub const A: u8 = 1; // \ue000\npub fn f() { }\n"
+    items, constants = extract.rust(files(spark, text))
+    assert [(r.kind, r.name, r.line_number) for r in items.collect()] == [("function", "f", 2)]
+    assert constants.first().name == "A"
+
+
+def test_many_declarations_in_a_file(spark):
+    """Places and lines of thousands of matches, which running sums give."""
+    text = "".join(f"\n/// Doc {i}\npub const C{i}: u32 = {i};\n" for i in range(3000))
+    rows = extract.rust(files(spark, text))[1].orderBy("line_number").collect()
+    assert [(r.name, r.line_number, r.doc_comment) for r in rows] == [(f"C{i}", 3 * i + 3, f"Doc {i}") for i in range(3000)]
+
+
+def test_visibility(spark):
+    text = "pub(crate) fn a() { }\npub(super) struct B;\npub fn c() { }\n"
+    assert {r.name: r.visibility for r in extract.rust(files(spark, text))[0].collect()} == {"a": "pub(crate)", "B": "pub(super)", "c": "pub"}
+    assert {r.name: r.visibility for r in extract.rust(files(spark, text), True)[0].collect()} == {"a": "pub(crate)", "B": "pub(super)", "c": "pub"}
