@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import shutil
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,19 +84,42 @@ def parse(spark: SparkSession, text: str, size: int | None = None) -> tuple[Head
     return header, validated(spark.createDataFrame(rows, schemas.FILE_ENTRY))
 
 
+def touched(manifest: DataFrame, current: DataFrame) -> DataFrame:
+    """(path, change_type, same, old_chunk_ids) of added and deleted files, and those whose time changed.
+
+    ``same``: a file's hash is what it was; such a file is not modified, only its time is new.
+    """
+    old = manifest.select("path", F.lit(True).alias("__old"), F.col("sha256").alias("__sha"), F.col("mtime_ns").alias("__time"), "chunk_ids")
+    new = current.select("path", F.lit(True).alias("__new"), "sha256", "mtime_ns")
+    kind = F.when(F.col("__old").isNull(), "add").when(F.col("__new").isNull(), "delete").when(~F.col("mtime_ns").eqNullSafe(F.col("__time")), "modify")
+    same = (kind == "modify") & F.col("sha256").eqNullSafe(F.col("__sha"))
+    return new.join(old, "path", "full_outer").select("path", kind.alias("change_type"), same.alias("same"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("old_chunk_ids")).filter("change_type IS NOT NULL")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Header, DataFrame] | None:
+    """The manifest of a JSON file, None without one; what is not JSON is copied beside before it raises (SRC-14)."""
+    file = Path(path)
+    if not file.exists():
+        return None
+    size = file.stat().st_size
+    if size > MAX_BYTES:
+        raise ManifestError("manifest too large")
+    try:
+        return parse(spark, file.read_text(encoding="utf-8"), size)
+    except (CorruptManifest, UnicodeDecodeError) as e:
+        copy = file.with_name(f"{file.name}.corrupted")
+        shutil.copyfile(file, copy)
+        raise CorruptManifest(f"{e}; kept as {copy}") from e
+
+
 def changes(manifest: DataFrame, current: DataFrame, check_hashes: bool = True) -> DataFrame:
     """(path, change_type, old_chunk_ids) of added, modified and deleted files (JOI-01, SET-02).
 
     A file whose time is unchanged is not looked into; one whose time changed is modified if its hash
     did (or at once, without ``check_hashes``).
     """
-    old = manifest.select("path", F.lit(True).alias("__old"), F.col("sha256").alias("__sha"), F.col("mtime_ns").alias("__time"), "chunk_ids")
-    new = current.select("path", F.lit(True).alias("__new"), "sha256", "mtime_ns")
-    touched = ~F.col("mtime_ns").eqNullSafe(F.col("__time"))
-    if check_hashes:
-        touched = touched & ~F.col("sha256").eqNullSafe(F.col("__sha"))
-    kind = F.when(F.col("__old").isNull(), "add").when(F.col("__new").isNull(), "delete").when(touched, "modify")
-    return new.join(old, "path", "full_outer").select("path", kind.alias("change_type"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("old_chunk_ids")).filter("change_type IS NOT NULL")
+    found = touched(manifest, current)
+    return (found.filter("NOT same") if check_hashes else found).drop("same")
 
 
 def rebuild_reason(header: Header | None, model: str, chunk_config: dict[str, int]) -> str:
