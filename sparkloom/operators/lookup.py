@@ -31,6 +31,23 @@ def partition_parts(path: Column) -> tuple[Column, Column]:
     return parts[0], F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
 
 
+def partitioned(records: DataFrame) -> DataFrame:
+    """Records with ``path_prefix``, the scanned folder that their file is in (SRC-12); the folders are a handful of rows."""
+    folders = [(f"{repo}/{folder}".rstrip("/"),) for repo, (_, subdirs) in catalog.SCANS.items() for folder in subdirs]
+    known = records.sparkSession.createDataFrame(folders, "p string")
+    repo, prefix = partition_parts(F.col("p"))
+    known = known.select(repo.alias("__repo"), prefix.alias("__prefix"))
+    inner = F.when(F.startswith("file_path", F.concat("repo", F.lit("/"))), F.expr("substring(file_path, length(repo) + 2)")).otherwise(F.col("file_path"))
+    under = (F.col("__prefix") == "") | F.startswith(inner, F.concat("__prefix", F.lit("/")))
+    return records.join(F.broadcast(known), (F.col("repo") == F.col("__repo")) & under, "left").withColumn("path_prefix", F.coalesce("__prefix", F.lit(""))).drop("__repo", "__prefix")
+
+
+def counts(items: DataFrame, constants: DataFrame) -> DataFrame:
+    """Items and constants by repository and scanned folder (AGG-10)."""
+    each = partitioned(items.select("repo", "file_path", F.lit(1).alias("i"), F.lit(0).alias("c")).unionByName(constants.select("repo", "file_path", F.lit(0).alias("i"), F.lit(1).alias("c"))))
+    return each.groupBy("repo", "path_prefix").agg(F.sum("i").alias("items"), F.sum("c").alias("constants"))
+
+
 def source_urls(hits: DataFrame, file: str = "source_file", line: str = "line_number", repo: str = "repo") -> DataFrame:
     """``hits`` with ``url``: by their repository if it is known, else by the path's first part, else null.
 
@@ -56,3 +73,39 @@ def rendered_hits(hits: DataFrame, limit: int = 500) -> DataFrame:
     link = F.when(F.col("url").isNotNull(), F.concat(F.lit("   Source: "), "url"))
     block = F.concat(F.lit("\n```\n"), T.shortened(F.col("content"), limit, "\n... (truncated)"), F.lit("\n```"))
     return hits.withColumn("text", F.concat_ws("\n", head, place, link, block))
+
+
+def brief_hits(hits: DataFrame, limit: int = 200, lines: int = 3) -> DataFrame:
+    """A short text for each hit: similarity to two digits and the first lines of its content (PRJ-15, PRJ-16)."""
+    head = F.format_string("%d. [%s] %s (%.2f%%)", F.col("rank"), F.col("source_type"), F.col("source_name"), F.col("similarity") * 100)
+    place = F.format_string("   %s:%d", F.col("source_file"), F.col("line_number"))
+    start = F.slice(F.split(T.shortened(F.col("content"), limit, "..."), "\n"), 1, lines)
+    return hits.withColumn("text", F.concat_ws("\n", head, place, F.array_join(F.transform(start, lambda x: F.concat(F.lit("   | "), x)), "\n")))
+
+
+def rendered_constants(found: DataFrame) -> DataFrame:
+    kind = F.when(F.coalesce("type_annotation", F.lit("")) != "", F.concat(F.lit(": "), "type_annotation")).otherwise("")
+    head = F.concat(F.lit("const "), "name", kind, F.lit(" = "), "value")
+    return found.withColumn("text", F.concat_ws("\n", head, *_place(), F.col("doc_comment")))
+
+
+def rendered_functions(found: DataFrame) -> DataFrame:
+    block = F.concat(F.lit("```\n"), T.strip(F.col("body"), "\n"), F.lit("\n```"))
+    return found.withColumn("text", F.concat_ws("\n", "signature", *_place(), F.col("doc_comment"), block))
+
+
+def _place() -> list[Column]:
+    return [F.format_string("   File: %s:%d", F.col("file_path"), F.col("line_number")), F.when(F.col("url").isNotNull(), F.concat(F.lit("   Source: "), "url"))]
+
+
+def rendered_rows(found: DataFrame) -> DataFrame:
+    """A text of ``name: value`` lines for each row; nulls and empty lists are left out, lists are points (AGG-12)."""
+
+    def line(name: str, kind: str) -> Column:
+        value = F.col(name)
+        if kind.startswith("array"):
+            points = F.concat(F.lit(f"{name}:\n  - "), F.array_join(value.cast("array<string>"), "\n  - "))
+            return F.when(F.size(value) > 0, points)
+        return F.concat(F.lit(f"{name}: "), value.cast("string"))
+
+    return found.withColumn("text", F.concat_ws("\n", *[line(c, k) for c, k in found.dtypes if c not in ("ord", "text")]))

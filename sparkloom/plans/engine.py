@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import schemas
 from sparkloom.operators import catalog, encode, extract, lookup, search
 from sparkloom.plans import validate
 from sparkloom.plans.index import DryRun, Index, Stats
 from sparkloom.sources import files as S
+from sparkloom.sources import repos
 
 
 class Engine:
@@ -19,8 +22,7 @@ class Engine:
         self.index = Index(spark, f"{self.data_dir}/index", model)
 
     def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return S.exists(self.spark, path)
 
     def present(self) -> list[str]:
         return [r[0] for r in catalog.REPOS if self._exists(f"{self.data_dir}/{r[0]}")]
@@ -38,6 +40,8 @@ class Engine:
                     parts.append(scan(self.spark, root, repo, [s for s in there if s]))
             if self._exists(f"{root}/proposals"):
                 parts.append(S.proposals(self.spark, root, repo))
+            if self._exists(f"{root}/docs"):
+                parts.append(S.markdown(self.spark, root, repo))
         if not parts:
             raise FileNotFoundError(f"no known repository under {self.data_dir}")
         found = reduce(DataFrame.unionByName, parts)
@@ -55,14 +59,28 @@ class Engine:
             files.unpersist()
         return self.spark.createDataFrame(rows) if rows else self.spark.createDataFrame([], "repo string")
 
+    def compiled(self) -> bool:
+        return self._exists(f"{self.data_dir}/compiled/items")
+
     def items(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.data_dir}/compiled/items")
+        return self.spark.read.schema(schemas.ITEM).parquet(f"{self.data_dir}/compiled/items")
 
     def constants(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.data_dir}/compiled/constants")
+        return self.spark.read.schema(schemas.CONSTANT).parquet(f"{self.data_dir}/compiled/constants")
+
+    def update(self, full: bool = False, progress: Callable[[str], None] | None = None) -> Stats:
+        """Bring the index to the files that are there; the manifest notes their repositories' commits."""
+        return self.index.update(self.files(), full=full, repo_versions=self._commits(), progress=progress)
 
-    def update(self, full: bool = False) -> Stats:
-        return self.index.update(self.files(), full=full)
+    def _commits(self) -> dict[str, str]:
+        return repos.versions(self.data_dir) if ":" not in self.data_dir.removeprefix("file:") else {}
+
+    def refresh(self, full: bool = False, tell: Callable[[str], None] = print) -> Stats | None:
+        """Refresh the checkouts; if any changed, extract and index again (INC-08)."""
+        if not repos.refreshed(self.data_dir, tell):
+            return None
+        self.compile()
+        return self.update(full, tell)
 
     def dry_run(self) -> DryRun:
         return self.index.dry_run(self.files())
@@ -73,7 +91,8 @@ class Engine:
         header = self.index.header()
         model = header.embedding_model if header else self.model
         where = F.col("source_type") == asked.source_type if asked.source_type else None
-        found = search.top_k(self.index.chunks(), encode.embed_one(asked.query, model), asked.limit, where, compat=compat)
+        vector = encode.embed_one(asked.query, model)
+        found = search.top_k(self.index.chunks(), vector, asked.limit, where, compat=True) if compat else search.nearest_chunks(self.index, vector, asked.limit, where)
         return lookup.source_urls(search.hits(found).withColumn("repo", F.col("metadata")["repo"]))
 
     def constant(self, name: str) -> DataFrame:
@@ -85,6 +104,22 @@ class Engine:
     def status(self) -> DataFrame:
         return search.statistics(self.index.chunks())
 
+    def counts(self) -> DataFrame:
+        """Extracted items and constants by repository and folder."""
+        return lookup.counts(self.items(), self.constants())
+
+    def tell(self, tool: str, **arguments) -> str:
+        """What ``call`` finds, as text."""
+        found = self.call(tool, **arguments)
+        ways = {"grep_constant": lookup.rendered_constants, "analyze_function": lookup.rendered_functions}
+        way = ways.get(tool, lookup.rendered_hits if tool.startswith("search") else lookup.rendered_rows)
+        shown = way(found)
+        for order in ("rank", "ord"):
+            if order in found.columns:
+                shown = shown.orderBy(order)
+        texts = [r["text"] for r in shown.select("text").collect()]  # a tool's rows: at most 50 hits, or a catalog
+        return "\n\n".join(texts) or "Nothing found"
+
     def call(self, tool: str, **arguments) -> DataFrame:
         """A tool by name; bad input raises before a plan is built."""
         spark = self.spark
@@ -104,6 +139,7 @@ class Engine:
             "list_clients": lambda: catalog.clients(spark, arguments.get("production_only", False)),
             "get_client": lambda: catalog.find_client(spark, validate.client(arguments["name"])),
             "get_client_diversity": lambda: catalog.diversity(spark),
+            "get_client_breakdown": lambda: catalog.breakdown(spark),
         }
         if tool not in tools:
             raise validate.InputError(f"Unknown tool: {tool}")

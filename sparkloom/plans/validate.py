@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
+from sparkloom import logs
+
 SOURCE_TYPES = ("rust", "simd", "c", "docs")
 _CONSTANT = re.compile(r"^[A-Z][A-Z0-9_]*$")
 _FUNCTION = re.compile(r"^[a-z_][a-z0-9_]*$")
@@ -75,6 +77,8 @@ class Config:
     batch_size: int = 32
     chunk_size: int = 1000
     chunk_overlap: int = 200
+    #: What was odd about the file that they come from.
+    warnings: list[str] = field(default_factory=list, compare=False)
 
     def problems(self, models: dict[str, str | None] | None = None) -> list[str]:
         """Raises on settings that can't work; returns warnings."""
@@ -96,6 +100,8 @@ class Config:
 
 
 MAX_CONFIG_BYTES = 1 << 20
+SETTINGS = {"embedding": {"model", "batch_size"}, "chunking": {"chunk_size", "chunk_overlap"}}
+SECTIONS = set(SETTINGS)
 PREFIX = "SPARKLOOM_"
 
 
@@ -117,6 +123,13 @@ def load_config(path: str) -> Config:
         except (OSError, yaml.YAMLError, UnicodeDecodeError):
             data = None
     if isinstance(data, dict):
+        config.warnings += [f"unknown setting {k}" for k in sorted(map(str, unknown_keys(data, SECTIONS)))]
+        for name, allowed in SETTINGS.items():
+            if isinstance(data.get(name), dict):
+                config.warnings += [f"unknown setting {name}.{k}" for k in sorted(map(str, unknown_keys(data[name], allowed)))]
+            elif data.get(name) is not None:
+                config.warnings.append(f"{name} is no mapping")
+                data[name] = {}
         embedding, chunks = data.get("embedding") or {}, data.get("chunking") or {}
         config.model = embedding.get("model", config.model)
         config.batch_size = embedding.get("batch_size", config.batch_size)
@@ -125,7 +138,9 @@ def load_config(path: str) -> Config:
     config.model = os.environ.get(f"{PREFIX}EMBEDDING_MODEL", config.model)
     if (size := os.environ.get(f"{PREFIX}BATCH_SIZE", "")).isdigit():
         config.batch_size = int(size)
-    config.problems()
+    config.warnings += config.problems()
+    for told in config.warnings:
+        logs.logger("config").warning(told)
     return config
 
 

@@ -21,25 +21,32 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.substring(full, F.lit(len("/" + plain.lstrip("/")) + 1), F.length(full)), "^/+", "")
 
 
-def snapshot(spark: SparkSession, root: str, pattern: str, repo: str = "", recursive: bool = True, subdirs: Sequence[str] = ()) -> DataFrame:
-    """(repo, path, content, sha256, mtime_ns, length) of the UTF-8 files under ``root``.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by Hadoop's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def snapshot(spark: SparkSession, root: str, pattern: str | Sequence[str], repo: str = "", recursive: bool = True, subdirs: Sequence[str] = ()) -> DataFrame:
+    """(repo, path, content, sha256, mtime_ns, length) of the UTF-8 files under ``root`` that match a pattern, or one of several.
 
     Files that are not UTF-8 have no row.  Line ends become ``\\n``; the hash is of the bytes as they
     are.  A select without content and sha256 reads no file.
     """
     paths = [f"{root.rstrip('/')}/{s}" for s in subdirs] or [root]
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    glob = pattern if isinstance(pattern, str) else "{" + ",".join(pattern) + "}"
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     raw = reader.load(paths)
     time = F.unix_millis(F.col("modificationTime")) * 1_000_000
     text = T.unix_lines(F.decode(F.col("content"), "UTF-8"))
     return raw.filter(F.call_function("is_valid_utf8", F.col("content").cast("string"))).select(F.lit(repo).alias("repo"), relative(F.col("path"), root).alias("path"), text.alias("content"), F.sha2("content", 256).alias("sha256"), time.alias("mtime_ns"), "length")
 
 
-def rust_files(spark: SparkSession, root: str, repo: str = "", subdirs: Sequence[str] = (), pattern: str = PATTERNS["rust"]) -> DataFrame:
+def rust_files(spark: SparkSession, root: str, repo: str = "", subdirs: Sequence[str] = (), pattern: str | Sequence[str] = PATTERNS["rust"]) -> DataFrame:
     return snapshot(spark, root, pattern, repo, subdirs=subdirs).withColumn("file_type", F.lit("rust"))
 
 
-def c_files(spark: SparkSession, root: str, repo: str = "", subdirs: Sequence[str] = (), pattern: str = PATTERNS["c"]) -> DataFrame:
+def c_files(spark: SparkSession, root: str, repo: str = "", subdirs: Sequence[str] = (), pattern: str | Sequence[str] = PATTERNS["c"]) -> DataFrame:
     return snapshot(spark, root, pattern, repo, subdirs=subdirs).withColumn("file_type", F.lit("c"))
 
 
@@ -50,17 +57,15 @@ def proposals(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
 
 
 def markdown(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    return snapshot(spark, root, PATTERNS["markdown"], repo).withColumn("file_type", F.lit("docs"))
+    """All markdown under ``docs`` of ``root`` (SRC-10)."""
+    return snapshot(spark, root, PATTERNS["markdown"], repo, subdirs=["docs"]).withColumn("file_type", F.lit("docs"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of records; a missing file has none (SRC-11)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
