@@ -110,3 +110,9 @@ def test_split_keeps_blank_and_long_lines(spark):
     for most in (1, 2, 3, 30):
         got = spark.range(1).select(chunking.split_parts(F.lit("\n".join(lines)), most)).first()[0]
         assert "\n".join(got) == "\n".join(lines)
+
+
+def test_split_of_many_parts(spark):
+    text = "\n".join(["abcdefgh"] * 1500 + [""] * 3000 + ["ijkl"] * 100)
+    got = spark.range(1).select(chunking.split_parts(F.lit(text), 2)).first()[0]
+    assert "\n".join(got) == text and len(got) == 1500 + 50
