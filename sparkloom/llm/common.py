@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -45,13 +46,27 @@ class Workspace:
     """Written tables of one operator call, in the shared folder.
 
     ``save`` cuts the lineage: what it returns is read from files, so that a lost executor
-    costs a re-read and not a recomputation.  ``drop`` removes what is no longer needed.
+    costs a re-read and not a recomputation.  ``drop`` removes what is no longer needed.  What a
+    result still reads goes when the driver's program ends, or with ``clear``.
     """
 
+    _made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if not Workspace._made:
+            atexit.register(Workspace.clear)
+        Workspace._made.append(self)
+
+    @classmethod
+    def clear(cls) -> None:
+        """Remove the tables of all calls so far; results that read them can't be read again."""
+        for work in cls._made:
+            with contextlib.suppress(Exception):  # at the end of a program the session may be gone
+                delete(work.spark, work.path)
+        cls._made.clear()
 
     def folder(self, name: str) -> str:
         self._n += 1
@@ -72,7 +87,7 @@ class Workspace:
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def local_path(uri: str) -> str:
