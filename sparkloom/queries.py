@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors
 from sparkloom.operators import catalog, chunking, encode, extract, lookup, manifest, search
+from sparkloom.plans import index
 from sparkloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,6 +299,76 @@ def manifest_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.with_chunks(files, chunks).select("path", ids.alias("chunk_ids"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files, before and after: some added, some changed, some gone."""
+    docs = _table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+
+    def files(rows: DataFrame, text, time: int) -> DataFrame:
+        path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+        return rows.select(F.lit("r").alias("repo"), path.alias("path"), text.alias("content"), F.sha2(text, 256).alias("sha256"), F.when(F.col("doc_id") % 7 == 0, time).otherwise(1).cast("long").alias("mtime_ns"), F.lit(None).cast("string").alias("file_type"))
+
+    before = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("An older start. "), "text")).otherwise(F.col("text"))
+    return files(docs.filter("doc_id % 10 <> 0"), before, 1), files(docs.filter("doc_id % 11 <> 0"), F.col("text"), 2)
+
+
+_INDEX_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, doc_id || '.md' AS path, '# ' || doc_id || chr(10) || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS content
+    FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) > 50
+), lines AS (SELECT *, string_split(content, chr(10)) AS l FROM docs),
+walk AS (
+    SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS part, 0::BIGINT AS n, 0::BIGINT AS k FROM lines WHERE length(content) // 4 > 1000
+    UNION ALL
+    SELECT w.doc_id, w.i + 1,
+           CASE WHEN w.k > 0 AND w.n + length(l[w.i + 1]) // 4 > 1000 THEN w.part + 1 ELSE w.part END,
+           CASE WHEN w.k > 0 AND w.n + length(l[w.i + 1]) // 4 > 1000 THEN length(l[w.i + 1]) // 4 ELSE w.n + length(l[w.i + 1]) // 4 END,
+           CASE WHEN w.k > 0 AND w.n + length(l[w.i + 1]) // 4 > 1000 THEN 1 ELSE w.k + 1 END
+    FROM walk w JOIN lines USING (doc_id) WHERE w.i < len(l)
+), parts AS (
+    SELECT doc_id, part, string_agg(l[i], chr(10) ORDER BY i) AS content FROM walk JOIN lines USING (doc_id) WHERE i > 0 GROUP BY doc_id, part
+    UNION ALL SELECT doc_id, 0, content FROM docs WHERE length(content) // 4 <= 1000
+)
+SELECT 'sol_docs_' || substr(sha256(doc_id || '.md'), 1, 8) || '_' || printf('%04d', part) || '_' || substr(sha256(content), 1, 8) AS chunk_id, doc_id || '.md' AS source_file, sha256(content) AS content_hash, 1 AS line_number, true AS has_vector FROM parts"""
+
+
+@_query("index_update", _INDEX_SQL)
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the files before, brought to the files after by what changed."""
+    built = index.Index(spark, index.scratch(spark), "hashing-64")
+    for files in _versions(spark, sf_dir):
+        built.update(files)
+    return built.chunks().select("chunk_id", "source_file", F.sha2("content", 256).alias("content_hash"), "line_number", (F.size("embedding") == 64).alias("has_vector"))
+
+
+@_query("index_update_stats", """
+SELECT count(*) FILTER (doc_id % 10 = 0 AND doc_id % 11 <> 0)::BIGINT AS files_added, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 10 <> 0 AND doc_id % 11 <> 0)::BIGINT AS files_modified,
+       count(*) FILTER (doc_id % 11 = 0 AND doc_id % 10 <> 0)::BIGINT AS files_deleted FROM documents WHERE text IS NOT NULL""")
+def index_update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = index.Index(spark, index.scratch(spark), "hashing-64")
+    for files in _versions(spark, sf_dir):
+        stats = built.update(files)
+    return spark.createDataFrame([(stats.files_added, stats.files_modified, stats.files_deleted)], "files_added long, files_modified long, files_deleted long")
+
+
+@_query("index_files", "SELECT doc_id || '.md' AS path, sha256(text) AS sha256, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS mtime_ns FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = index.Index(spark, index.scratch(spark), "hashing-64")
+    for files in _versions(spark, sf_dir):
+        built.update(files)
+    return built.files().select("path", "sha256", "mtime_ns")
+
+
+@_query("text_functions", r"""
+SELECT doc_id, substr(sha256(text), 1, 8) AS short, len(string_split(substr(text, 1, 99), chr(10)))::INT AS line, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS shortened,
+       trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS stripped, replace(text, ' ', chr(10)) AS unix, 'Fd' || doc_id || 'X-Ab Cd' AS title FROM documents""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", T.short_hash(text).alias("short"), T.line_at(text, F.lit(100)).alias("line"), T.shortened(text, 200, "...").alias("shortened"), T.strip(text).alias("stripped"),
+        T.unix_lines(F.replace(text, F.lit(" "), F.lit("\r\n"))).alias("unix"), T.title(F.concat(F.lit("fd"), F.col("doc_id").cast("string"), F.lit("x-aB cd"))).alias("title"),
+    )
+
+
 # Vectors
 
 _COSINE = "round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))), 6) + 0.0::DOUBLE"
