@@ -3,8 +3,8 @@
 A surrogate keeps the entity's type, script, case, length and separators.  It is made by a small
 Feistel network that shifts characters inside their own class of letters or digits, so it is a
 permutation of the strings of one shape: distinct entities stay distinct, the same entity is the
-same everywhere in the corpus, and nobody without the key can go back.  Card numbers and IBANs keep
-the state of their check digits, addresses stay addresses, first names come from a list of their
+same everywhere in the corpus, and nobody without the key can go back.  Card numbers, which are
+told from others by their check digit, and IBANs get right ones again, addresses stay addresses, first names come from a list of their
 gender and script, and a surname is the same with every first name and title.  A person who has a
 title somewhere in a text is also replaced there without it.
 
@@ -162,12 +162,16 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10, F.lit(10)).cast("int")
 
 
+def _no_card(e: Column) -> Column:
+    """Whether digits that look like a card's number fail its check: they are another number, and stay."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    return F.right(digits, F.lit(1)).cast("int") != _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
 def _card(e: Column, key: str, tweak: Column) -> Column:
-    """All digits but the last are permuted; the last stays as far from the check digit as it was."""
-    digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
-    front = F.substring(e, F.lit(1), F.length(e) - 1)
-    off = F.substring(e, F.length(e), F.lit(1)).cast("int") - _luhn(digits(front))
-    return _let(permute(front, key, tweak, _DIGITS), lambda p: F.concat(p, F.pmod(_luhn(digits(p)) + off, F.lit(10)).cast("string")))
+    """All digits but the last are permuted; the last is the check digit again."""
+    front = permute(F.substring(e, F.lit(1), F.length(e) - 1), key, tweak, _DIGITS)
+    return _let(front, lambda p: F.concat(p, _luhn(F.regexp_replace(p, "[^0-9]", "")).cast("string")))
 
 
 def _ipv4(e: Column, key: str, tweak: Column, wide: Column) -> Column:
@@ -274,6 +278,8 @@ def entities(text: Column, pattern: Column | None = None) -> Column:
     return F.coalesce(F.when(text.rlike(MAYBE), found), F.array().cast("array<string>"))
 
 
+#: The type of what only looks like an entity.
+NONE = "none"
 _TITLED = rf"^{_TITLE}\.?\x20"
 
 
@@ -302,7 +308,8 @@ def _pieces(found: Column, names: Column) -> Column:
         last = F.substring_index(rest, " ", -1)
         titled = F.when(name != "", e).otherwise(F.filter(names, lambda n: F.endswith(n, F.concat(F.lit(" "), e)))[0])
         return (
-            F.when((kind(e) != "name") & (kind(e) != "other"), F.array(piece(i, 0, F.lit(""), kind(e), e)))
+            F.when((kind(e) == "card") & _no_card(e), F.array(piece(i, 0, e, F.lit(NONE), F.lit(""))))
+            .when((kind(e) != "name") & (kind(e) != "other"), F.array(piece(i, 0, F.lit(""), kind(e), e)))
             .when(F.contains(rest, F.lit(" ")), F.array(piece(i, 0, name, F.lit("person"), F.concat(_gender(titled), F.lit("|"), rest)), piece(i, 1, F.lit(" "), F.lit("surname"), last)))
             .otherwise(F.array(piece(i, 0, name, F.lit("surname"), rest)))
         )
@@ -361,18 +368,20 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, text:
     parts = F.array_distinct(F.concat(F.filter(untitled, lambda n: F.contains(n, F.lit(" "))), F.transform(untitled, lambda n: F.substring_index(n, " ", -1))))
     plain = plain.withColumn("__pii_pattern", F.when(F.size("__pii_names") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}'-])"))))
     found = F.when(F.col("__pii_pattern").isNotNull(), F.regexp_extract_all(F.col(text), F.col("__pii_pattern"), F.lit(0))).otherwise(F.col("__pii_found"))
-    marked = plain.withColumn("__pii_pieces", _pieces(found, F.col("__pii_names"))).withColumn("__pii_hit", F.size("__pii_found") > 0)
+    marked = plain.withColumn("__pii_pieces", _pieces(found, F.col("__pii_names"))).withColumn("__pii_hit", F.exists("__pii_pieces", lambda p: p["type"] != NONE))
     marked = marked.select(*docs.columns, "__pii_pattern", "__pii_pieces", "__pii_hit", F.monotonically_increasing_id().alias("__pii_row"))
     marked = work.save(marked, "marked", "__pii_hit")
     hit = marked.filter("__pii_hit")
     spread = hit.select("__pii_row", F.explode("__pii_pieces").alias("p")).select("__pii_row", "p.*")
-    made = surrogates_of(spark, work, spread.select("type", "unit").distinct(), key)
-    placed = spread.join(made, ["type", "unit"]).groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", F.concat("lead", "s").alias("put"), "type"))).alias("__pii_put"))
+    made = surrogates_of(spark, work, spread.filter(F.col("type") != NONE).select("type", "unit").distinct(), key)
+    joined = spread.join(made, ["type", "unit"], "left")
+    placed = joined.groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", F.concat("lead", F.when(F.col("type") == NONE, "").otherwise(F.col("s"))).alias("put"), "type"))).alias("__pii_put"))
     split = F.when(F.col("__pii_pattern").isNull(), F.split(F.col(text), ANY, -1)).otherwise(F.split(F.col(text), F.col("__pii_pattern"), F.lit(-1)))
     new = F.concat(F.array_join(F.transform("__pii_put", lambda p: F.concat(F.when(p["sub"] == 0, F.element_at("__pii_gaps", p["pos"] + 1)).otherwise(""), p["put"])), ""), F.element_at("__pii_gaps", -1))
-    types = F.array_sort(F.array_distinct(F.transform("__pii_put", lambda p: F.when(p["type"].isin("person", "surname"), "name").otherwise(p["type"]))))
+    real = F.filter("__pii_put", lambda p: p["type"] != NONE)
+    types = F.array_sort(F.array_distinct(F.transform(real, lambda p: F.when(p["type"].isin("person", "surname"), "name").otherwise(p["type"]))))
     put = hit.join(placed, "__pii_row").withColumn("__pii_gaps", split)
-    put = put.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], F.size(F.filter("__pii_put", lambda p: p["sub"] == 0)).cast("long").alias("n_entities"), types.alias("entity_types"))
+    put = put.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], F.size(F.filter(real, lambda p: p["sub"] == 0)).cast("long").alias("n_entities"), types.alias("entity_types"))
     rest = marked.filter("NOT __pii_hit").select(*docs.columns, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
     return rest.unionByName(put)
 
