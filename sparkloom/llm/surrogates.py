@@ -104,28 +104,19 @@ def _byte(digest: Column, place: Column) -> Column:
     return F.conv(F.substring(digest, (place % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _ints(values: list[int]) -> Column:
-    """A constant array, written as one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-
-
-def _bounds(letters: list[str]) -> tuple[Column, Column]:
-    """By place in the joined classes: the first place of its class, and the size of the class."""
-    first, size, at = [], [], 1
+def _move(c: Column, k: Column, letters: list[str]) -> Column:
+    """The character ``k`` places on in its class, around; what is in no class stays."""
+    joined = "".join(letters)
+    places = [1]
     for x in letters:
-        first += [at] * len(x)
-        size += [len(x)] * len(x)
-        at += len(x)
-    return _ints(first), _ints(size)
+        places.append(places[-1] + len(x))
+    starts = F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")  # one literal; the last is the end
 
+    def moved(at: Column) -> Column:
+        first, after = F.array_max(F.filter(starts, lambda s: s <= at)), F.array_min(F.filter(starts, lambda s: s > at))
+        return _let(F.struct(first.alias("a"), (after - first).alias("n")), lambda x: F.substring(F.lit(joined), x["a"] + F.pmod(at - x["a"] + k, x["n"]), F.lit(1)))
 
-def _move(c: Column, k: Column, letters: list[str]) -> Column:
-    """The character ``k`` places on in its class, around; what is in no class stays."""
-    joined, (first, size) = "".join(letters), _bounds(letters)
-    found = _let(
-        F.call_function("instr", F.lit(joined), c),
-        lambda at: F.when(at > 0, _let(F.element_at(first, at), lambda a: F.substring(F.lit(joined), a + F.pmod(at - a + k, F.element_at(size, at)), F.lit(1)))),
-    )
+    found = _let(F.call_function("instr", F.lit(joined), c), lambda at: F.when(at > 0, moved(at)))
     if letters is not _CLASSES:
         return F.when(c == "", c).otherwise(F.coalesce(found, c))
     point = F.ascii(c)
