@@ -325,10 +325,11 @@ def surrogates_of(spark: SparkSession, work: Workspace, units: DataFrame, key: s
         real = units.filter(F.col("type") != "person").select(F.col("unit").alias("s"), F.lit("").alias("scope")).distinct().withColumn("real", F.lit(True))
         judged = made.join(holder, ["scope", "s"], "left").join(real, ["scope", "s"], "left")
         bad = (F.col("s") == F.col("own")) | (F.col("one").isNotNull() & (F.col("one") != F.struct("attempt", "type", "unit"))) | (F.col("real").isNotNull() & (F.col("attempt") < SAME_SHAPE))
-        judged = work.save(judged.withColumn("bad", F.coalesce(bad, F.lit(False))).select("type", "unit", "scope", "own", "attempt", "s", "bad"), "judged")
-        work.drop(made)
+        judged = judged.withColumn("bad", F.coalesce(bad, F.lit(False))).select("type", "unit", "scope", "own", "attempt", "s", "bad")
         if judged.filter("bad").isEmpty():
-            return judged.select("type", "unit", "s")
+            return made.select("type", "unit", "s")
+        judged = work.save(judged, "judged")
+        work.drop(made)
         again = make(judged.filter("bad").select("type", "unit", "scope", "own", (F.col("attempt") + 1).alias("attempt")))
         made = work.save(judged.filter("NOT bad").drop("bad").unionByName(again), "made")
         work.drop(judged)
@@ -361,7 +362,7 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, text:
     found = F.when(F.col("__pii_pattern").isNotNull(), F.regexp_extract_all(F.col(text), F.col("__pii_pattern"), F.lit(0))).otherwise(F.col("__pii_found"))
     marked = plain.withColumn("__pii_pieces", _pieces(found, F.col("__pii_names"))).withColumn("__pii_hit", F.exists("__pii_pieces", lambda p: p["type"] != NONE))
     marked = marked.select(*docs.columns, "__pii_pattern", "__pii_pieces", "__pii_hit", F.monotonically_increasing_id().alias("__pii_row"))
-    marked = work.save(marked, "marked", "__pii_hit")
+    marked = work.save(marked, "marked")
     hit = marked.filter("__pii_hit")
     spread = hit.select("__pii_row", F.explode("__pii_pieces").alias("p")).select("__pii_row", "p.*")
     made = surrogates_of(spark, work, spread.filter(F.col("type") != NONE).select("type", "unit").distinct(), key)
