@@ -338,16 +338,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(id, comp) of every end of an edge (a, b): the smallest id connected with it.
 
-    Every partition first makes stars of its own edges.  If no more than ONE_TASK of these are left,
-    one task joins them; beyond that, alternating large-star and small-star steps go on until nothing
-    changes.  There a star's centre may have any number of edges: minima combine before the shuffle,
-    and the join with them may split a hot key.
+    One task joins up to ONE_TASK edges.  Of more, every partition first makes stars of its own; if
+    there still are more, alternating large-star and small-star steps go on until nothing changes.  There
+    a star's centre may have any number of edges: minima combine before the shuffle, and the join with
+    them may split a hot key.  ``edges`` is written, or cheap to read again.
     """
-    now = work.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").mapInArrow(_forest, "u bigint, v bigint"), "stars")
+    joined = lambda rows: work.save(rows.coalesce(1).mapInArrow(_forest, "u bigint, v bigint"), "stars").select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    now = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     if now.count() <= ONE_TASK:
-        after = work.save(now.coalesce(1).mapInArrow(_forest, "u bigint, v bigint"), "stars")
-        work.drop(now)
-        return after.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        return joined(now)
+    now = work.save(now.mapInArrow(_forest, "u bigint, v bigint"), "stars")
+    if now.count() <= ONE_TASK:
+        return joined(now)
     seen = None
     while True:
         sign = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
@@ -417,9 +419,11 @@ def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame
     merged, level = None, 0
     rows = paths(range(min(FIRST_TREES, trees)))
     while True:
-        rows = work.save(rows, "nodes")
+        if level < 2:  # later ones are children, which are written
+            rows = work.save(rows, "nodes")
         members = work.save(_undecided(rows, merged), "members")
-        work.drop(rows)
+        if level < 2:
+            work.drop(rows)
         most = members.agg(F.max("n")).first()[0] or 0
         groups = members.select(F.col("node").alias("key"), "node", "id", "comp", F.lit(False).alias("grow"))
         if most > SMALL:
