@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a small table for which a task of its own is worth while.
+TASK_ROWS = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,9 +75,10 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df``, written; if it has about so many ``rows``, by no more tasks (and into no more files) than they need."""
         path = self.folder(name)
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.workspace_path = path
         return saved

@@ -413,15 +413,16 @@ def _dealt(members: DataFrame, last: bool) -> DataFrame:
 
 def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame:
     """(id, comp) of the sets (id, sketch) that are near others: the trees' walk."""
-    depth, trees = forest_shape(reps.count())
+    sets = reps.count()  # no table below needs more tasks than the sets do
+    depth, trees = forest_shape(sets)
     sketches = reps.select("id", "sketch")
     paths = lambda some: sketches.mapInArrow(_paths(some, depth), "node bigint, id bigint")
     merged, level = None, 0
     rows = paths(range(min(FIRST_TREES, trees)))
     while True:
         if level < 2:  # later ones are children, which are written
-            rows = work.save(rows, "nodes")
-        members = work.save(_undecided(rows, merged), "members")
+            rows = work.save(rows, "nodes", sets)
+        members = work.save(_undecided(rows, merged), "members", sets)
         if level < 2:
             work.drop(rows)
         most = members.agg(F.max("n")).first()[0] or 0
@@ -429,7 +430,7 @@ def families(spark: SparkSession, work: Workspace, reps: DataFrame) -> DataFrame
         if most > SMALL:
             groups = _dealt(members, level == MORE_DEPTH)
         sorted_ = groups.join(sketches, "id").repartition("key").sortWithinPartitions("key")
-        found = work.save(sorted_.mapInArrow(_by_group(_compare_nodes), FOUND), "found")  # written first: a task that compares and joins would need two workers
+        found = work.save(sorted_.mapInArrow(_by_group(_compare_nodes), FOUND), "found", sets)  # written first: a task that compares and joins would need two workers
         pairs = found.filter("NOT child").select("a", "b")
         if merged is not None:
             pairs = pairs.union(merged.select(F.col("id").alias("a"), F.col("comp").alias("b")))
@@ -463,28 +464,29 @@ def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataF
     """
     members = near.unionByName(near.select(F.col("comp").alias("id"), "comp").distinct()).join(reps.select("id", "n_bytes"), "id")
     sizes = members.groupBy("comp").agg(_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("blocks"))
-    members = work.save(members.join(sizes, "comp").select("id", F.col("comp").alias("family"), "blocks"), "members")
+    n = near.count()  # at most as many more that lead a family
+    members = work.save(members.join(sizes, "comp").select("id", F.col("comp").alias("family"), "blocks"), "members", 2 * n)
     pool = docs.toDF("id", "text").join(members.hint("merge"), "id")
     large = not members.filter("blocks > 1").isEmpty()
     if large:
-        pool = work.save(pool, "pool")
+        pool = work.save(pool, "pool", 20 * n)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = _place(F.col("blocks"))
     part = F.explode(F.when(F.col("id") == F.col("family"), every).otherwise(F.array(own.cast("int")))).alias("part")
     inside = pool.select("family", part, "id", F.col("id").alias("comp"), F.lit(False).alias("few"), "text").withColumn("key", F.xxhash64("family", "part"))
-    links = work.save(_read_groups(inside, threshold, width), "links")
+    links = work.save(_read_groups(inside, threshold, width), "links", 20 * n)
     linked = components(work, links)
     if large:
         known = pool.filter("blocks > 1").join(linked, "id", "left").select("family", "blocks", "id", F.coalesce("comp", "id").alias("comp"), "text")
         sums = known.select("family", "id", "comp", F.octet_length("text").alias("size")).groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("size"))
         main = sums.groupBy("family").agg(F.max(F.struct("k", "comp", "size")).alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"))
         main = main.select("family", F.col("main.comp").alias("main"), _blocks(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")).alias("others"), (F.col("k") > F.col("main.k")).alias("open")).filter("open")
-        known = work.save(known.join(main, "family").withColumn("few", F.col("comp") != F.col("main")), "known")
+        known = work.save(known.join(main, "family").withColumn("few", F.col("comp") != F.col("main")), "known", 20 * n)
         across = F.sequence(F.lit(0), F.col("others") - 1)
         block = known.select("family", own.cast("int").alias("p"), F.explode(across).alias("q"), "id", "comp", F.lit(False).alias("few"), "text")
         outside = known.filter("few").select("family", F.explode(every).alias("p"), F.pmod(F.hash("id"), F.col("others")).alias("q"), "id", "comp", "few", "text")
         pairs = block.unionByName(outside).withColumn("key", F.xxhash64("family", "p", "q"))
-        linked = components(work, work.save(_read_groups(pairs, threshold, width), "links").union(linked.toDF("a", "b")))
+        linked = components(work, work.save(_read_groups(pairs, threshold, width), "links", 20 * n).union(linked.toDF("a", "b")))
         work.drop(known, pool)
     work.drop(members)
     _freed(spark)
