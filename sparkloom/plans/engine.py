@@ -92,7 +92,7 @@ class Engine:
         model = header.embedding_model if header else self.model
         where = F.col("source_type") == asked.source_type if asked.source_type else None
         vector = encode.embed_one(asked.query, model)
-        found = search.top_k(self.index.chunks(), vector, asked.limit, where, compat=True) if compat else search.nearest_chunks(self.index, vector, asked.limit, where)
+        found = search.top_k(self.index.chunks(), vector, asked.limit, where, compat=True) if compat else self.index.nearest(vector, asked.limit, where)
         return lookup.source_urls(search.hits(found).withColumn("repo", F.col("metadata")["repo"]))
 
     def constant(self, name: str) -> DataFrame:

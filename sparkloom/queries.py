@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors
-from sparkloom.operators import catalog, chunking, encode, extract, lookup, manifest, search
+from sparkloom.operators import ann, catalog, chunking, encode, extract, lookup, manifest, search
 from sparkloom.plans import index
 from sparkloom.streaming import ingest
 
@@ -412,8 +412,8 @@ def vector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
-    indexed, centres = search.build_cells(rows)
-    return search.probe_join(rows.filter("vec_id % 20 = 0"), indexed, centres, 10, "vec_id", "vec_id")
+    quantiser = ann.fit(rows, "vec_id")
+    return ann.probe_join(rows.filter("vec_id % 20 = 0"), ann.coded(rows, quantiser), quantiser, 10, "vec_id", "vec_id")
 
 
 @_query("vector_ann")

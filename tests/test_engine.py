@@ -140,7 +140,7 @@ def test_docs_markdown_and_text(spark, data):
     assert run("constant", "NONE_SUCH") == "Nothing found"
     assert "line: ## v2.1 (CURRENT)" in run("versions") and engine.tell("get_current_version").startswith("version: v2.1") and "  - Foundation for Alpenglow consensus" in engine.tell("get_current_version")
     assert run("tool", "get_client", "name=sig").startswith("name: Sig")
-    assert run("compact", "--cells") == "Written as one segment" and engine.index.centres()
+    assert run("compact", "--cells") == "Written as one segment" and engine.index.quantiser()
     assert run("search", "guide to begin with").startswith("1. [docs]")
     assert run("vacuum").endswith("deleted")
     by = {(r.repo, r.path_prefix): (r["items"], r.constants) for r in engine.counts().collect()}
