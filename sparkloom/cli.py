@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom import logs
 from sparkloom.operators import catalog, lookup
 from sparkloom.plans.engine import Engine
 from sparkloom.sources import repos
@@ -16,7 +16,6 @@ from sparkloom.sources import repos
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="sparkloom")
     parser.add_argument("--data-dir", default=".")
-    parser.add_argument("--json-logs", action="store_true")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("compile", "status", "models", "versions", "clients", "vacuum"):
         commands.add_parser(name)
@@ -41,7 +40,7 @@ def _index(engine: Engine, full: bool, dry_run: bool = False) -> str:
     if dry_run:
         planned = engine.dry_run()
         return "\n".join(x for x in (planned.summary(), planned.listing()) if x)
-    stats = engine.update(full, logs.logger("index").info)
+    stats = engine.update(full, logging.getLogger("sparkloom.index").info)
     return "\n".join([stats.summary(), *stats.errors])
 
 
@@ -51,7 +50,7 @@ def _table(df: DataFrame) -> str:
 
 def run(engine: Engine, asked: argparse.Namespace) -> str:
     """What a command prints."""
-    spark, tell = engine.spark, logs.logger("repos").info
+    spark, tell = engine.spark, logging.getLogger("sparkloom.repos").info
     if asked.command == "download":
         return "\n".join(f"{name}: {'ok' if ok else 'failed'}" for name, ok in repos.download(engine.data_dir, asked.repo or None, tell).items())
     if asked.command == "build":
@@ -85,7 +84,7 @@ def run(engine: Engine, asked: argparse.Namespace) -> str:
 
 def main(args: Sequence[str] | None = None) -> int:
     asked = _parser().parse_args(args)
-    logs.to_stderr(as_json=asked.json_logs)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = SparkSession.builder.appName("sparkloom").getOrCreate()
     print(run(Engine(spark, asked.data_dir), asked))
     return 0

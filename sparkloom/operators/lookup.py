@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -18,6 +18,24 @@ def function(items: DataFrame, name: str) -> DataFrame:
     return items.filter((F.col("name") == name) & (F.col("kind") == "function")).orderBy("repo", "file_path", "line_number").limit(1)
 
 
+#: Keys of a range that are numbered together.
+_RANGE = 4096
+
+
+def numbered(rows: DataFrame, key: str, to: str) -> DataFrame:
+    """``rows`` in the order of an integer key, numbered from 1 in ``to`` without gathering them.
+
+    Ranges of keys are counted, the counts (a row for each range) summed up, and rows numbered inside their
+    range.  Keys should be unique: rows of one key share its range.
+    """
+    place = F.floor(F.col(key) / _RANGE).alias("__range")
+    counts = rows.groupBy(place).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.withColumn("__range", place).join(counts.select("__range", before.alias("__before")), "__range")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return joined.withColumn(to, (F.col("__before") + inside).cast("int")).drop("__range", "__before")
+
+
 def first_by_name(records: DataFrame) -> DataFrame:
     """The first record of every name (AGG-09); one shuffle, minima combined before it."""
     rest = [c for c in records.columns if c not in ("name", "repo", "file_path", "line_number")]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
-import shutil
 from dataclasses import dataclass, field
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +63,37 @@ def validated(files: DataFrame) -> DataFrame:
     return files
 
 
+#: What a JSON manifest's entries are read as.
+_ENTRIES = "map<string, struct<sha256: string, mtime_ns: bigint, chunk_ids: array<string>>>"
+
+
 def parse(spark: SparkSession, text: str, size: int | None = None) -> tuple[Header, DataFrame]:
     """Header and files of a JSON manifest; what is not JSON is corrupt, what breaks a rule invalid."""
     if (len(text.encode()) if size is None else size) > MAX_BYTES:
         raise ManifestError("manifest too large")
-    try:
-        data = json.loads(text)
-    except ValueError as e:
-        raise CorruptManifest(str(e)) from e
-    if not isinstance(data, dict) or "version" not in data or "files" not in data:
+    return _parsed(spark.createDataFrame([(text,)], "value string"))
+
+
+def _parsed(whole: DataFrame) -> tuple[Header, DataFrame]:
+    """The same of a table of one text: Spark parses it and makes a row of each entry."""
+    data = whole.select(F.try_parse_json("value").alias("data"))
+    get = lambda path, kind: F.try_variant_get("data", path, kind)
+    entries = get("$.files", _ENTRIES)
+    found = data.select(
+        F.col("data").isNull().alias("corrupt"), get("$.version", "string").alias("version"), F.try_variant_get("data", "$.files", "variant").isNotNull().alias("files"), entries.isNotNull().alias("mapping"),
+        *[F.coalesce(get(f"$.{n}", "string"), F.lit("")).alias(n) for n in ("embedding_model", "updated_at")], get("$.chunk_config", "map<string,int>").alias("chunk_config"), get("$.repo_versions", "map<string,string>").alias("repo_versions"),
+    ).first()
+    if found.corrupt:
+        raise CorruptManifest("no JSON")
+    if found.version is None or not found.files:
         raise ManifestError("version and files are required")
-    if not isinstance(data["files"], dict):
-        raise ManifestError("files must be a mapping")
-    if not _VERSION.match(str(data["version"])):
+    if not found.mapping:
+        raise ManifestError("files must be a mapping of entries")
+    if not _VERSION.match(found.version):
         raise ManifestError("bad version")
-    rows = [(p, e.get("sha256"), int(e.get("mtime_ns", 0)), list(e.get("chunk_ids", []))) for p, e in data["files"].items()]
-    header = Header(data.get("embedding_model", ""), data.get("chunk_config", {}), data.get("repo_versions", {}), data["version"], data.get("updated_at", ""))
-    return header, validated(spark.createDataFrame(rows, schemas.FILE_ENTRY))
+    entry = F.col("entry")
+    rows = data.select(F.explode(entries).alias("path", "entry")).select("path", entry["sha256"].alias("sha256"), F.coalesce(entry["mtime_ns"], F.lit(0)).alias("mtime_ns"), F.coalesce(entry["chunk_ids"], F.array().cast("array<string>")).alias("chunk_ids"))
+    return Header(found.embedding_model, found.chunk_config or {}, found.repo_versions or {}, found.version, found.updated_at), validated(rows)
 
 
 def touched(manifest: DataFrame, current: DataFrame) -> DataFrame:
@@ -97,19 +109,23 @@ def touched(manifest: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> tuple[Header, DataFrame] | None:
-    """The manifest of a JSON file, None without one; what is not JSON is copied beside before it raises (SRC-14)."""
-    file = Path(path)
-    if not file.exists():
+    """The manifest of a JSON file anywhere that Spark reads, None without one; what is not JSON is copied beside before it raises (SRC-14)."""
+    try:
+        size = spark.read.format("binaryFile").load(path).select("length").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    size = file.stat().st_size
-    if size > MAX_BYTES:
+    if size[0] > MAX_BYTES:
         raise ManifestError("manifest too large")
     try:
-        return parse(spark, file.read_text(encoding="utf-8"), size)
-    except (CorruptManifest, UnicodeDecodeError) as e:
-        copy = file.with_name(f"{file.name}.corrupted")
-        shutil.copyfile(file, copy)
-        raise CorruptManifest(f"{e}; kept as {copy}") from e
+        return _parsed(spark.read.text(path, wholetext=True))
+    except CorruptManifest as e:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        file, copy = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.corrupted"))
+        fs = file.getFileSystem(conf)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, file, fs, copy, False, conf)
+        raise CorruptManifest(f"{e}; kept as {path}.corrupted") from e
 
 
 def changes(manifest: DataFrame, current: DataFrame, check_hashes: bool = True) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from sparkloom import logs
 
 SOURCE_TYPES = ("rust", "simd", "c", "docs")
 _CONSTANT = re.compile(r"^[A-Z][A-Z0-9_]*$")
@@ -140,7 +140,7 @@ def load_config(path: str) -> Config:
         config.batch_size = int(size)
     config.warnings += config.problems()
     for told in config.warnings:
-        logs.logger("config").warning(told)
+        logging.getLogger("sparkloom.config").warning(told)
     return config
 
 

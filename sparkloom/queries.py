@@ -7,14 +7,13 @@ give the rows back; markdown is made of the pages' headings; a manifest is made
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors
-from sparkloom.operators import ann, catalog, chunking, encode, extract, lookup, manifest, search
+from sparkloom.operators import ann, chunking, encode, extract, lookup, manifest, search
 from sparkloom.plans import index
 from sparkloom.streaming import ingest
 
@@ -486,72 +485,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sessions(_table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-# Catalogs: the SQL says the values itself
-
-@_query("catalog_clients", """
-SELECT * FROM (VALUES ('Agave', 'Rust', 'https://github.com/anza-xyz/agave', NULL::DOUBLE), ('Jito-Agave', 'Rust', 'https://github.com/jito-foundation/jito-solana', 70),
-    ('Firedancer', 'C', 'https://github.com/firedancer-io/firedancer', NULL), ('Frankendancer', 'C + Rust', 'https://github.com/firedancer-io/firedancer', 21)) AS t(name, language, repo, stake)""")
-def catalog_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.clients(spark, production_only=True).select("name", "language", "repo", F.col("stake_percentage").alias("stake"))
-
-
-@_query("catalog_client", "SELECT 'Firedancer' AS name, 'Jump Crypto' AS organization")
-def catalog_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.find_client(spark, "Dancer").select("name", "organization")
-
-
-@_query("catalog_diversity", "SELECT 5::BIGINT AS total_clients, 4::BIGINT AS production_clients")
-def catalog_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.diversity(spark)
-
-
-@_query("catalog_gates", """
-SELECT * FROM (VALUES ('vote_state_update_credit_per_dequeue', 199000000::BIGINT, '2023-09', 'v1.16'), ('enable_partitioned_epoch_reward', 240000000, '2024-04', 'v1.18'),
-    ('enable_tower_sync_from_snapshots', 250000000, '2024-06', 'v2.0')) AS t(name, activated_slot, activated_date, version_introduced)""")
-def catalog_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.gates(spark, activated_only=True).select("name", "activated_slot", "activated_date", "version_introduced")
-
-
-@_query("catalog_version", "SELECT 'v2.1' AS version, '2024-12' AS release_date, 'Performance improvements, Alpenglow prep' AS description")
-def catalog_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.current_version(spark).select("version", "release_date", "description")
-
-
-@_query("catalog_find_version", "SELECT 'v2.0' AS version, 'Some deprecated APIs removed' AS breaking UNION ALL SELECT 'v2.0', 'Validator config changes'")
-def catalog_find_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.find_version(spark, "v2").select("version", F.explode("breaking_changes").alias("breaking"))
-
-
-@_query("catalog_version_lines", """
-SELECT unnest(['## v1.14', '## v1.16', '## v1.17', '## v1.18', '## v2.0', '## v2.1 (CURRENT)', '## v2.2 (Alpenglow) (FUTURE)']) AS line""")
-def catalog_version_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.version_lines(spark).select("line")
-
-
-@_query("catalog_guidance", """
-SELECT * FROM (VALUES ('Stak', 'staking'), ('clock', 'poh'), ('MEV', 'mev'), ('what is mev and jito', 'mev'), ('erasure', 'turbine')) AS t(asked, topic)""")
-def catalog_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics by a part of their name, as a part of what is asked, and by a word of their summary."""
-    table = catalog.guidance(spark)
-    found = [catalog.find_guidance(table, t).select(F.lit(t).alias("asked"), "topic") for t in ("Stak", "clock", "MEV", "what is mev and jito", "erasure")]
-    return reduce(DataFrame.unionByName, found)
-
-
-@_query("catalog_consensus", "SELECT 'TowerBFT' AS current, '~12.8 seconds (32 confirmations)' AS finality, 'Alpenglow' AS future, '~150ms median' AS future_finality")
-def catalog_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.consensus(spark).select("current", "finality", "future", "future_finality")
-
-
-@_query("catalog_requested", "SELECT * FROM (VALUES ('agave', true, true), ('firedancer', true, false), ('nowhere', false, false)) AS t(repo, known, ready)")
-def catalog_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.requested(spark, ["agave", "firedancer", "nowhere"], ["agave"])
-
-
-@_query("catalog_models", "SELECT * FROM (VALUES ('all-mpnet-base-v2', 768), ('other', 384)) AS t(model, dimensions)")
-def catalog_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.model_dimensions(spark, ["all-mpnet-base-v2", "other"])
-
-
 # Places, partitions and rendered text
 
 @_query("record_counts", "SELECT 'agave' AS repo, p AS path_prefix, n AS items, 0::BIGINT AS constants FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'runtime' WHEN 1 THEN 'core' ELSE '' END AS p, (4 * count(*))::BIGINT AS n FROM supplier GROUP BY 1)")
@@ -573,6 +506,5 @@ SELECT doc_id, (row_number() OVER (ORDER BY doc_id)) || '. [docs] ' || doc_id ||
 def rendered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     ident = F.col("doc_id").cast("string")
-    ranks = docs.select("doc_id").withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
-    hits = docs.join(ranks, "doc_id").select("doc_id", "rank", F.lit("docs").alias("source_type"), ident.alias("source_name"), F.concat("source", F.lit("/"), ident, F.lit(".md")).alias("source_file"), F.lit(1).alias("line_number"), ((F.col("doc_id") % 101) / 100).alias("similarity"), F.lit(None).cast("string").alias("url"), F.col("text").alias("content"))
+    hits = lookup.numbered(docs, "doc_id", "rank").select("doc_id", "rank", F.lit("docs").alias("source_type"), ident.alias("source_name"), F.concat("source", F.lit("/"), ident, F.lit(".md")).alias("source_file"), F.lit(1).alias("line_number"), ((F.col("doc_id") % 101) / 100).alias("similarity"), F.lit(None).cast("string").alias("url"), F.col("text").alias("content"))
     return lookup.rendered_hits(hits).select("doc_id", "text")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import catalog, search
 from sparkloom.plans import validate as V
@@ -202,29 +203,6 @@ def test_checkouts(spark, tmp_path, monkeypatch):
     assert "agave" in repos.refreshed(root, told.append) and not (tmp_path / "data/agave/runtime/d.rs").exists()
 
 
-def test_logs(capsys):
-    import json
-    import logging
-
-    from sparkloom import logs
-
-    try:
-        log = logs.to_stderr(logging.INFO, as_json=True)
-        logs.logger("part").info("hello %s", "there", extra={"fields": {"n": 3}})
-        try:
-            raise ValueError("no")
-        except ValueError:
-            log.exception("failed")
-        first, second = map(json.loads, capsys.readouterr().err.strip().split("\n"))
-        assert (first["message"], first["n"], first["logger"], first["level"]) == ("hello there", 3, "sparkloom.part", "INFO") and "ValueError: no" in second["exception"]
-        logs.to_stderr(logging.WARNING)
-        logs.logger().info("quiet")
-        logs.logger().warning("loud")
-        assert capsys.readouterr().err.strip().endswith("[WARNING] sparkloom: loud")
-    finally:
-        logs.logger().handlers.clear()
-
-
 def test_unknown_settings_are_told(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("embedding: {model: hashing, color: red}\nchunking: 7\nmore: 1\n")
@@ -254,3 +232,19 @@ def test_records_from_json(spark, tmp_path):
 def test_several_patterns(spark, data):
     (data / "agave/runtime/x.rsx").write_text("pub const X: u8 = 1;\n")
     assert {r.path for r in S.rust_files(spark, f"{data}/agave", subdirs=["runtime"], pattern=["win.rs", "*.rsx"]).select("path").collect()} == {"runtime/win.rs", "runtime/x.rsx"}
+
+
+def test_an_absent_name_reads_no_row_group(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("'r' AS repo", "'a.rs' AS file_path", "concat('N', id) AS name", "'1' AS value", "'u8' AS type_annotation", "'' AS doc_comment", "1 AS line_number")
+    S.write_records(rows.repartition(3), f"{tmp_path}/c")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, most in (("N77", 20_000), ("N77x", 0)):
+            # statistics and dictionaries aside: the filter of names alone
+            table = spark.read.options(**{"parquet.filter.stats.enabled": "false", "parquet.filter.dictionary.enabled": "false", "parquet.filter.columnindex.enabled": "false"}).parquet(f"{tmp_path}/c")
+            found = table.filter(F.col("name") == name)
+            assert len(found.collect()) == (name == "N77")
+            leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+            assert leaf.metrics().apply("numOutputRows").value() <= most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
