@@ -1,7 +1,7 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors are dealt to lanes, and queries into groups that go to every lane.  A lane holds the queries
-of a group and reads its vectors as a stream, block by block.  A block's index holds posting segments
+Vectors are dealt to lanes, as many as their number asks for, each a task that indexes its vectors block
+by block; they cross the shuffle once.  Every query goes to every lane as a stream.  A block's index holds posting segments
 (quantised impact, dimension): the members whose component has that impact, with the component.  The
 queries walk the levels of quantised impact downwards, adding each level's segments to the scores.
 After a level, what is still missing from a score is at most |query| * |unread rest of the vector|
@@ -23,9 +23,8 @@ from sparkloom.llm.common import Workspace, table
 
 #: Vectors whose index is walked at once, and queries that walk it at once.
 BLOCK, QUERY_BLOCK = 2048, 1024
-#: Queries that a lane holds at once.  A lane passes on k scores for each query, whatever the number of
-#: vectors, and these are read once for each group of so many queries.
-LANES, HELD = 16, 1 << 15
+#: Vectors of a lane: a LANES-th of all within these bounds.  Its index is some 70 bytes a component.
+LANES, LEAST, MOST = 64, 2048, 1 << 15
 #: Impacts (absolute components) are quantised by halving: level n holds 2^n .. 2^(n+1) - 1.
 #: The walk stops when this share of the block, at most, are possible members.
 OPEN_SHARE = 0.06
@@ -136,8 +135,8 @@ def search(block: Block, queries: np.ndarray, query_ids: np.ndarray, k: int, flo
     return rows[keep], members[keep], exact[keep], at
 
 
-class _Held:
-    """A block of queries and the best that they have met."""
+class _Best:
+    """What a block of queries has met best so far."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
         self.ids, self.matrix, self.k = ids, matrix, k
@@ -157,51 +156,37 @@ class _Held:
 
 
 def _walk(k: int, width: int):
-    """Rows come by lane and group, there queries before vectors."""
+    """A task's rows are a lane's: first its vectors, then the queries, which meet the blocks in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, waiting, rows = None, [], [], 0
-        queries: list[pa.Table] = []
+        blocks: list[Block] = []
+        waiting: list[pa.RecordBatch] = []
+        rows = 0
 
-        def flush() -> None:
+        def index() -> None:
             nonlocal waiting, rows
-            if queries:
-                all_ = pa.concat_tables(queries)
-                for i in range(0, len(all_), QUERY_BLOCK):
-                    part = all_.slice(i, QUERY_BLOCK)
-                    held.append(_Held(part["id"].to_numpy(), _matrix(part["ints"], width), k))
-                queries.clear()
             if rows:
-                part = pa.concat_tables(waiting)
-                block = Block(_matrix(part["ints"], width), part["id"].to_numpy())
-                for h in held:
-                    h.meet(block)
+                part = pa.Table.from_batches(waiting)
+                blocks.append(Block(_matrix(part["ints"], width), part["id"].to_numpy()))
             waiting, rows = [], 0
 
-        def done() -> Iterator[pa.RecordBatch]:
-            flush()
-            for h in held:
-                yield pa.RecordBatch.from_arrays([pa.array(h.ids[h.row]), pa.array(h.vec), pa.array(h.score)], names=["query_id", "vec_id", "score"])
-            held.clear()
-
         for batch in batches:
-            rest = pa.Table.from_batches([batch])
-            while len(rest):
-                if rest["key"][0].as_py() != key:
-                    yield from done()
-                    key = rest["key"][0].as_py()
-                same = (rest["key"].to_numpy() == key) & (rest["kind"].to_numpy() == rest["kind"][0].as_py())
-                n = int(np.argmin(same)) if not same.all() else len(same)
-                if rest["kind"][0].as_py() == 0:
-                    queries.append(rest.slice(0, n))
-                else:
-                    n = min(n, BLOCK - rows)
-                    waiting.append(rest.slice(0, n))
-                    rows += n
-                    if rows == BLOCK:
-                        flush()
-                rest = rest.slice(n)
-        yield from done()
+            vectors = int((batch.column("kind").to_numpy() == 0).sum())
+            part, rest = batch.slice(0, vectors), batch.slice(vectors)
+            while part.num_rows:
+                n = min(part.num_rows, BLOCK - rows)
+                waiting.append(part.slice(0, n))
+                part, rows = part.slice(n), rows + n
+                if rows == BLOCK:
+                    index()
+            if rest.num_rows:
+                index()
+            for i in range(0, rest.num_rows if blocks else 0, QUERY_BLOCK):
+                asked = rest.slice(i, QUERY_BLOCK)
+                best = _Best(asked.column("id").to_numpy(), _matrix(pa.chunked_array([asked.column("ints")]), width), k)
+                for block in blocks:
+                    best.meet(block)
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.row]), pa.array(best.vec), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -218,11 +203,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str,
     vectors = work.save(vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "ints"), "vectors")
     queries = work.save(queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "ints"), "queries")
     widths = [df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("ints")), F.lit(0))).first() for df in (vectors, queries)]
-    width, groups = max(1, widths[0][1], widths[1][1]), max(1, -(-widths[1][0] // HELD))
-    place = lambda n, seed: F.floor(F.rand(seed) * n).cast("int")  # noqa: E731  # by chance, for rows may repeat; tables are written, so reruns agree
-    met = queries.withColumn("g", place(groups, 1)).select(F.lit(0).alias("kind"), "id", "ints", "g", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
-    met = met.unionByName(vectors.withColumn("lane", place(LANES, 2)).select(F.lit(1).alias("kind"), "id", "ints", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "lane"))
-    met = met.select((F.col("g") * LANES + F.col("lane")).alias("key"), "kind", "id", "ints").repartition(LANES * groups, "key").sortWithinPartitions("key", "kind")
+    n, width = widths[0][0], max(1, widths[0][1], widths[1][1])
+    lanes = max(1, -(-n // min(MOST, max(LEAST, n // LANES))))
+    dealt = vectors.select(F.lit(0).alias("kind"), "id", "ints", (F.monotonically_increasing_id() % lanes).cast("int").alias("lane"))  # a written table, so reruns agree
+    met = dealt.unionByName(queries.select(F.lit(1).alias("kind"), "id", "ints", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")))
+    met = met.repartitionById(lanes, F.col("lane")).sortWithinPartitions("kind").drop("lane")
     found = work.save(met.mapInArrow(_walk(k, width), "query_id bigint, vec_id bigint, score bigint"), "found")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

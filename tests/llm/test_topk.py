@@ -23,9 +23,9 @@ def found(spark, rows, k=20):
     return sorted(map(tuple, topk.top_k(spark, vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", k).collect()))
 
 
-@pytest.mark.parametrize(("block", "lanes", "held"), [(16, 16, 1 << 15), (16, 2, 3), (4096, 1, 5)])
-def test_equals_brute_force(spark, monkeypatch, block, lanes, held):
-    for name, value in (("BLOCK", block), ("LANES", lanes), ("QUERY_BLOCK", 4), ("HELD", held)):
+@pytest.mark.parametrize(("block", "lanes", "most"), [(16, 16, 1 << 15), (16, 2, 30), (4096, 1, 5)])
+def test_equals_brute_force(spark, monkeypatch, block, lanes, most):
+    for name, value in (("BLOCK", block), ("LANES", lanes), ("LEAST", 3), ("QUERY_BLOCK", 4), ("MOST", most)):
         monkeypatch.setattr(topk, name, value)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(150)]
