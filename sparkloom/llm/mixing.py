@@ -1,11 +1,13 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate exp(sum of the multipliers of its margins' values): the exponential
-tilt that stays nearest (in relative entropy, weighted by size) to taking each document once and
-meets the token constraints.  The multipliers come from Newton steps on the convex dual, over cells
-(distinct combinations of margin values): one margin's block of the Hessian is diagonal, so Spark
-takes the steps of all its values at once, and goes through several margins in turn.  Targets,
-multipliers and rates are tables, as many as there may be.  Rates are then rounded into whole copies.
+Every document gets a rate exp(sum of the multipliers of its margins' values), at most a cap: the
+exponential tilt that stays nearest (in relative entropy, weighted by size) to taking each document once
+and meets the token constraints.  The multipliers come from Newton steps on the convex dual, over cells
+(distinct combinations of margin values).  One margin's Hessian is diagonal, so Spark takes the steps of
+all its values at once.  Several margins take joint damped steps: Spark adds up the gradient and the
+Hessian's entries (pairs of values that meet in a cell), and the driver solves for a step of as many
+numbers as there are values.  Constraints that can't be met together are an error.  Rates are then rounded
+into whole copies.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from sparkloom.llm.common import WORD, Workspace, table
 BLOCK_ROWS = 512
 #: Documents of a block whose copies are chosen by exact sums.
 TAIL = 32
-#: Newton steps of one margin, and rounds over several.
-STEPS, ROUNDS = 60, 500
+#: Newton steps of one margin, and of several together; how near they come, relative to a target.
+STEPS, JOINT, NEAR = 60, 80, 1e-8
+#: Joint steps in a row that come no nearer, after which targets count as unmet.
+STALE = 8
+#: Values of several margins together, whose Hessian the driver solves.
+VALUES = 4000
 #: Rows of one document that are written out at once.
 CHUNK = 10_000
 
@@ -56,11 +62,12 @@ def _newton(goal: Column, start: Column) -> Column:
     return F.when((goal > 0) & (start > 0), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step)).otherwise(F.lit(float("-inf")))
 
 
-def balance(work: Workspace, cells: DataFrame, margins: Mapping[str, DataFrame], size: str = "size", tolerance: float = 1e-9) -> dict[str, DataFrame]:
+def balance(work: Workspace, cells: DataFrame, margins: Mapping[str, DataFrame], size: str = "size", most: float = math.inf) -> dict[str, DataFrame]:
     """(value, x) of each margin: the multipliers for which the tilted tokens of every value meet its target.
 
     ``cells`` has a row for each combination of margin values with its tokens; margins have (value,
     target).  Values without tokens, or with target 0 or none, have no finite multiplier: -inf, rate 0.
+    Rates are at most ``most``.  Several margins whose targets no rates meet raise ValueError.
     """
     sums = {name: cells.groupBy(F.col(name).alias("value")).agg(F.sum(size).cast("double").alias("n")) for name in margins}
     goals = {}
@@ -70,20 +77,69 @@ def balance(work: Workspace, cells: DataFrame, margins: Mapping[str, DataFrame],
     if len(margins) == 1:
         ((name, goal),) = goals.items()
         return {name: work.save(goal.select("value", _newton(F.col("goal"), F.col("n")).alias("x")), "duals")}
-    duals = {name: work.save(goal.select("value", "goal", F.when((F.col("goal") > 0) & (F.col("n") > 0), 0.0).otherwise(F.lit(float("-inf"))).alias("x")), "duals") for name, goal in goals.items()}
-    for _ in range(ROUNDS):
-        worst = 0.0
-        for name in margins:
-            reached = _tilted(cells, duals).groupBy(F.col(name).alias("r")).agg(F.sum(F.col(size) * F.exp("__x")).alias("reached"))
-            joined = duals[name].join(reached, F.expr("value <=> r"), "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
-            miss = F.when(F.col("x") > float("-inf"), F.abs(F.col("goal") - F.col("reached")) / F.greatest("goal", F.lit(1.0))).otherwise(0.0)
-            after = work.save(joined.select("value", "goal", F.when(F.col("reached") > 0, F.col("x") + _newton(F.col("goal"), F.col("reached"))).otherwise(F.col("x")).alias("x"), miss.alias("miss")), "duals")
-            worst = max(worst, after.agg(F.max("miss")).first()[0] or 0.0)
-            work.drop(duals[name])
-            duals[name] = after
-        if worst <= tolerance:
+    return _joint(work, cells, goals, size, most)
+
+
+def _joint(work: Workspace, cells: DataFrame, goals: Mapping[str, DataFrame], size: str, most: float) -> dict[str, DataFrame]:
+    """``balance`` of several margins by damped Newton steps on all their values together."""
+    spark, names = work.spark, list(goals)
+    alive = {name: goal.filter("goal > 0 AND n > 0").select("value", "goal").orderBy("value").limit(VALUES + 1).collect() for name, goal in goals.items()}
+    first = np.cumsum([0, *(len(v) for v in alive.values())])
+    if first[-1] > VALUES:
+        raise ValueError(f"several margins of more than {VALUES} values together")
+    goal = np.array([r.goal for values in alive.values() for r in values])
+    each = [float(goal[a:b].sum()) for a, b in zip(first, first[1:], strict=False)]
+    if max(each, default=0) - min(each, default=0) > NEAR * max(each, default=0):
+        raise ValueError(f"targets of margins add up to different totals: {dict(zip(names, each, strict=True))}")
+    place = cells.select(*names, F.col(size).cast("double").alias("__n"))
+    for k, name in enumerate(names):
+        numbered = spark.createDataFrame([(i, r.value) for i, r in enumerate(alive[name], int(first[k]))], f"__i{k} int, __v{k} {dict(goals[name].dtypes)['value']}")
+        place = place.join(numbered, F.col(name).eqNullSafe(F.col(f"__v{k}"))).drop(f"__v{k}")
+    ids = [f"__i{k}" for k in range(len(names))]
+    place = work.save(place.groupBy(*ids).agg(F.sum("__n").alias("__n")), "places")
+
+    def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens that each value reaches, the Hessian), added up over cells."""
+        table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "__i int, __x double")
+        tilt, rows = F.lit(0.0), place
+        for i in ids:
+            rows = rows.join(F.broadcast(table.select(F.col("__i").alias(i), F.col("__x").alias(f"x{i}"))), i)  # VALUES rows at most
+            tilt = tilt + F.col(f"x{i}")
+        free = tilt < math.log(most) if most < math.inf else F.lit(True)
+        rate = F.exp(tilt) if most == math.inf else F.least(F.exp(tilt), F.lit(float(most)))
+        pairs = F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for k, a in enumerate(ids) for b in ids[k:]]))
+        rows = rows.select(pairs.alias("p"), (F.col("__n") * rate).alias("w"), free.alias("free"))
+        reached, hessian = np.zeros(len(x)), np.zeros((len(x), len(x)))
+        for a, b, w, f in rows.groupBy("p").agg(F.sum("w").alias("w"), F.coalesce(F.sum(F.when(F.col("free"), F.col("w"))), F.lit(0.0)).alias("f")).select("p.a", "p.b", "w", "f").collect():
+            hessian[a, b] = hessian[b, a] = f
+            if a == b:
+                reached[a] = w
+        return reached, hessian
+
+    x, step, damp = np.zeros(len(goal)), np.zeros(len(goal)), 1e-9
+    miss, last, stale = np.inf, None, 0
+    for _ in range(JOINT):
+        reached, hessian = sums(x + step)
+        now = float((np.abs(goal - reached) / np.maximum(goal, 1)).max(initial=0))
+        stale = 0 if now < 0.99 * miss else stale + 1
+        if now < miss or last is None:  # a step that helped; one that didn't is shortened by more damping
+            x, miss, last, damp = x + step, now, (reached, hessian), max(damp / 8, 1e-9)
+        else:
+            damp = max(damp * 16, 1e-6)
+        if miss <= NEAR or stale >= STALE:
             break
-    return {name: dual.select("value", "x") for name, dual in duals.items()}
+        scale = np.diag(last[1]) + 1e-12 * goal
+        step = np.linalg.lstsq(last[1] + np.diag(damp * scale), goal - last[0], rcond=1e-12)[0]
+        step = step * min(1.0, 2.0 / max(1e-300, np.abs(step).max(initial=0)))
+    if miss > NEAR:
+        worst = int((np.abs(goal - last[0]) / np.maximum(goal, 1)).argmax())
+        k = int(np.searchsorted(first, worst, "right")) - 1
+        raise ValueError(f"no rates meet the targets of {names} together: {names[k]}={alive[names[k]][worst - first[k]].value!r} comes to {last[0][worst]:.6g} of {goal[worst]:.6g}")
+    out = {}
+    for k, name in enumerate(names):
+        found = spark.createDataFrame([(r.value, float(x[i])) for i, r in enumerate(alive[name], int(first[k]))], f"v {dict(goals[name].dtypes)['value']}, x double")
+        out[name] = work.save(goals[name].join(F.broadcast(found), F.col("value").eqNullSafe(F.col("v")), "left").select("value", F.coalesce("x", F.lit(float("-inf"))).alias("x")), "duals")
+    return out
 
 
 def _tilted(cells: DataFrame, duals: Mapping[str, DataFrame]) -> DataFrame:
@@ -164,14 +220,15 @@ def mix(spark: SparkSession, df: DataFrame, size: str, margins: Mapping[str, Dat
     by blocks: hashed parts of a combination of margins of about BLOCK_ROWS items, so a combination with a
     third of all rows is many blocks.  Inside one, items pass in descending size and copies follow the
     running sum of rate * size, so a block is off by a few tokens.  Ties of size go by the other columns.
-    Documents without words take 0 words; they are kept as often as their rate says.
+    Documents without words take 0 words; they are kept as often as their rate says.  Column names that begin
+    with __ are reserved.
     """
     names = list(margins)
     work = Workspace(spark, "mixing")
     columns = list(dict.fromkeys([*key, *names, size, *keep]))
     items = work.save(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m")), "items")
     cells = work.save(items.groupBy(*names).agg(F.sum(F.col(size) * F.col("__m")).alias(size), F.count(F.lit(1)).alias("__n")), "cells")
-    rates = _tilted(cells, balance(work, cells, margins, size))
+    rates = _tilted(cells, balance(work, cells, margins, size, most))
     rates = work.save(rates.select(*[F.col(n).alias(f"__c{i}") for i, n in enumerate(names)], F.least(F.exp("__x"), F.lit(float(most))).alias("rate"), F.ceil(F.col("__n") / BLOCK_ROWS).alias("__blocks")), "rates")
     on = F.lit(True)
     for i, n in enumerate(names):

@@ -72,6 +72,48 @@ def test_two_margins_are_met(spark):
     assert sum(v for (_, x), v in taken.items() if x == "y") == pytest.approx(450, rel=1e-6)
 
 
+def _met(spark, cells, goal, most=np.inf):
+    tables = {name: spark.createDataFrame(list(goal[name].items()), "value string, target double") for name in goal}
+    found = {name: {r.value: r.x for r in t.collect()} for name, t in mixing.balance(Workspace(spark, "t"), cells, tables, most=most).items()}
+    rates = {tuple(r[n] for n in goal): min(most, np.exp(sum(found[n][r[n]] for n in goal))) for r in cells.collect()}
+    return rates, {n: {v: sum(r.size * rates[tuple(r[m] for m in goal)] for r in cells.collect() if r[n] == v) for v in goal[n]} for n in goal}
+
+
+def test_three_margins_are_met(spark):
+    rng = np.random.default_rng(3)
+    rows = [(a, b, c, int(n)) for (a, b, c), n in zip(((a, b, c) for a in ("a", "b", None) for b in "uvwx" for c in "pq"), rng.integers(1, 5000, 24), strict=True)]
+    cells = spark.createDataFrame(rows, "source string, lang string, kind string, size bigint")
+    tilt = {(a, b, c): float(np.exp(rng.normal(0, 0.4))) for a, b, c, _ in rows}  # what some rates reach can be reached
+    goal = {name: {v: sum(r[3] * tilt[r[:3]] for r in rows if r[k] == v) for v in {r[k] for r in rows}} for k, name in enumerate(("source", "lang", "kind"))}
+    _, reached = _met(spark, cells, goal)
+    assert all(reached[n][v] == pytest.approx(goal[n][v], rel=1e-6) for n in goal for v in goal[n])
+
+
+def test_rates_stop_at_the_cap_and_targets_are_met_still(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 100), ("b", "x", 100), ("b", "y", 100)], "source string, lang string, size bigint")
+    goal = {"source": {"a": 310.0, "b": 90.0}, "lang": {"x": 230.0, "y": 170.0}}
+    rates, reached = _met(spark, cells, goal, 1.6)
+    assert rates["a", "x"] == pytest.approx(1.6) and rates["a", "y"] == pytest.approx(1.5, rel=1e-6)
+    assert all(reached[n][v] == pytest.approx(goal[n][v], rel=1e-6) for n in goal for v in goal[n])
+    assert _met(spark, cells, goal)[0]["a", "x"] > 1.6
+
+
+def test_targets_that_contradict_each_other_are_an_error(spark):
+    cells = spark.createDataFrame([("a", "u", 100), ("b", "v", 100)], "p string, q string, size bigint")
+    with pytest.raises(ValueError, match="no rates meet"):
+        _met(spark, cells, {"p": {"a": 100.0, "b": 100.0}, "q": {"u": 150.0, "v": 50.0}})
+    with pytest.raises(ValueError, match="different totals"):
+        _met(spark, cells, {"p": {"a": 100.0, "b": 100.0}, "q": {"u": 150.0, "v": 150.0}})
+    with pytest.raises(ValueError, match="no rates meet"):
+        _met(spark, cells, {"p": {"a": 300.0, "b": 100.0}, "q": {"u": 300.0, "v": 100.0}}, most=2.0)
+
+
+def test_values_without_a_target_are_left_out(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "x", 100), ("c", "y", 100)], "source string, lang string, size bigint")
+    rates, _ = _met(spark, cells, {"source": {"a": 50.0, "b": 0.0, "c": 70.0}, "lang": {"x": 50.0, "y": 70.0}})
+    assert rates["b", "x"] == 0 and rates["a", "x"] == pytest.approx(0.5) and rates["c", "y"] == pytest.approx(0.7)
+
+
 def test_rounding_follows_the_rates():
     rng = np.random.default_rng(0)
     sizes = -np.sort(-rng.integers(1, 3000, 500))
