@@ -24,31 +24,37 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Workspace, table
+from sparkloom.llm.common import Workspace, shared_dir, table
 
-#: Setting of the session that holds the key.  Without it a session draws its own, and another session's
-#: surrogates differ.
+#: Setting of the session that holds the key.  Without it a key is drawn and kept in the shared folder, so that
+#: reruns and other sessions over that folder agree; who may read the folder may undo the surrogates.
 KEY_SETTING = "spark.sparkloom.surrogates.key"
 #: Attempts that keep an entity's shape; later ones are longer by a character each.
 SAME_SHAPE = 4
 ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame|Mme)"
+_FEMALE = "Mrs|Ms|Miss|Lady|Frau|Señora|Señorita|Sra|Srta|Madame|Mme|Mademoiselle|Mlle"
+_TITLE = rf"(?:{_FEMALE}|Mr|Sir|Herr|Señor|Sr|Monsieur|M(?=\.)|Dr|Prof|Professor|Rev)"
+#: What may stand between a title and a name, and between names.
+_BLANK = r"[\x20\t\u00A0]{1,4}"
+_AFTER = rf"\.?(?:{_BLANK}|[\x20\t]{{0,4}}\r?\n[\x20\t]{{0,4}})"
+#: Calling codes of one and two digits; all others have three.
+_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: Entity patterns in the order in which they are tried at a place of a text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"(?<![A-Za-z])(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_=.~-]{8,256}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z])(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_=.~-]{8,256}|(?<![A-Za-z])(?i:password|passwd|pwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?(?=[^\s\"']{0,6}[0-9])[A-Za-z0-9+/_=.~!#$%*-]{4,7}(?![A-Za-z0-9])|(?<![A-Za-z])[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s/@]{1,64}@|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}(?:(?:[a-z]{4})?[0-9]{7,26}|(?:\x20[0-9]{4}){3,7}(?:\x20[0-9]{1,3})?)(?![A-Za-z0-9@.])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){2,6}|[0-9A-Fa-f]{4}:)(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9](?:[\x20.-][0-9]{2}){4}|0[0-9]{1,4}[\x20/-][0-9]{5,9})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE}\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,40}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_AFTER}\p{{Lu}}[\p{{L}}'-]{{1,40}}(?:{_BLANK}\p{{Lu}}[\p{{L}}'-]{{1,40}})?",
 }
 #: Every entity has a part of this; texts without one are not searched.
-MAYBE = rf"[0-9@:=]|AKIA|ghp_|sk-|{_TITLE}\.?\x20\p{{Lu}}"
+MAYBE = rf"[0-9@:=]|AKIA|ghp_|sk-|{_TITLE}{_AFTER}\p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -77,7 +83,20 @@ def _classes() -> list[str]:
     return [x for x in classes if len(x) > 1] + ["".join(x for x in classes if len(x) == 1)]
 
 
+_VOWELS = set("aeiouyαεηιουωаеёиоуыэюяіїє")
+
+
+def _spoken() -> list[str]:
+    """The classes with the vowels of the plain alphabets apart, so that a name stays one that can be said."""
+    out = []
+    for x in _CLASSES:
+        vowels = "".join(c for c in x if c.lower() in _VOWELS)
+        out += [vowels, "".join(c for c in x if c not in vowels)] if len(vowels) > 2 else [x]
+    return out
+
+
 _CLASSES = _classes()
+_SPOKEN = _spoken()
 _DIGITS = ["0123456789"]
 #: First names by gender and script.
 _NAMES = {
@@ -117,7 +136,7 @@ def _move(c: Column, k: Column, letters: list[str]) -> Column:
         return _let(F.struct(first.alias("a"), (after - first).alias("n")), lambda x: F.substring(F.lit(joined), x["a"] + F.pmod(at - x["a"] + k, x["n"]), F.lit(1)))
 
     found = _let(F.call_function("instr", F.lit(joined), c), lambda at: F.when(at > 0, moved(at)))
-    if letters is not _CLASSES:
+    if letters is not _CLASSES and letters is not _SPOKEN:
         return F.when(c == "", c).otherwise(F.coalesce(found, c))
     point = F.ascii(c)
     out = F.when((c == "") | ~c.rlike(r"[\p{L}\p{N}]"), c)
@@ -229,19 +248,19 @@ def _first_name(unit: Column, key: str, attempt: Column) -> Column:
 
 
 def _secret(e: Column, key: str, tweak: Column) -> Column:
-    head = F.regexp_extract(e, r"^(?:(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?|AKIA|ghp_|sk-)", 0)
+    head = F.regexp_extract(e, r"^(?:(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?|[a-z][a-z0-9+.-]{1,15}://|AKIA|ghp_|sk-)", 0)
     value = F.substring(e, F.length(head) + 1, F.length(e))
     return F.concat(head, F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), permute(value, key, tweak, _HEX)).otherwise(permute(value, key, tweak, _CLASSES)))
 
 
 def _phone(e: Column, key: str, tweak: Column) -> Column:
-    code = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[\x20.(-])", 0)
+    code = F.regexp_extract(e, rf"^\+(?:[0-9]{{1,3}}(?=[\x20.(-])|{_CODES}|[0-9]{{3}})", 0)
     return F.concat(code, permute(F.substring(e, F.length(code) + 1, F.length(e)), key, F.concat(tweak, code), _DIGITS))
 
 
 def kind(e: Column) -> Column:
     """The type of an entity: the first pattern that is the whole of it."""
-    out = F.when(F.contains(e, F.lit("@")), "email")
+    out = F.when(F.contains(e, F.lit("://")), "secret").when(F.contains(e, F.lit("@")), "email")
     for name, p in list(PATTERNS.items())[1:]:
         out = out.when(e.rlike(f"^(?:{p})$"), name)
     return out.otherwise("other")
@@ -255,7 +274,7 @@ def surrogate(unit: Column, type_: Column, key: str, attempt: Column) -> Column:
     longer = F.when(more == 0, unit).when(type_ == "email", F.concat(F.repeat(F.lit("x"), more), unit)).otherwise(F.concat(unit, F.repeat(F.when(tail.rlike(r"[\p{L}\p{N}]"), tail).otherwise(F.lit("x")), more)))
     special = {
         "email": _email(longer, key, tweak), "ipv4": _ipv4(unit, key, tweak, attempt > 0), "ipv6": permute(unit, key, tweak, _HEX), "card": _card(longer, key, tweak), "iban": _iban(longer, key, tweak),
-        "person": _first_name(unit, key, attempt), "secret": _secret(longer, key, tweak), "phone": _phone(longer, key, tweak),
+        "person": _first_name(unit, key, attempt), "secret": _secret(longer, key, tweak), "phone": _phone(longer, key, tweak), "surname": permute(longer, key, tweak, _SPOKEN),
     }
     out = F
     for name, made in special.items():
@@ -271,7 +290,7 @@ def entities(text: Column, pattern: Column | None = None) -> Column:
 
 #: The type of what only looks like an entity.
 NONE = "none"
-_TITLED = rf"^{_TITLE}\.?\x20"
+_TITLED = rf"^{_TITLE}{_AFTER}"
 
 
 def _title(e: Column) -> Column:
@@ -282,10 +301,15 @@ def _untitled(e: Column) -> Column:
     return F.regexp_replace(e, _TITLED, "")
 
 
+def _even(e: Column) -> Column:
+    """With one blank between words, whatever was there."""
+    return F.regexp_replace(e, r"[\x20\t\u00A0\r\n]+", " ")
+
+
 def _gender(titled: Column) -> Column:
     """By the title; where that tells nothing, by the first name's ending."""
     female = F.array_contains(F.split(F.lit(" ".join(n for (g, _), ns in _NAMES.items() if g == "f" for n in ns)), " "), F.substring_index(_untitled(titled), " ", 1))
-    return F.when(titled.rlike("^(Mrs|Ms|Miss|Frau|Señora|Madame|Mme)"), "f").when(titled.rlike("^Dr") & (female | F.substring_index(_untitled(titled), " ", 1).rlike("[aáàâαάηήая]$")), "f").otherwise("m")
+    return F.when(titled.rlike(rf"^(?:{_FEMALE})(?!\p{{L}})"), "f").when(titled.rlike("^(Dr|Prof|Rev)") & (female | F.substring_index(_untitled(titled), " ", 1).rlike("[aáàâαάηήая]$")), "f").otherwise("m")
 
 
 def _pieces(found: Column, names: Column) -> Column:
@@ -295,13 +319,14 @@ def _pieces(found: Column, names: Column) -> Column:
         return F.struct(pos.alias("pos"), F.lit(sub).alias("sub"), lead.alias("lead"), type_.alias("type"), unit.alias("unit"))
 
     def of(e: Column, i: Column) -> Column:
-        name, rest = _title(e), _untitled(e)
+        name, rest = _title(e), _even(_untitled(e))
         last = F.substring_index(rest, " ", -1)
-        titled = F.when(name != "", e).otherwise(F.filter(names, lambda n: F.endswith(n, F.concat(F.lit(" "), e)))[0])
+        titled = F.when(name != "", _even(e)).otherwise(F.filter(F.transform(names, _even), lambda n: F.endswith(n, F.concat(F.lit(" "), _even(e))))[0])
+        no_iban = (kind(e) == "iban") & e.rlike("^[a-z]") & (_mod97(e) != 1)
         return (
-            F.when((kind(e) == "card") & _no_card(e), F.array(piece(i, 0, e, F.lit(NONE), F.lit(""))))
+            F.when((kind(e) == "card") & _no_card(e) | no_iban, F.array(piece(i, 0, e, F.lit(NONE), F.lit(""))))
             .when((kind(e) != "name") & (kind(e) != "other"), F.array(piece(i, 0, F.lit(""), kind(e), e)))
-            .when(F.contains(rest, F.lit(" ")), F.array(piece(i, 0, name, F.lit("person"), F.concat(_gender(titled), F.lit("|"), rest)), piece(i, 1, F.lit(" "), F.lit("surname"), last)))
+            .when(F.contains(rest, F.lit(" ")), F.array(piece(i, 0, name, F.lit("person"), F.concat(_gender(titled), F.lit("|"), rest)), piece(i, 1, F.regexp_extract(_untitled(e), _BLANK, 0), F.lit("surname"), last)))
             .otherwise(F.array(piece(i, 0, name, F.lit("surname"), rest)))
         )
 
@@ -336,11 +361,12 @@ def surrogates_of(spark: SparkSession, work: Workspace, units: DataFrame, key: s
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key of the session's setting, or one that the session draws and keeps."""
+    """The key of the session's setting, or one that is drawn once and kept in the shared folder."""
     found = spark.conf.get(KEY_SETTING, None)
     if not found:
-        found = secrets.token_hex(16)
-        spark.conf.set(KEY_SETTING, found)
+        path = f"{shared_dir(spark)}/surrogates-key"
+        spark.createDataFrame([(secrets.token_hex(16),)], "value string").coalesce(1).write.mode("ignore").text(path)
+        found = min(r[0] for r in spark.read.text(path).collect())  # of two that wrote at once
     return found
 
 
@@ -356,8 +382,9 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, text:
     docs = docs.drop("n_entities", "entity_types")
     plain = docs.withColumn("__pii_found", entities(F.col(text)))
     plain = plain.withColumn("__pii_names", F.filter("__pii_found", lambda e: e.rlike(_TITLED) & (kind(e) == "name")))
-    untitled = F.transform("__pii_names", _untitled)
+    untitled = F.transform("__pii_names", lambda n: _even(_untitled(n)))
     parts = F.array_distinct(F.concat(F.filter(untitled, lambda n: F.contains(n, F.lit(" "))), F.transform(untitled, lambda n: F.substring_index(n, " ", -1))))
+    parts = F.transform(parts, lambda n: F.replace(n, F.lit(" "), F.lit(_BLANK)))
     plain = plain.withColumn("__pii_pattern", F.when(F.size("__pii_names") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}'-])"))))
     found = F.when(F.col("__pii_pattern").isNotNull(), F.regexp_extract_all(F.col(text), F.col("__pii_pattern"), F.lit(0))).otherwise(F.col("__pii_found"))
     marked = plain.withColumn("__pii_pieces", _pieces(found, F.col("__pii_names"))).withColumn("__pii_hit", F.exists("__pii_pieces", lambda p: p["type"] != NONE))
@@ -379,4 +406,5 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, text:
 
 
 def op2_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` with surrogates, by the session's key; see ``replace``."""
     return replace(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))

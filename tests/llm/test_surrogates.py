@@ -112,12 +112,37 @@ def test_the_key_comes_from_the_session(spark, documents):
     spark.conf.unset(S.KEY_SETTING)
     docs = documents("a.person@example.org")
     first = S.replace(spark, docs).first().text
-    assert S.replace(spark, docs).first().text == first and len(spark.conf.get(S.KEY_SETTING)) == 32
+    assert S.replace(spark.newSession(), docs).first().text == first and len(S.session_key(spark)) == 32
     spark.conf.set(S.KEY_SETTING, "one")
     assert S.replace(spark, docs).first().text == rewritten(spark, documents, "a.person@example.org", key="one")[0]
     spark.conf.unset(S.KEY_SETTING)
 
 
+def test_titles_and_blanks(spark, documents):
+    texts = ("Mr John  Smith said", "Mr.\nSmith said", "Prof. Anna Schmidt said", "Sra. Lopez said", "M. Dupont said", "Mr\u00a0Otto\u00a0Stone said, John and Otto  Stone", "Mlle Claire\tDubois said", "PM Smith and AM. said")
+    out = rewritten(spark, documents, *texts)
+    for gone, text in zip(("John|Smith", "Smith", "Anna|Schmidt", "Lopez", "Dupont", "Otto|Stone", "Claire|Dubois"), out, strict=False):
+        assert not re.search(gone, text) and text.split("said")[0] and "said" in text
+    assert re.fullmatch(r"Mr \w+  \w{5} said", out[0]) and re.fullmatch(r"Mr\.\n\w{5} said", out[1]) and out[7] == texts[7]
+    assert re.search(r"Prof\. (\w+)", out[2])[1] in S._NAMES["f", "latin"] and re.search(r"Mlle (\w+)\t", out[6])[1] in S._NAMES["f", "latin"]
+    a, b = re.fullmatch("Mr\u00a0(\\w+\u00a0\\w+) said, John and (\\w+  \\w+)", out[5]).groups()
+    assert a.split() == b.split()
+
+
+def test_numbers_and_secrets_that_were_missed(spark, documents):
+    texts = ("card 3782 822463 10005 x", "call 030 12345678 or 06 12 34 56 78 x", "iban de89370400440532013000 and de12370400440532013000 x", "password: hunter2 x", "see https://user:pw1@host.org/a x", "call +4915112345678 x", "password: must x")
+    out = rewritten(spark, documents, *texts)
+    for gone, text in zip(("3782 822463", "12345678|12 34 56", "de89370400", "hunter2", "user|pw1", "15112345678"), out, strict=False):
+        assert not re.search(gone, text) and text.endswith(" x")
+    assert luhn(out[0][5:-2]) and re.fullmatch(r"call \d{3} \d{8} or \d\d( \d\d){4} x", out[1]) and out[2].endswith("de12370400440532013000 x")
+    assert re.fullmatch(r"see https://\w{4}:\w{3}@host\.org/a x", out[4]) and out[5].startswith("call +49") and out[6] == texts[6]
+
+
+def test_surnames_can_be_said(spark, documents):
+    for was, new in zip(("Smith", "Steinmann", "Петров"), rewritten(spark, documents, "Mr. Smith", "Herr Steinmann", "Dr Петров"), strict=True):
+        assert [c.lower() in S._VOWELS for c in new.split()[1]] == [c.lower() in S._VOWELS for c in was] and was not in new
+
+
 # A second version of the permutation, character by character.
 
 
@@ -155,7 +180,7 @@ def expected(e, key):
         host, top = domain.rsplit(".", 1)
         return permuted(local, key, f"email/local/{domain.lower()}") + "@" + permuted(host, key, f"email/host/.{top.lower()}") + "." + top
     if regex.fullmatch(S.PATTERNS["phone"], e):
-        code = (re.match(r"\+[0-9]{1,3}(?=[ .(-])", e) or [""])[0]
+        code = (re.match(rf"\+(?:[0-9]{{1,3}}(?=[ .(-])|{S._CODES}|[0-9]{{3}})", e) or [""])[0]
         return code + permuted(e[len(code) :], key, f"phone{code}")
     return None
 
