@@ -14,7 +14,10 @@ be no link.  Families prune the search (a node inside one family is done), so a
 in one group of near copies costs a few comparisons for each copy.  At the end each family is
 compared on whole sets, which alone decide the links; a large family first finds its main component
 and then compares only what is outside it with all members, block by block.  Texts move once more
-for that, in blocks of bounded bytes.
+for that, in blocks of bounded bytes.  Where more than a block is outside (documents of one template,
+near each other but mostly not linked), pairs come from an index of the family's rarest shingles instead:
+two sets that link share one of the few rarest of each, at places that leave room for what is still
+missing, and only such pairs are compared, on whole sets.
 """
 
 from __future__ import annotations
@@ -312,6 +315,24 @@ def _confirm(threshold: Fraction, width: int):
     return run
 
 
+TOKENS = "family bigint, id bigint, comp bigint, few boolean, tokens array<bigint>"
+
+
+def _tokens(width: int):
+    """The whole set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, offsets in kernels.pieces(batch.column(4)):
+                sets = kernels.shingles(data, offsets, width)
+                ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64) if ends[-1] else np.zeros(0, np.int64)
+                part = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["family", "id", "comp", "few", "tokens"])
+
+    return run
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of a partition's edges as stars around their smallest ids."""
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -459,8 +480,8 @@ def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataF
     """(id, comp) of the documents that are linked with others, by the whole sets of every family.
 
     First every block of a family is compared inside, together with the family's first member; then
-    what that leaves outside a large family's main component is compared with all its members, each
-    block of the former with each block of the latter.
+    what that leaves outside a large family's main component is compared with all its members: a block of
+    it with each block of these, and more than a block by ``rarest``.
     """
     members = near.unionByName(near.select(F.col("comp").alias("id"), "comp").distinct()).join(reps.select("id", "n_bytes"), "id")
     sizes = members.groupBy("comp").agg(_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("blocks"))
@@ -483,16 +504,45 @@ def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, near: DataF
         main = main.select("family", F.col("main.comp").alias("main"), _blocks(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")).alias("others"), (F.col("k") > F.col("main.k")).alias("open")).filter("open")
         known = work.save(known.join(main, "family").withColumn("few", F.col("comp") != F.col("main")), "known", 20 * n)
         across = F.sequence(F.lit(0), F.col("others") - 1)
-        block = known.select("family", own.cast("int").alias("p"), F.explode(across).alias("q"), "id", "comp", F.lit(False).alias("few"), "text")
-        outside = known.filter("few").select("family", F.explode(every).alias("p"), F.pmod(F.hash("id"), F.col("others")).alias("q"), "id", "comp", "few", "text")
+        wide, few = known.filter("others > 1"), known.filter("others = 1")
+        block = few.select("family", own.cast("int").alias("p"), F.explode(across).alias("q"), "id", "comp", F.lit(False).alias("few"), "text")
+        outside = few.filter("few").select("family", F.explode(every).alias("p"), F.pmod(F.hash("id"), F.col("others")).alias("q"), "id", "comp", "few", "text")
         pairs = block.unionByName(outside).withColumn("key", F.xxhash64("family", "p", "q"))
-        linked = components(work, work.save(_read_groups(pairs, threshold, width), "links", 20 * n).union(linked.toDF("a", "b")))
+        links = work.save(_read_groups(pairs, threshold, width), "links", 20 * n).union(linked.toDF("a", "b"))
+        if not wide.isEmpty():
+            links = links.union(work.save(rarest(work, wide, threshold, width), "links"))
+        linked = components(work, links)
         work.drop(known, pool)
     work.drop(members)
     _freed(spark)
     return linked
 
 
+def rarest(work: Workspace, known: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """(a, b): the links between components of one family that have a member outside the main one.
+
+    Every set is put in one order, the family's rarest shingles first.  Of a pair that links, the larger set
+    has a shared shingle among its first n - ceil(t * n) + 1, and the smaller among its first n - ceil(2t / (1 + t) * n) + 1;
+    after the first shared one, enough must be left in both for the overlap that the threshold asks.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    sets = work.save(known.select("family", "id", "comp", "few", "text").mapInArrow(_tokens(width), TOKENS), "sets")
+    each = sets.select("family", "id", "comp", "few", F.explode("tokens").alias("h"))
+    rows = each.join(each.groupBy("family", "h").agg(F.count(F.lit(1)).alias("times")), ["family", "h"])
+    order = F.transform(F.sort_array(F.collect_list(F.struct("times", "h"))), lambda x: x["h"])
+    placed = rows.groupBy("family", "id", "comp", "few").agg(order.alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
+    first = F.slice("tokens", F.lit(1), F.expr(f"int(n - ({p} * n + {q} - 1) div {q} + 1)"))
+    heads = placed.select("family", "id", "comp", "few", "n", F.expr(f"n - (2 * {p} * n + {p + q} - 1) div {p + q} + 1").alias("short"), F.posexplode(first).alias("at", "h"))
+    heads = work.save(heads, "heads")
+    x, y = heads.alias("x"), heads.filter("at < short").alias("y")
+    left = F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at"))
+    fit = F.expr(f"(y.n < x.n OR y.n = x.n AND y.id < x.id) AND y.n * {q} >= x.n * {p} AND x.comp <> y.comp AND (x.few OR y.few)") & (left * (p + q) >= (F.col("x.n") + F.col("y.n")) * p)
+    pairs = work.save(x.join(y, F.expr("x.family = y.family AND x.h = y.h") & fit).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
+    whole = sets.select("id", "tokens")
+    both = pairs.join(whole.toDF("a", "s"), "a").join(whole.toDF("b", "t"), "b").withColumn("shared", F.size(F.array_intersect("s", "t")).cast("long"))
+    return both.filter(F.col("shared") * q >= (F.size("s") + F.size("t") - F.col("shared")) * p).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: Fraction = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 

@@ -78,6 +78,19 @@ def test_templates_below_the_threshold(spark, documents):
     assert found(spark, documents, rows) == brute(rows)
 
 
+def test_rarest_shingles_find_every_link(spark, documents, monkeypatch):
+    """A family of which blocks leave most outside: some link, most do not."""
+    for name, value in (("FAMILY", 20), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dup, name, value)
+    base, rows = text(90), []
+    for _ in range(40):
+        one = edited(base, 0.13)
+        rows += [(len(rows) + k, edited(one, share) + " x" * (k % 3)) for k, share in enumerate((0.0, 0.03, 0.06, 0.09))]
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert found(spark, documents, rows) == want and 20 < len({c for _, c in want.values()}) < 150
+
+
 def test_trees_meet_the_recall():
     depths = [near_dup.forest_shape(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 30, 1 << 38)]
     assert [d for d, _ in depths] == [3, 3, 3, 4, 6, 8] and [t for _, t in depths] == sorted(t for _, t in depths)
