@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors
-from sparkloom.operators import ann, chunking, encode, extract, lookup, manifest, search
+from sparkloom.operators import ann, chunking, encode, extract, fitted, lookup, manifest, search
 from sparkloom.plans import index
 from sparkloom.streaming import ingest
 
@@ -458,6 +458,17 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(chunks, encode.embed_one(text, "hashing-64"), 10).select("chunk_id", "source_file", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
 
 
+@_query("search_fitted")
+def search_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest documents of every benchmark passage, by an encoder fitted to the documents."""
+    docs = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    model = fitted.fit(docs)
+    model.register("fitted")
+    asked = encode.embed(_table(spark, sf_dir, "benchmark"), "text", "fitted")
+    found = search.knn_join(asked, encode.embed(docs, "text", "fitted"), 10, "item_id", "doc_id")
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 # Aggregates, metadata, streams
 
 @_query("index_stats", "SELECT lang AS source_type, count(*)::BIGINT AS chunks FROM documents GROUP BY ROLLUP (lang)")
