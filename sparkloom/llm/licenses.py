@@ -471,5 +471,6 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every text of ``documents``; see ``scan``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, train(docs))

@@ -240,6 +240,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text of ``documents``, by a model that saw no held-out label; see ``train`` and ``score``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(spark, docs, table(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT

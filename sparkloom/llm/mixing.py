@@ -285,6 +285,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, keep: Sequence[str] = ()
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of ``documents``; see ``mix_documents``."""
     mixed = mix_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
 
@@ -293,6 +294,7 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
     Rows are told apart by doc_id and a fingerprint of the text; rows equal in both share their copies.
+    Column names that begin with __ are reserved.
     """
     marked = docs.withColumn("__print", F.xxhash64("text"))
     mixed = mix_documents(spark, marked.select("doc_id", "source", "text", "__print"), keep=["__print"])

@@ -579,4 +579,5 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` by shingles of two words; see ``near_duplicates``."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)

@@ -312,4 +312,5 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
 
 
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text of ``documents`` at its place in a sequence; see ``pack_documents``."""
     return pack_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -163,6 +163,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
 
 def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text of ``documents``; see ``verdicts``."""
     out = verdicts(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bangs", "n_lines")
 

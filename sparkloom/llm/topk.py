@@ -214,6 +214,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str,
 
 
 def op4_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all ``embeddings`` for every twentieth; see ``whole_vectors`` and ``top_k``."""
     vectors = whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(spark, vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", 20)
 

@@ -252,6 +252,7 @@ def read(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> Dat
 
 
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to archives and read back; see ``write`` and ``read``."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = write(spark, pages, Workspace(spark, "warc").path, least=0)
     return read(spark, manifest, payloads=False).drop("payload")

@@ -51,6 +51,54 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 and (r.predicted == 1) == (r.score >= 0.3) for r in rows)
 
 
+def plain_features(text):
+    """(own features, size) of each line with a word, byte by byte."""
+    kinds = {k: set(v) for k, v in line_crf._KINDS.items()}
+    out, seen = [], set()
+    for line in (text or "").encode().split(b"\n"):
+        words = line.split()  # the same white space, for bytes
+        solid = b"".join(words)
+        n, w = max(len(solid), 1), max(len(words), 1)
+        count = {k: sum(c in v for c in line) for k, v in kinds.items()}
+        stutter = sum(a == b for a, b in zip(words, words[1:]))
+        row = [count["symbol"] / n, count["upper"] / n, count["digit"] / n, min(count["bang"] / w, 2), min(count["pipe"] / w, 2), count["stop"] / n, line in seen, stutter / w, math.log1p(len(words)) / 5, n / w / 10, len(words) < 4, count["symbol"] > len(words) / 2, count["upper"] > n / 2, 1]
+        if line:
+            seen.add(line)
+        if words:
+            out.append((row, len(solid)))
+    return out or [([0.0] * (line_crf.OWN - 1) + [1], 1)]
+
+
+def plain_score(model, text):
+    """A document's score, state by state and line by line."""
+    lines, n = plain_features(text), line_crf.SHARED
+    none = [0.0] * n
+    full = [[*row, *(lines[i - 1][0][:n] if i else none), *(lines[i + 1][0][:n] if i + 1 < len(lines) else none)] for i, (row, _) in enumerate(lines)]
+    local = [sum((x - m) / s * w for x, m, s, w in zip(row, model.mean, model.scale, model.weights)) for row in full]
+    alpha, beta = [[0.0, local[0]]], [[0.0, 0.0]]
+    add = np.logaddexp
+    for x in local[1:]:
+        a = alpha[-1]
+        alpha.append([add(a[0] + model.trans[0, y], a[1] + model.trans[1, y]) + x * y for y in (0, 1)])
+    for x in reversed(local[1:]):
+        b = beta[-1]
+        beta.append([add(model.trans[y, 0] + b[0], model.trans[y, 1] + x + b[1]) for y in (0, 1)])
+    good = [1 / (1 + math.exp(min(700, a[0] + b[0] - a[1] - b[1]))) for a, b in zip(alpha, reversed(beta))]
+    quality = sum(g * size for g, (_, size) in zip(good, lines)) / sum(size for _, size in lines)
+    q = min(max(quality, 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(model.slope * math.log(q / (1 - q)) + model.shift)))
+
+
+def test_scores_of_all_documents_against_a_plain_version(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = line_crf.train(spark, docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in line_crf.op7_line_crf_quality(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert math.isclose(got[i], plain_score(model, text), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark, documents):
     from pyspark.sql import functions as F
 
