@@ -19,23 +19,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept; rows as they were."""
     return quality_rules.good_documents(spark, docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five words, 0.8), the one of the smallest doc_id."""
     return near_dup.one_of_each(spark, docs.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with surrogates for personal data, and n_chars of the new texts."""
     out = surrogates.replace(spark, docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: left out, once or twice."""
     return mixing.repeated(spark, docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document at its place in a sequence of at most 4096 tokens."""
     return packing.pack_documents(spark, docs.select("doc_id", "text"))
 
 
