@@ -8,7 +8,7 @@ dimensions, whatever the number of texts) orthogonal again.  Encoding needs one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import encode
 
 #: Buckets of words, passes over the corpus, directions beside those that are kept, and texts of a product.
-BUCKETS, PASSES, EXTRA, ROWS = 4096, 4, 16, 256
+BUCKETS, PASSES, EXTRA, ROWS = 4096, 3, 16, 256
 
 
 def counts(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,9 +46,12 @@ class Fitted:
 
     def weighed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, bucket, tf-idf weight): texts as rows of unit length, by text."""
-        row, bucket, times = counts(texts, len(self.weights))
+        return self.weigh(*counts(texts, len(self.weights)), len(texts))
+
+    def weigh(self, row: np.ndarray, bucket: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of counted words, of ``n`` texts."""
         value = (1 + np.log(times)) * self.weights[bucket]
-        norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(texts)))
+        norm = np.sqrt(np.bincount(row, weights=value**2, minlength=n))
         return row, bucket, value / norm[row]
 
     def rows(self, texts: list[str | None]) -> np.ndarray:
@@ -68,15 +71,53 @@ class Fitted:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         """One vector of unit length a text; zero for texts without words."""
-        out = self.project(*self.weighed(texts), len(texts))
-        norm = np.sqrt((out**2).sum(1, keepdims=True))
-        return out / np.where(norm > 0, norm, 1)
+        return _unit(self.project(*self.weighed(texts), len(texts)))
 
     def register(self, name: str) -> None:
         """Make it an encoder that ``encode.embed`` knows by that name in this session."""
         encode.register(name, lambda: self.encode, self.directions.shape[1])
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x**2).sum(1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def counted(corpus: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(kept columns, bucket, times): the words of each text, counted; to be written, for every pass reads them."""
+    kinds = "".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket, times = counts(batch.column(len(keep)).to_pylist(), BUCKETS)
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (bucket, times)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], names=[*keep, "bucket", "times"])
+
+    return corpus.select(*keep, F.col(text).cast("string")).mapInArrow(run, f"{kinds}bucket array<int>, times array<int>")
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, times) of counted rows."""
+    bucket, times = batch.column("bucket"), batch.column("times")
+    return np.repeat(np.arange(batch.num_rows), bucket.value_lengths().to_numpy()), bucket.flatten().to_numpy(), times.flatten().to_numpy()
+
+
+def embedded(rows: DataFrame, model: Fitted, keep: Sequence[str]) -> DataFrame:
+    """(kept columns, embedding) of ``counted`` rows."""
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                x = _unit(model.project(*model.weigh(*_lists(part), part.num_rows), part.num_rows)).astype(np.float32)
+                ends = pa.array(np.arange(part.num_rows + 1) * x.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[*keep, "embedding"])
+
+    return rows.select(*keep, "bucket", "times").mapInArrow(run, f"{kinds}embedding array<float>")
+
+
 def _summed(parts: DataFrame, width: int) -> np.ndarray:
     """Sums by bucket of the tasks' (bucket, values), added up in Spark before they reach the driver."""
 
@@ -102,40 +143,53 @@ def _emit(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def fit(corpus: DataFrame, text: str = "text", dimensions: int = 64, seed: int = 0) -> Fitted:
-    """The directions of a corpus.  Null and wordless texts count as texts without words; reads it PASSES + 1 times."""
-    texts = corpus.select(F.col(text).cast("string").alias("text"))
+    """The directions of a corpus of texts; their counted words are written once, in a scratch folder."""
+    from sparkloom.plans.index import scratch
+
+    path = scratch(corpus.sparkSession, "counted")
+    counted(corpus, text).write.parquet(path)
+    return fit_counted(corpus.sparkSession.read.schema("bucket array<int>, times array<int>").parquet(path), dimensions, seed)
+
+
+def fit_counted(rows: DataFrame, dimensions: int = 64, seed: int = 0) -> Fitted:
+    """The directions of ``counted`` rows.  Null and wordless texts count as texts; reads them PASSES + 1 times."""
+    rows = rows.select("bucket", "times")
     width = dimensions + EXTRA
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((BUCKETS, 2))
         for batch in batches:
-            _, bucket, _ = counts(batch.column(0).to_pylist(), BUCKETS)
-            seen[:, 0] += np.bincount(bucket, minlength=BUCKETS)
+            seen[:, 0] += np.bincount(_lists(batch)[1], minlength=BUCKETS)
             seen[0, 1] += batch.num_rows
         yield from _emit(seen)
 
-    seen = _summed(texts.mapInArrow(document_counts, "bucket int, values array<double>"), 2)
+    seen = _summed(rows.mapInArrow(document_counts, "bucket int, values array<double>"), 2)
     weights = np.log((1 + seen[0, 1]) / (1 + seen[:, 0])) + 1
     model = Fitted(weights, np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, width)))[0])
 
-    def products(batches: Iterator[pa.RecordBatch], now: Fitted) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((BUCKETS, width))
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(i, ROWS).to_pylist()
-                row, bucket, value = now.weighed(part)
-                if len(row):
-                    y = now.project(row, bucket, value, len(part))
-                    order = np.argsort(bucket, kind="stable")
-                    here = np.unique(bucket)
-                    sums[here] += np.add.reduceat(value[order, None] * y[row[order]], np.searchsorted(bucket[order], here))
-        yield from _emit(sums)
+    def products(now: Fitted):
+        single = Fitted(now.weights, now.directions.astype(np.float32))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((BUCKETS, width))
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(i, ROWS)
+                    row, bucket, value = single.weigh(*_lists(part), part.num_rows)
+                    if len(row):
+                        value = value.astype(np.float32)
+                        y = single.project(row, bucket, value, part.num_rows).astype(np.float32)
+                        order = np.argsort(bucket, kind="stable")
+                        here = np.unique(bucket)
+                        sums[here] += np.add.reduceat(value[order, None] * y[row[order]], np.searchsorted(bucket[order], here))
+            yield from _emit(sums)
+
+        return run
 
     for _ in range(PASSES):
-        now = Fitted(weights, model.directions)
-        sums = _summed(texts.mapInArrow(lambda batches, now=now: products(batches, now), "bucket int, values array<double>"), width)
+        sums = _summed(rows.mapInArrow(products(model), "bucket int, values array<double>"), width)
         if not sums.any():
             return Fitted(weights, np.zeros((BUCKETS, dimensions)))
-        inner = np.linalg.eigh(now.directions.T @ sums)  # of the covariance inside the directions, for their order
+        inner = np.linalg.eigh(model.directions.T @ sums)  # of the covariance inside the directions, for their order
         model = Fitted(weights, np.linalg.qr(sums @ inner[1][:, ::-1])[0])
     return Fitted(weights, model.directions[:, :dimensions])

@@ -461,11 +461,12 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("search_fitted")
 def search_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest documents of every benchmark passage, by an encoder fitted to the documents."""
-    docs = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    model = fitted.fit(docs)
-    model.register("fitted")
-    asked = encode.embed(_table(spark, sf_dir, "benchmark"), "text", "fitted")
-    found = search.knn_join(asked, encode.embed(docs, "text", "fitted"), 10, "item_id", "doc_id")
+    path = index.scratch(spark, "counted")
+    fitted.counted(_table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text", ["doc_id"]).write.parquet(path)
+    words = spark.read.schema("doc_id bigint, bucket array<int>, times array<int>").parquet(path)
+    model = fitted.fit_counted(words)
+    asked = fitted.embedded(fitted.counted(_table(spark, sf_dir, "benchmark"), "text", ["item_id"]), model, ["item_id"])
+    found = search.knn_join(asked, fitted.embedded(words, model, ["doc_id"]), 10, "item_id", "doc_id")
     return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
