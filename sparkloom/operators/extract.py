@@ -29,13 +29,34 @@ C_DEFINE = r"(?dU)^#define\s+(\w+)\s+(.+)$"
 _CONTROL = ["if", "while", "for", "switch"]
 
 
-def _found(files: DataFrame, pattern: str) -> DataFrame:
-    """A row for each match: repo, path, content, start, line, match, and the parts before and from it."""
-    cut = files.select("repo", "path", "content", F.posexplode(T.pieces(F.col("content"), pattern)).alias("__k", "__p")).filter("__k > 0")
-    return cut.select("repo", "path", "content", "__p.start", "__p.line", "__p.before", F.col("__p.text").alias("piece"), F.regexp_extract("__p.text", pattern, 0).alias("match"))
+def _found(files: DataFrame, pattern: str, more=None) -> DataFrame:
+    """A row for each match: repo, path, line, match, the part before, and with ``more`` the body.
 
+    ``more(near, tail)``: the characters of the body after the match, from the part up to the next match or,
+    if that has no end, the rest of the file.  Bodies are cut while the file is one row, so that no match
+    carries a copy of it.
+    """
+    content = F.col("content")
+
+    def row(p: Column) -> Column:
+        def cut(match: Column) -> Column:
+            plain = [p["line"].alias("line"), p["before"].alias("before"), match.alias("match")]
+            if more is None:
+                return F.struct(*plain)
+            near = F.substring(p["text"], F.length(match) + 1, F.length(p["text"]))
+            tail = F.substring(content, p["start"] + F.length(match), F.length(content))
+            # a cut of the part where that is enough, for a cut of the file is a walk to its place
+            body = lambda n: F.when(n <= F.length(p["text"]), F.substring(p["text"], F.lit(1), n)).otherwise(F.substring(content, p["start"], n))
+            return F.struct(*plain, T.let(F.length(match) + more(near, tail), body).alias("body"))
+
+        return T.let(F.regexp_extract(p["text"], pattern, 0), cut)
 
-def _end(marks: str, start: int, step) -> Column:
+    # the outer form, for Spark would filter by the size of the other's array and make it twice
+    rows = F.transform(F.slice(T.pieces(content, pattern), F.lit(2), F.lit(1 << 30)), row)
+    return files.select("repo", "path", F.explode_outer(rows).alias("__p")).filter("__p IS NOT NULL").select("repo", "path", "__p.*")
+
+
+def _end(marks: str, start: int, step):
     """Characters after the match up to and with the mark at which ``step(depth, mark) -> (depth, done)`` is done.
 
     The part up to the next match mostly has it; else the rest of the file is read, all of it if no
@@ -48,10 +69,10 @@ def _end(marks: str, start: int, step) -> Column:
         return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.length(s)).alias("n"), done.alias("done")))
 
     def over(tail: Column, missing: Column) -> Column:
-        return F.aggregate(F.regexp_extract_all(tail, F.lit(f"(?s)[^{marks}]*[{marks}]"), F.lit(0)), zero, fold, lambda a: F.when(a["done"], a["n"]).otherwise(missing))
+        # \G: where no mark is left, the search ends and doesn't start again at every character
+        return F.aggregate(F.regexp_extract_all(tail, F.lit(f"(?s)\\G[^{marks}]*+[{marks}]"), F.lit(0)), zero, fold, lambda a: F.when(a["done"], a["n"]).otherwise(missing))
 
-    near = F.substring(F.col("piece"), F.length("match") + 1, F.length("piece"))
-    return F.coalesce(over(near, F.lit(None).cast("int")), over(_tail(), F.length(_tail())))
+    return lambda near, tail: F.coalesce(over(near, F.lit(None).cast("int")), T.let(tail, lambda t: over(t, F.length(t))))
 
 
 def _braced(depth: Column, mark: Column) -> tuple[Column, Column]:
@@ -73,19 +94,6 @@ def _enum(depth: Column, mark: Column) -> tuple[Column, Column]:
     return depth + F.when(mark == "{", 1).otherwise(-1), (mark == "}") & (depth == 1)
 
 
-def _tail() -> Column:
-    return F.substring(F.col("content"), F.col("start") + F.length("match"), F.length("content"))
-
-
-def _body(more: Column) -> Column:
-    """The match and what follows to its end; a cut of the part where that is enough, for a cut of the file is a walk to its place."""
-
-    def cut(n: Column) -> Column:
-        return F.when(n <= F.length("piece"), F.substring(F.col("piece"), F.lit(1), n)).otherwise(F.substring(F.col("content"), F.col("start"), n))
-
-    return T.let(F.length("match") + more, cut)
-
-
 def _above() -> Column:
     """The lines above a match, nearest first.  Those before the last match can't count: it ends any walk."""
     lines = F.split("before", "\n")
@@ -169,8 +177,8 @@ def visibility(raw: Column) -> Column:
     return F.when(plain == "", "private").when(plain == "pub", "pub").when(plain.contains("crate"), "pub(crate)").otherwise(plain)
 
 
-def _items(found: DataFrame, kind: str, name: Column, signature: Column, more: Column, doc: Column, seen: Column, attributes: Column) -> DataFrame:
-    return found.select("repo", F.col("path").alias("file_path"), F.lit(kind).alias("kind"), name.alias("name"), signature.alias("signature"), _body(more).alias("body"), doc.alias("doc_comment"), F.col("line").cast("int").alias("line_number"), seen.alias("visibility"), attributes.alias("attributes"))
+def _items(found: DataFrame, kind: str, name: Column, signature: Column, doc: Column, seen: Column, attributes: Column) -> DataFrame:
+    return found.select("repo", F.col("path").alias("file_path"), F.lit(kind).alias("kind"), name.alias("name"), signature.alias("signature"), "body", doc.alias("doc_comment"), F.col("line").cast("int").alias("line_number"), seen.alias("visibility"), attributes.alias("attributes"))
 
 
 def rust(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -185,18 +193,18 @@ def rust(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     public = lambda p: T.strip(group(p, 2)).startswith("pub")
     seen = lambda p: T.strip(group(p, 2)) if compat else visibility(group(p, 2))
     parts = []
-    functions = _found(files, RUST_FN).filter(public(RUST_FN))
+    functions = _found(files, RUST_FN, _end(r"{}", 1, _braced)).filter(public(RUST_FN))
     signature = T.strip(F.concat(F.lit("fn "), group(RUST_FN, 3), F.lit("("), group(RUST_FN, 5), F.lit(")"), group(RUST_FN, 6)))
-    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _end(r"{}", 1, _braced), _rust_doc(), seen(RUST_FN), attributes))
-    structs = _found(files, RUST_STRUCT).filter(public(RUST_STRUCT))
+    parts.append(_items(functions, "function", group(RUST_FN, 3), signature, _rust_doc(), seen(RUST_FN), attributes))
     end = _end(r"{};", 0, _struct_compat) if compat else _end(r"{}()\[\];", 0, _struct)
-    parts.append(_items(structs, "struct", group(RUST_STRUCT, 3), F.concat(F.lit("struct "), group(RUST_STRUCT, 3)), end, _rust_doc(), seen(RUST_STRUCT), attributes))
-    enums = _found(files, RUST_ENUM).filter(public(RUST_ENUM))
-    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _end(r"{}", 0, _enum), _rust_doc(), seen(RUST_ENUM), attributes))
+    structs = _found(files, RUST_STRUCT, end).filter(public(RUST_STRUCT))
+    parts.append(_items(structs, "struct", group(RUST_STRUCT, 3), F.concat(F.lit("struct "), group(RUST_STRUCT, 3)), _rust_doc(), seen(RUST_STRUCT), attributes))
+    enums = _found(files, RUST_ENUM, _end(r"{}", 0, _enum)).filter(public(RUST_ENUM))
+    parts.append(_items(enums, "enum", group(RUST_ENUM, 3), F.concat(F.lit("enum "), group(RUST_ENUM, 3)), _rust_doc(), seen(RUST_ENUM), attributes))
     if not compat:
-        impls = _found(files, RUST_IMPL)
+        impls = _found(files, RUST_IMPL, _end(r"{}", 1, _braced))
         name = F.concat(F.lit("impl "), group(RUST_IMPL, 3))
-        parts.append(_items(impls, "impl", name, name, _end(r"{}", 1, _braced), F.lit(None).cast("string"), F.lit("pub"), attributes))
+        parts.append(_items(impls, "impl", name, name, F.lit(None).cast("string"), F.lit("pub"), attributes))
     constants = _found(files, RUST_CONST)
     if compat:
         constants = constants.filter(public(RUST_CONST))
@@ -208,24 +216,23 @@ def c(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(items, constants) of C files: functions, structs and defines; without ``compat`` also enums and typedefs."""
     group = lambda p, n: F.regexp_extract("match", p, n)
     none, pub = F.array().cast("array<string>"), F.lit("pub")
-    functions = _found(files, C_FN).filter(~group(C_FN, 2).isin(_CONTROL))
+    functions = _found(files, C_FN, _end(r"{}", 1, _braced)).filter(~group(C_FN, 2).isin(_CONTROL))
     signature = F.concat(T.strip(group(C_FN, 1)), F.lit(" "), group(C_FN, 2), F.lit("("), group(C_FN, 3), F.lit(")"))
-    parts = [_items(functions, "function", group(C_FN, 2), signature, _end(r"{}", 1, _braced), _c_doc(not compat), pub, none)]
+    parts = [_items(functions, "function", group(C_FN, 2), signature, _c_doc(not compat), pub, none)]
 
-    def closed() -> Column:
+    def closed(near: Column, tail: Column) -> Column:
         """To the closing brace, then to the next semicolon or the end."""
         semicolon = lambda text, n: F.call_function("instr", F.substring(text, n + 1, F.length(text)), F.lit(";"))
-        near = F.substring(F.col("piece"), F.length("match") + 1, F.length("piece"))
-        far = lambda n: T.let(semicolon(_tail(), n), lambda k: F.when(k > 0, n + k).otherwise(F.length(_tail())))
-        return T.let(_end(r"{}", 1, _braced), lambda n: T.let(semicolon(near, n), lambda k: F.when(k > 0, n + k).otherwise(far(n))))
+        far = lambda n: T.let(tail, lambda t: T.let(semicolon(t, n), lambda k: F.when(k > 0, n + k).otherwise(F.length(t))))
+        return T.let(_end(r"{}", 1, _braced)(near, tail), lambda n: T.let(semicolon(near, n), lambda k: F.when(k > 0, n + k).otherwise(far(n))))
 
     for kind, pattern in (("struct", C_STRUCT), *([] if compat else [("enum", C_ENUM)])):
-        parts.append(_items(_found(files, pattern), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), closed(), _c_doc(not compat), pub, none))
+        parts.append(_items(_found(files, pattern, closed), kind, group(pattern, 1), F.concat(F.lit(f"{kind} "), group(pattern, 1)), _c_doc(not compat), pub, none))
     if not compat:
-        types = _found(files, C_TYPEDEF)
-        parts.append(_items(types, "type", group(C_TYPEDEF, 1), F.concat(F.lit("typedef "), group(C_TYPEDEF, 1)), F.lit(0), _c_doc(True), pub, none))
+        types = _found(files, C_TYPEDEF, lambda near, tail: F.lit(0))
+        parts.append(_items(types, "type", group(C_TYPEDEF, 1), F.concat(F.lit("typedef "), group(C_TYPEDEF, 1)), _c_doc(True), pub, none))
         # typedef struct {..} NAME; its name comes after the braces
-        bodies = _items(_found(files, C_ANONYMOUS), "type", F.lit(""), F.lit(""), closed(), _c_doc(True), pub, none)
+        bodies = _items(_found(files, C_ANONYMOUS, closed), "type", F.lit(""), F.lit(""), _c_doc(True), pub, none)
         name = F.regexp_extract("body", r"(?s)(\w+)\s*(?:\[[^\]]*\]\s*)*;$", 1)
         parts.append(bodies.withColumns({"name": name, "signature": F.concat(F.lit("typedef "), name)}).filter("name <> ''"))
     return reduce(DataFrame.unionByName, parts), defines(files)
