@@ -13,13 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import encode
 
-#: Buckets of words, passes over the corpus, directions beside those that are kept, and texts of a product.
+#: Buckets of words, passes over the corpus, directions beside those that are kept; texts of a product at most, and
+#: their (text, bucket) pairs; texts that are counted at a time at most, and their characters.
 BUCKETS, PASSES, EXTRA, ROWS = 4096, 3, 16, 256
+PAIRS, COUNTED, CHARACTERS = 1 << 15, 256, 1 << 19
 
 
 def counts(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,14 +92,26 @@ def counted(corpus: DataFrame, text: str = "text", keep: Sequence[str] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, bucket, times = counts(batch.column(len(keep)).to_pylist(), BUCKETS)
-            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (bucket, times)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], names=[*keep, "bucket", "times"])
+            for part in _cut(batch, pa.compute.utf8_length(batch.column(len(keep))), COUNTED, CHARACTERS):
+                row, bucket, times = counts(part.column(len(keep)).to_pylist(), BUCKETS)
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (bucket, times)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *lists], names=[*keep, "bucket", "times"])
 
     return corpus.select(*keep, F.col(text).cast("string")).mapInArrow(run, f"{kinds}bucket array<int>, times array<int>")
 
 
+def _cut(batch: pa.RecordBatch, sizes: pa.Array, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """All of a batch in slices of so many rows at most and of ``most`` in their sizes, or of one row."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, times) of counted rows."""
     bucket, times = batch.column("bucket"), batch.column("times")
@@ -109,8 +124,7 @@ def embedded(rows: DataFrame, model: Fitted, keep: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for part in _cut(batch, batch.column("bucket").value_lengths(), ROWS, PAIRS):
                 x = _unit(model.project(*model.weigh(*_lists(part), part.num_rows), part.num_rows)).astype(np.float32)
                 ends = pa.array(np.arange(part.num_rows + 1) * x.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[*keep, "embedding"])
@@ -173,8 +187,7 @@ def fit_counted(rows: DataFrame, dimensions: int = 64, seed: int = 0) -> Fitted:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((BUCKETS, width))
             for batch in batches:
-                for i in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(i, ROWS)
+                for part in _cut(batch, batch.column("bucket").value_lengths(), ROWS, PAIRS):
                     row, bucket, value = single.weigh(*_lists(part), part.num_rows)
                     if len(row):
                         value = value.astype(np.float32)
