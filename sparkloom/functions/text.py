@@ -47,7 +47,7 @@ def let(value: Column, body) -> Column:
 
 
 #: Elements that a running sum copies at a time; appending to one long array would copy it each time.
-_RUN = 256
+_RUN = 64
 
 
 def running(values: Column) -> Column:

@@ -34,9 +34,12 @@ def _found(files: DataFrame, pattern: str, more=None) -> DataFrame:
 
     ``more(near, tail)``: the characters of the body after the match, from the part up to the next match or,
     if that has no end, the rest of the file.  Bodies are cut while the file is one row, so that no match
-    carries a copy of it.
+    carries a copy of it.  Files are dealt to a set number of tasks, which adaptive execution does not make
+    fewer for their few bytes; matches, which are short, are dealt again, so that what is made of them
+    (comments, signatures) does not wait for the task that has the longest file.
     """
     content = F.col("content")
+    dealt = files.select("repo", "path", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repo", "path")
 
     def row(p: Column) -> Column:
         def cut(match: Column) -> Column:
@@ -53,7 +56,8 @@ def _found(files: DataFrame, pattern: str, more=None) -> DataFrame:
 
     # the outer form, for Spark would filter by the size of the other's array and make it twice
     rows = F.transform(F.slice(T.pieces(content, pattern), F.lit(2), F.lit(1 << 30)), row)
-    return files.select("repo", "path", F.explode_outer(rows).alias("__p")).filter("__p IS NOT NULL").select("repo", "path", "__p.*")
+    found = dealt.select("repo", "path", F.explode_outer(rows).alias("__p")).filter("__p IS NOT NULL").select("repo", "path", "__p.*")
+    return found.repartition("repo", "path", "line")
 
 
 def _end(marks: str, start: int, step):
