@@ -27,16 +27,10 @@ PAIRS, COUNTED, CHARACTERS = 1 << 15, 256, 1 << 19
 
 def counts(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, times) of the words of texts; words as the hashing encoder takes them."""
-    place: dict[str, int] = {}
-    rows, flat = [], []
-    for i, text in enumerate(texts):
-        words = encode.WORDS.findall((text or "").lower())
-        rows.append(np.full(len(words), i))
-        flat.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
-    known = np.fromiter(map(encode._bucket, place), np.int64, len(place)) % buckets
-    if not place:
+    found = [encode.buckets(text or "") % buckets for text in texts]
+    if not any(map(len, found)):
         return (np.zeros(0, np.int64),) * 3
-    pair, times = np.unique(np.concatenate(rows) * buckets + known[np.concatenate(flat)], return_counts=True)
+    pair, times = np.unique(np.repeat(np.arange(len(found)), list(map(len, found))) * buckets + np.concatenate(found), return_counts=True)
     return pair // buckets, pair % buckets, times
 
 
